@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm import leaks
 from plumbline.llm import percentiles as pct
 from plumbline.llm import survivors as sv
 from plumbline.operators.skew import salted_join
@@ -65,7 +66,16 @@ def p4_consensus(spark: SparkSession, d: str) -> DataFrame:
     return sv.surviving_values(parcels, "key", "record_id", ["address", "neighborhood"], weight)
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p1_exact": p1_exact, "p4_found": p4_found, "p4_consensus": p4_consensus}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p6_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The character spans to remove, with the items found in them."""
+    return leaks.removal_spans(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+QUERIES = {"p1_percentiles": p1_percentiles, "p1_exact": p1_exact, "p4_found": p4_found, "p4_consensus": p4_consensus, "p6_found": p6_found, "p6_spans": p6_spans}
 
 _PRICES = """
 WITH t AS (SELECT DISTINCT key, census_tract FROM universe WHERE key IS NOT NULL AND census_tract IS NOT NULL),
