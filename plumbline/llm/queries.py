@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import leaks
+from plumbline.llm import leaks, mixture
 from plumbline.llm import percentiles as pct
 from plumbline.llm import survivors as sv
 from plumbline.operators.skew import salted_join
 from plumbline.plans.tables import table
+from plumbline.session import cut
 
 #: p05, p25, median, p75, p95 in basis points, and the relative error of the combined partial results.
 BASIS_POINTS = [500, 2500, 5000, 7500, 9500]
@@ -45,8 +46,10 @@ PARCEL_FIELDS = ["address", "bldg_area_finished_sqft", "land_area_sqft", "neighb
 def _grouped_sales(spark: SparkSession, d: str) -> DataFrame:
     sales = sv.trusted(table(spark, d, "sales").select("row_id", "key_sale", "key", "feed", "recorded_at", *SALE_FIELDS), table(spark, d, "feeds"))
     deed, whole = sv.deed_identity(F.col("key"), F.col("deed_book"), F.col("deed_page"))
-    named = sales.withColumns({"s": sv.sale_identity(F.col("key_sale")), "d": F.when(whole, deed)})
-    return sv.linked_groups(named.select("row_id", "s", "d", "recorded_at", "trust_rank", *SALE_FIELDS), "s", "d")
+    # identifiers and what is missing are worked out once; the values themselves are not needed to choose rows
+    present = [F.when(~sv.is_missing(sales, f), F.lit(1)).alias(f) for f in SALE_FIELDS]
+    named = cut(sales.select("row_id", sv.sale_identity(F.col("key_sale")).alias("s"), F.when(whole, deed).alias("d"), "recorded_at", "trust_rank", *present))
+    return sv.linked_groups(named, "s", "d")
 
 
 def _rank() -> list:
@@ -75,7 +78,22 @@ def p6_spans(spark: SparkSession, d: str) -> DataFrame:
     return leaks.removal_spans(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p1_exact": p1_exact, "p4_found": p4_found, "p4_consensus": p4_consensus, "p6_found": p6_found, "p6_spans": p6_spans}
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").select("doc_id", "source", mixture.token_count(F.col("text")).alias("n_tokens"))
+    return mixture.mix(docs, "doc_id", "source", "n_tokens", table(spark, d, "source_targets"))
+
+
+def p7_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The documents taken and how often, sized to the tokens of the targets' sources."""
+    return _mixed(spark, d)[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return _mixed(spark, d)[1]
+
+
+QUERIES = {"p1_percentiles": p1_percentiles, "p1_exact": p1_exact, "p4_found": p4_found, "p4_consensus": p4_consensus, "p6_found": p6_found, "p6_spans": p6_spans, "p7_selection": p7_selection, "p7_shares": p7_shares}
 
 _PRICES = """
 WITH t AS (SELECT DISTINCT key, census_tract FROM universe WHERE key IS NOT NULL AND census_tract IS NOT NULL),
