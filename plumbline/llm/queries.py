@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import leaks, mixture
 from plumbline.llm import percentiles as pct
 from plumbline.llm import survivors as sv
+from plumbline.llm import truncation
 from plumbline.operators.skew import salted_join
 from plumbline.plans.tables import table
 from plumbline.session import cut
@@ -93,7 +94,20 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p1_exact": p1_exact, "p4_found": p4_found, "p4_consensus": p4_consensus, "p6_found": p6_found, "p6_spans": p6_spans, "p7_selection": p7_selection, "p7_shares": p7_shares}
+def _truncated(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.find_truncated(table(spark, d, "documents"), "doc_id", "source", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _truncated(spark, d).where(F.col("evidence").isNotNull()).select("doc_id").distinct()
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source's texts are cut."""
+    return truncation.truncation_rates(_truncated(spark, d))
+
+
+QUERIES = {"p1_percentiles": p1_percentiles, "p1_exact": p1_exact, "p4_found": p4_found, "p4_consensus": p4_consensus, "p6_found": p6_found, "p6_spans": p6_spans, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_rates": p8_rates}
 
 _PRICES = """
 WITH t AS (SELECT DISTINCT key, census_tract FROM universe WHERE key IS NOT NULL AND census_tract IS NOT NULL),
