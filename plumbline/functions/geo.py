@@ -128,9 +128,10 @@ def cell_axis(value: Column, low: float, span: float) -> Column:
 
 
 def _spread_bits(v: Column) -> Column:
-    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
-    return v
+    """The low 32 bits of ``v`` with a gap after each; byte by byte from a table, so the expression stays small."""
+    gaps = F.lit([sum(((b >> i) & 1) << (2 * i) for i in range(8)) for b in range(256)])
+    byte = lambda k: F.shiftleft(F.get(gaps, F.shiftright(v, 8 * k).bitwiseAND(F.lit(255)).cast("int")).cast("long"), 16 * k)
+    return byte(0).bitwiseOR(byte(1)).bitwiseOR(byte(2)).bitwiseOR(byte(3))
 
 
 def interleave(ix: Column, iy: Column) -> Column:

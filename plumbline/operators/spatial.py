@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import geo
 from plumbline.operators import lastknown
+from plumbline.session import cut
 
 #: A region's cover goes down to cells of about this part of its longer side.
 COVER_PARTS = 32
@@ -48,10 +49,11 @@ def near_pairs(points: DataFrame, id_col: str, lat: str, lon: str, radius_m: flo
     ys = F.sequence(axis(F.col("lat") - edge, -90.0, 180.0), axis(F.col("lat") + edge, -90.0, 180.0))
     x0, x1 = F.floor((F.col("lon") - wide + 180.0) / 360.0 * (top + 1)), F.floor((F.col("lon") + wide + 180.0) / 360.0 * (top + 1))
     xs = F.when(x1 - x0 >= top, F.sequence(F.lit(0).cast("long"), F.lit(top).cast("long"))).otherwise(F.transform(F.sequence(x0, x1), lambda x: F.pmod(x, F.lit(top + 1))))
-    cover = F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: geo.interleave(x, y))))
     hot = lastknown.hot_keys(p, "cell", hot_share, hot_rows)
     is_hot = F.col("cell").isin(hot) if hot else F.lit(False)
-    a = p.withColumnRenamed("cell", "own").withColumn("cell", F.explode(F.array_distinct(F.filter(cover, lambda c: c >= own)))).select("cell", "own", F.col("id").alias("id1"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
+    # rows and columns of cells are exploded one after the other, so the codes are computed in generated code
+    a = p.withColumnRenamed("cell", "own").withColumn("y", F.explode(ys)).withColumn("x", F.explode(F.array_distinct(xs))).withColumn("cell", geo.interleave(F.col("x"), F.col("y"))).where("cell >= own")
+    a = a.select("cell", "own", F.col("id").alias("id1"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
     b = p.select("cell", F.col("id").alias("id2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
     on = ["cell"]
     if hot:
@@ -165,8 +167,6 @@ def regions_of(points: DataFrame, lat: str, lon: str, regions: DataFrame, region
     """
     cells = region_cells(regions, region_id, geometry, parts)
     shared = cells.groupBy("level", "lo", "hi").agg(F.sort_array(F.collect_list(F.struct("region", "whole", "edges"))).alias("held"))
-    from plumbline.session import cut
-
     shared = cut(shared)
     levels = sorted(r[0] for r in shared.select("level").distinct().collect())  # at most MAX_LEVEL + 1 values
     kept = points.columns
@@ -208,7 +208,8 @@ def found_near_and_inside(parcels: DataFrame, regions: DataFrame, radius_m: floa
     if box is None:
         box = (math.inf, math.inf, -math.inf, -math.inf)
     at = located(parcels.where(F.col("key").isNotNull()).select("key", "latitude", "longitude", "geometry"), "latitude", "longitude", "geometry", box)
-    at = at.where(F.col("loc_lat").isNotNull() & F.col("loc_lon").isNotNull()).select("key", "loc_lat", "loc_lon").distinct()
+    # read by both searches and by their counts of crowded cells: geometry is decoded once
+    at = cut(at.where(F.col("loc_lat").isNotNull() & F.col("loc_lon").isNotNull()).select("key", "loc_lat", "loc_lon").distinct())
     near = near_pairs(at, "key", "loc_lat", "loc_lon", radius_m).select(F.col("id_a").alias("key_a"), F.col("id_b").alias("key_b"))
     inside = regions_of(at, "loc_lat", "loc_lon", regions, "std_geoid", "geometry").select(F.col("key").alias("key_a"), F.col("region").alias("key_b")).distinct()
     return none.unionByName(near).unionByName(inside)
