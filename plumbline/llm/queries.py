@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import leaks, mixture
+from plumbline.llm import addresses, leaks, mixture
 from plumbline.llm import percentiles as pct
 from plumbline.llm import survivors as sv
 from plumbline.llm import truncation
@@ -107,7 +107,11 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_rates(_truncated(spark, d))
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p1_exact": p1_exact, "p4_found": p4_found, "p4_consensus": p4_consensus, "p6_found": p6_found, "p6_spans": p6_spans, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_rates": p8_rates}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return addresses.same_place_pairs(table(spark, d, "universe").select("key", "address", "city"), "key", "address", "city")
+
+
+QUERIES = {"p1_percentiles": p1_percentiles, "p1_exact": p1_exact, "p3_found": p3_found, "p4_found": p4_found, "p4_consensus": p4_consensus, "p6_found": p6_found, "p6_spans": p6_spans, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_rates": p8_rates}
 
 _PRICES = """
 WITH t AS (SELECT DISTINCT key, census_tract FROM universe WHERE key IS NOT NULL AND census_tract IS NOT NULL),
