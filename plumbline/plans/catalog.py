@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.plans import combining, expressions, problems
+from plumbline.plans import combining, expressions, ordering, problems
 
 FLAGSHIP = "p5_found"
-FAMILIES = [problems, expressions.family, combining.family]
+FAMILIES = [problems, expressions.family, combining.family, ordering.family]
 QUERIES = {name: f for family in FAMILIES for name, f in family.QUERIES.items()}
 SQL = {name: s for family in FAMILIES for name, s in family.SQL.items()}
