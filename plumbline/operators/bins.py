@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.operators.skew import null_safe_join
+
 
 def rank_share(df: DataFrame, by: list[str], field: str, out: str) -> DataFrame:
     """The average rank over the group's count (ties share their mean rank); null stays null."""
@@ -19,8 +21,7 @@ def rank_share(df: DataFrame, by: list[str], field: str, out: str) -> DataFrame:
 def group_ids(df: DataFrame, by: list[str], out: str) -> DataFrame:
     """A dense number per distinct key, in key order; numbered on the distinct keys, then joined back."""
     keys = df.select(*by).distinct().withColumn(out, F.dense_rank().over(Window.orderBy(*by)))
-    same = [df[k].eqNullSafe(keys[k]) for k in by]
-    return df.join(keys, same).drop(*[keys[k] for k in by])
+    return null_safe_join(df, keys, by)
 
 
 def share_of_group(df: DataFrame, by: list[str], field: str, out: str) -> DataFrame:
@@ -42,7 +43,7 @@ def place_in(value: Column, edges: Column) -> Column:
 def quantile_bins(df: DataFrame, field: str, n: int, out: str, by: list[str] | None = None) -> DataFrame:
     """The quantile bin of each row within its group. Edges are one row per group, joined back."""
     e = quantile_edges(df, field, n, by)
-    got = df.join(e, [df[k].eqNullSafe(e[k]) for k in by], "left").drop(*[e[k] for k in by]) if by else df.crossJoin(F.broadcast(e))
+    got = null_safe_join(df, e, by, "left") if by else df.crossJoin(F.broadcast(e))
     return got.withColumn(out, place_in(F.col(field), F.col("edges"))).drop("edges")
 
 

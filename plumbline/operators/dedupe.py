@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.operators.skew import null_safe_join
+
 #: Aggregations by name, over a column.
 AGGREGATES = {
     "sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min, "median": F.median, "count": F.count, "nunique": F.count_distinct, "std": F.stddev_samp,
@@ -48,6 +50,5 @@ def collapse(df: DataFrame, subset: list[str], sort_by: list, agg: dict[str, dic
         else:
             cols.append(AGGREGATES[e["op"]](c).alias(f"__agg_{out}"))
     sums = df.groupBy(*subset).agg(*cols)
-    same = [firsts[k].eqNullSafe(sums[k]) for k in subset]
-    got = firsts.join(sums, same).drop(*[sums[k] for k in subset])
+    got = null_safe_join(firsts, sums, subset)
     return got.withColumns({o: F.col(f"__agg_{o}") for o in agg}).drop(*[f"__agg_{o}" for o in agg])

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from plumbline.operators.skew import null_safe_join
+
 
 def numeric_stats(df: DataFrame, by: list[str], field: str, name: str) -> DataFrame:
     """``<name>_mean, _median, _std, _min, _max, _sum, _count, _cv, _p25, _p75, _iqr`` per group; nulls and NaN left out."""
@@ -68,8 +70,7 @@ def fill_by_group(df: DataFrame, by: list[str], field: str, how: str, only: Colu
             one = n.groupBy(*by).agg(F.min(F.struct((-F.col("__n")).alias("k"), "__v")).alias("__b")).select(*by, F.col("__b.__v").alias("__f"))
         else:
             one = base.groupBy(*by).agg({"mean": F.avg, "median": F.median, "min": F.min, "max": F.max}[how](c).alias("__f"))
-        keys = [df[k].eqNullSafe(one[k]) for k in by]
-        filled = df.join(one, keys, "left").drop(*[one[k] for k in by])
+        filled = null_safe_join(df, one, by, "left")
     miss = c.isNull() if only is None else c.isNull() & F.coalesce(only, F.lit(False))
     return filled.withColumn(field, F.when(miss, F.col("__f")).otherwise(c)).drop("__f")
 

@@ -21,3 +21,10 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     a = left.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]) if plain else F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0))
     b = right.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     return a.join(b, [key, "__salt"], how).drop("__salt")
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join in which a null key equals a null key. The right keys are renamed first, so both sides may stem from one table."""
+    r = right.select(*[F.col(f"`{k}`").alias(f"__key_{i}") for i, k in enumerate(keys)], *[F.col(f"`{c}`") for c in right.columns if c not in keys])
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"__key_{i}")) for i, k in enumerate(keys)]
+    return left.join(r, same, how).drop(*[f"__key_{i}" for i in range(len(keys))])
