@@ -41,6 +41,11 @@ def compare(spark, con, folder: str, f, sql: str) -> str | None:
     names = [c[0] for c in res.description]
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} against {sorted(names)}"
+    kinds = {c[0]: str(c[1]) for c in res.description}
+    want_kind = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "date": "DATE", "float": "FLOAT"}
+    odd = {c: (k, kinds[c]) for c, k in df.dtypes if want_kind.get(k, k) != kinds[c]}
+    if odd:
+        return f"types {odd}"
     order = sorted(names)
     key = lambda r: tuple((x is not None, str(type(x)), str(x)) for x in r)
     got = sorted((tuple(plain(r[c]) for c in order) for r in df.collect()), key=key)
