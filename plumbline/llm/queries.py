@@ -134,3 +134,35 @@ SELECT grouping, member, period, n, {", ".join(f"round(p{b}, 4) AS p{b}" for b i
 k AS (SELECT *, sum(n) OVER (PARTITION BY grouping, member ORDER BY v) AS reached, sum(n) OVER (PARTITION BY grouping, member) AS total FROM c)
 SELECT grouping, member, max(total)::BIGINT AS n, {_REACH} FROM k GROUP BY ALL""",
 }
+
+_MISS = "({0} IS NULL OR lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')) IN ('none', 'nan', 'null', 'na', 'n/a', '-', 'unknown', ''))"
+_KNOWN = "CASE WHEN NOT " + _MISS + " THEN upper(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')) END"
+_DIGITS = "regexp_replace(regexp_extract({0}, '[0-9]+'), '^0+([0-9])', '\\1')"
+_ABSENT = {f: _MISS.format(f) for f in ("deed_book", "deed_page", "address", "neighborhood")} | {"sale_price": "(sale_price IS NULL OR isnan(sale_price))"}
+
+
+def _survivor_sql(kind: str, source: str, group: str, row: str, fields: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{kind}' AS record_type, group_id, '{f}' AS field, {row} AS row_id FROM (SELECT *, min({row}) OVER (PARTITION BY {group}) AS group_id, count(*) OVER (PARTITION BY {group}) AS n FROM {source}) "
+        f"WHERE n > 1 AND NOT {_ABSENT.get(f, f'{f} IS NULL')} QUALIFY row_number() OVER (PARTITION BY {group} ORDER BY trust_rank NULLS LAST, recorded_at DESC NULLS LAST, {row} DESC) = 1"
+        for f in fields
+    )
+
+
+SQL["p4_found"] = f"""WITH RECURSIVE t AS (SELECT s.*, f.trust_rank, {_KNOWN.format('key_sale')} AS c, {_KNOWN.format('s.key')} AS k, {_KNOWN.format('deed_book')} AS b, {_KNOWN.format('deed_page')} AS p FROM sales s LEFT JOIN feeds f ON f.feed = s.feed),
+t1 AS (SELECT *, regexp_replace(regexp_replace(c, '^(\\D*)(\\d{{2}})(\\d{{7}})(\\d{{3,}})(\\D+)(\\d{{4}})(\\d{{2}})(\\d{{2}})(\\D|$)', '\\1\\2-\\3-\\4\\5\\6-\\7-\\8\\9'), '^(\\D*\\d+\\D+\\d+\\D+\\d+\\D+)(\\d{{4}})(\\d{{2}})(\\d{{2}})(\\D|$)', '\\1\\2-\\3-\\4\\5') AS spread,
+coalesce(nullif({_DIGITS.format('p')}, ''), nullif(regexp_replace(regexp_extract(b, '[0-9]\\s*/\\s*([0-9]+)', 1), '^0+([0-9])', '\\1'), '')) AS page, nullif({_DIGITS.format('b')}, '') AS book FROM t),
+t2 AS (SELECT *, list_transform(regexp_extract_all(spread, '[0-9]+'), lambda x: regexp_replace(x, '^0+([0-9])', '\\1')) AS sn, list_transform(regexp_extract_all(k, '[0-9]+'), lambda x: regexp_replace(x, '^0+([0-9])', '\\1')) AS kn FROM t1),
+t3 AS (SELECT *, CASE WHEN c IS NULL THEN NULL WHEN len(sn) IN (6, 7) THEN array_to_string(sn, '-') ELSE '=' || c END AS s, CASE WHEN k IS NOT NULL AND book IS NOT NULL AND page IS NOT NULL THEN CASE WHEN len(kn) = 3 THEN array_to_string(kn, '-') ELSE k END || '|' || book || '|' || page END AS d FROM t2),
+e AS (SELECT DISTINCT 'x' || s AS a, 'y' || d AS b FROM t3 WHERE s IS NOT NULL AND d IS NOT NULL),
+r(a, x) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.a, e2.a FROM r JOIN e e1 ON e1.a = r.x JOIN e e2 ON e2.b = e1.b),
+lab AS (SELECT a, min(x) AS label FROM r GROUP BY 1), dlab AS (SELECT b, min(label) AS label FROM e JOIN lab USING (a) GROUP BY 1),
+g AS (SELECT t3.*, coalesce(lab.label, dlab.label, 'x' || s, 'y' || d) AS g FROM t3 LEFT JOIN lab ON lab.a = 'x' || s LEFT JOIN dlab ON dlab.b = 'y' || d),
+gs AS (SELECT * FROM g WHERE g IS NOT NULL), u AS (SELECT u.*, f.trust_rank FROM universe u LEFT JOIN feeds f ON f.feed = u.feed WHERE key IS NOT NULL)
+{_survivor_sql('sale', 'gs', 'g', 'row_id', SALE_FIELDS)} UNION ALL {_survivor_sql('parcel', 'u', 'key', 'record_id', PARCEL_FIELDS)}"""
+
+_WORDS = r"""list_filter(regexp_extract_all(lower(regexp_replace(text, '\\(?:(?:cite|ref|eqref|label|input|include)\b\*?\s*(?:\[[^\]]*\]\s*)*\{[^{}]*\}|[A-Za-z]+\*?|(?s:.))', ' ', 'g')), '[\pL\pN]+'), lambda w: w <> '')"""
+SQL["p6_found"] = f"""WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), iw AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM iw WHERE len(w) >= 12)),
+dg AS (SELECT doc_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM dw WHERE len(w) >= 12))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
