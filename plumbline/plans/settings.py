@@ -85,11 +85,21 @@ def replace_variables(settings: dict, rounds: int = 999) -> dict:
     for _ in range(rounds):
         new = walk(settings)
         if new == settings:
+            if _names_variable(settings):
+                break
             return settings
         settings = new
     raise ValueError("variables refer to each other in a circle")
 
 
+def _names_variable(node) -> bool:
+    if isinstance(node, dict):
+        return any(_names_variable(v) for v in node.values())
+    if isinstance(node, list):
+        return any(_names_variable(v) for v in node)
+    return isinstance(node, str) and node.startswith("$$")
+
+
 CASTS = {"string": "string", "float": "double", "double": "double", "int": "bigint", "bool": "boolean", "boolean": "boolean"}
 
 
