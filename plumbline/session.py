@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +48,19 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared checkpoint folder and return it without its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers, wherever they run; once per context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_plumbline_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    # the driver serves this file to the executors as long as the context lives
+    path = Path(tempfile.mkdtemp(prefix="plumbline-code-")) / "plumbline_code.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    atexit.register(shutil.rmtree, path.parent, ignore_errors=True)
+    sc.addPyFile(str(path))
+    sc._plumbline_shipped = True
