@@ -48,7 +48,8 @@ def near_pairs(points: DataFrame, id_col: str, lat: str, lon: str, radius_m: flo
     p = p.withColumn("cell", own)
     ys = F.sequence(axis(F.col("lat") - edge, -90.0, 180.0), axis(F.col("lat") + edge, -90.0, 180.0))
     x0, x1 = F.floor((F.col("lon") - wide + 180.0) / 360.0 * (top + 1)), F.floor((F.col("lon") + wide + 180.0) / 360.0 * (top + 1))
-    xs = F.when(x1 - x0 >= top, F.sequence(F.lit(0).cast("long"), F.lit(top).cast("long"))).otherwise(F.transform(F.sequence(x0, x1), lambda x: F.pmod(x, F.lit(top + 1))))
+    # around a pole, all columns; bounds that depend on the row keep that from being folded into a literal of a million numbers
+    xs = F.when(x1 - x0 >= top, F.sequence(x0 - x0, x0 - x0 + top)).otherwise(F.transform(F.sequence(x0, x1), lambda x: F.pmod(x, F.lit(top + 1))))
     hot = lastknown.hot_keys(p, "cell", hot_share, hot_rows)
     is_hot = F.col("cell").isin(hot) if hot else F.lit(False)
     # rows and columns of cells are exploded one after the other, so the codes are computed in generated code
@@ -86,7 +87,8 @@ def region_cells(regions: DataFrame, id_col: str, geometry: str, parts: int = CO
             yield pd.DataFrame(rows, columns=["level", "lo", "hi", "region", "whole", "edges"])
 
     src = regions.where(F.col(id_col).isNotNull() & F.col(geometry).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(geometry).alias("g"))
-    return src.repartition("id").mapInPandas(run, out)
+    # a fixed number, as small outlines would otherwise be put together into one task
+    return src.repartition(2 * regions.sparkSession.sparkContext.defaultParallelism, "id").mapInPandas(run, out)
 
 
 def _cover(region: str, geom: list | None, parts: int) -> Iterator[tuple]:
@@ -160,7 +162,7 @@ def contains(lon: Column, lat: Column, edges: Column) -> Column:
 def regions_of(points: DataFrame, lat: str, lon: str, regions: DataFrame, region_id: str, geometry: str, parts: int = COVER_PARTS, hot_share: float = lastknown.HOT_SHARE, hot_rows: int = lastknown.HOT_ROWS) -> DataFrame:
     """Each point with each region that contains it, as a column ``region`` (string); points in no region don't come out.
 
-    Regions may overlap, and have holes and several parts. A point exactly on an outline belongs to the region on one
+    Regions may overlap, and have holes and several parts; a column ``region`` of the points is replaced. A point exactly on an outline belongs to the region on one
     side of it (half-open in both axes). The cover's cells of one level are disjoint, so the last cell that starts at
     or before a point's code is the only one of its level that can hold it: one merge over sorted codes matches every
     level at once, and each cell carries the regions that share it.
@@ -169,23 +171,25 @@ def regions_of(points: DataFrame, lat: str, lon: str, regions: DataFrame, region
     shared = cells.groupBy("level", "lo", "hi").agg(F.sort_array(F.collect_list(F.struct("region", "whole", "edges"))).alias("held"))
     shared = cut(shared)
     levels = sorted(r[0] for r in shared.select("level").distinct().collect())  # at most MAX_LEVEL + 1 values
-    kept = points.columns
+    kept = [c for c in points.columns if c != "region"]
+    points = points.select(F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("__p"), F.col(f"`{lat}`").cast("double").alias("__lat"), F.col(f"`{lon}`").cast("double").alias("__lon"))
+    whole = [F.col("__p").getField(c).alias(c) for c in kept]
     if not levels:
-        return points.withColumn("region", F.lit(None).cast("string")).where(F.lit(False))
+        return points.where(F.lit(False)).select(*whole, F.lit(None).cast("string").alias("region"))
     shift = 2 * (geo.MAX_LEVEL - levels[0])  # every cell lies in one cell of the coarsest level: the key of the merge
     hist = shared.select(F.shiftright("lo", shift).alias("__k"), F.col("lo").alias("__c"), F.col("level").alias("kind"), F.struct("lo", "hi", "held").alias("entry"))
-    code = geo.point_code(F.col(lon).cast("double"), F.col(lat).cast("double"))
-    ev = points.withColumn("__c", code).withColumn("__k", F.shiftright("__c", shift))
+    ev = points.withColumn("__c", geo.point_code(F.col("__lon"), F.col("__lat"))).withColumn("__k", F.shiftright("__c", shift))
     found = lastknown.scan(ev, hist, "__k", "__c", levels, hot_share, hot_rows)
     held = F.flatten(F.array(*[F.when(F.col(f"known_{k}.hi") >= F.col("__c"), F.col(f"known_{k}.held")).otherwise(F.array().cast(dict(shared.dtypes)["held"])) for k in levels]))
-    x, y = F.col(lon).cast("double"), F.col(lat).cast("double")
+    x, y = F.col("__lon"), F.col("__lat")
     inside = F.array_distinct(F.transform(F.filter(held, lambda c: c["whole"] | contains(x, y, c["edges"])), lambda c: c["region"]))
-    return found.withColumn("region", F.explode(inside)).select(*[F.col(f"`{c}`") for c in kept], "region")
+    return found.withColumn("__region", F.explode(inside)).select(*whole, F.col("__region").alias("region"))
 
 
 def located(records: DataFrame, lat: str, lon: str, geometry: str, box: tuple[float, float, float, float]) -> DataFrame:
     """``records`` with ``loc_lat, loc_lon``: the stored coordinates where they lie in ``box`` (x0, y0, x1, y1), else the
     centre of the geometry's bounding box, else null. Geometry is decoded only for rows that need it."""
+    records = records.drop("loc_lat", "loc_lon")
     x0, y0, x1, y1 = box
     good = F.coalesce(F.col(lat).between(y0, y1) & F.col(lon).between(x0, x1), F.lit(False))
     base = records.withColumn("__good", good)
