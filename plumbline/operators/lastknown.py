@@ -132,10 +132,10 @@ def as_known_at(
     latest effective one wins, then the latest recorded, then the largest id. Because an entry qualifies from
     ``greatest(effective, recorded)`` on, the match is a running maximum over that order. Events stay as they are,
     repeated ones included; those without any qualifying entry, or with a null key or time, get nulls. NaN counts as
-    null. No versions: all nulls; no events: no rows.
+    null. No versions: all nulls; no events: no rows. Columns of ``events`` with the name of an output are replaced.
     """
     types = dict(versions.dtypes)
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    micros = lambda c: F.unix_micros(F.col(f"`{c}`").cast("timestamp"))
     clean = lambda c: F.when(~F.isnan(c), F.col(c)) if types[c] in ("double", "float") else F.col(c)
     entries = F.array(*[F.struct(F.lit(i).alias("kind"), clean(a).cast("string").alias("v")) for i, a in enumerate(attributes)])
     long = (
@@ -143,9 +143,10 @@ def as_known_at(
         .select(F.col(key).alias("__k"), micros(effective).alias("__eff"), micros(recorded).alias("__rec"), F.col(version_id).alias("__id"), F.explode(F.filter(entries, lambda x: x["v"].isNotNull())).alias("__x"))
         .select(F.col("__k").alias("__k"), F.greatest("__eff", "__rec").alias("__t"), F.col("__x.kind").alias("kind"), F.struct("__eff", "__rec", "__id", F.col("__x.v").alias("v")).alias("entry"))
     )
-    e = events.withColumns({"__k": F.col(key), "__t": micros(event_time)})
+    e = events.select(F.struct(*[F.col(f"`{c}`") for c in events.columns]).alias("__e"), F.col(f"`{key}`").alias("__k"), micros(event_time).alias("__t"))
     out = scan(e, long, "__k", "__t", list(range(len(attributes))), hot_share, hot_rows)
+    made = {x for a in attributes for x in (f"known_{a}", f"known_{a}_id")}
     return out.select(
-        *[F.col(f"`{c}`") for c in events.columns],
+        *[F.col("__e").getField(c).alias(c) for c in events.columns if c not in made],
         *[x for i, a in enumerate(attributes) for x in (F.col(f"known_{i}.v").cast(types[a]).alias(f"known_{a}"), F.col(f"known_{i}.__id").alias(f"known_{a}_id"))],
     )

@@ -10,10 +10,11 @@ from plumbline.operators.lastknown import HOT_ROWS, HOT_SHARE, hot_keys
 SALTS = 16
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot_share: float = HOT_SHARE, hot_rows: int = HOT_ROWS) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot_share: float = HOT_SHARE, hot_rows: int = HOT_ROWS, hot: list | None = None) -> DataFrame:
     """``left.join(right, key, how)`` (inner, left, left_semi or left_anti) with the left rows of hot keys spread over
-    salts, and only those keys' right rows repeated. Null keys match nothing; with ``left`` they stay."""
-    hot = hot_keys(left, key, hot_share, hot_rows)
+    salts, and only those keys' right rows repeated. Null keys match nothing; with ``left`` they stay. ``hot``: the hot
+    keys, where they were counted already."""
+    hot = hot_keys(left, key, hot_share, hot_rows) if hot is None else hot
     if not hot:
         return left.join(right, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))

@@ -84,20 +84,20 @@ sp AS (SELECT model_group, strftime(unnest(generate_series((a || '-01')::TIMESTA
 w AS (SELECT sp.model_group, sp.month, median, substr(sp.month, 1, 4)::INT * 12 + substr(sp.month, 6, 2)::INT AS x FROM sp LEFT JOIN m USING (model_group, month)),
 k AS (SELECT *, last_value(CASE WHEN median IS NOT NULL THEN x END IGNORE NULLS) OVER b AS px, last_value(median IGNORE NULLS) OVER b AS py, first_value(CASE WHEN median IS NOT NULL THEN x END IGNORE NULLS) OVER f AS nx, first_value(median IGNORE NULLS) OVER f AS ny FROM w
 WINDOW b AS (PARTITION BY model_group ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY model_group ORDER BY x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-i AS (SELECT model_group, month, x, median, CASE WHEN median IS NOT NULL THEN median ELSE py + (ny - py) * (x - px) / (nx - px)::DOUBLE END AS filled FROM k),
+i AS (SELECT model_group, month, x, median, CASE WHEN median IS NOT NULL THEN median ELSE py + (ny - py) * ((x - px) / (nx - px)::DOUBLE) END AS filled FROM k),
 idx AS (SELECT model_group, month, median, filled, last_value(filled) OVER (PARTITION BY model_group ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) / filled AS factor FROM i) """
 
 
-@query(_INDEX + "SELECT model_group, month, median, round(filled, 6) AS filled, round(factor, 10) AS factor FROM idx")
+@query(_INDEX + "SELECT model_group, month, median, round(filled, 4) AS filled, round(factor, 8) AS factor FROM idx")
 def index_interpolated(spark, d):
-    return series.time_index(_sales(spark, d), ["model_group"], "month", "p").withColumns({"filled": F.round("filled", 6), "factor": F.round("factor", 10)})
+    return series.time_index(_sales(spark, d), ["model_group"], "month", "p").withColumns({"filled": F.round("filled", 4), "factor": F.round("factor", 8)})
 
 
-@query(_INDEX + "SELECT s.row_id, round(s.p * coalesce(factor, 1.0), 4) AS adjusted FROM s LEFT JOIN idx ON idx.model_group = s.model_group AND idx.month = s.month")
+@query(_INDEX + "SELECT s.row_id, round(s.p * coalesce(factor, 1.0), 2) AS adjusted FROM s LEFT JOIN idx ON idx.model_group = s.model_group AND idx.month = s.month")
 def adjust_prices(spark, d):
     s = _sales(spark, d)
     index = series.time_index(s, ["model_group"], "month", "p")
-    return series.adjust(s, index, ["model_group"], "month", "p", "adjusted").select("row_id", F.round("adjusted", 4).alias("adjusted"))
+    return series.adjust(s, index, ["model_group"], "month", "p", "adjusted").select("row_id", F.round("adjusted", 2).alias("adjusted"))
 
 
 @query(f"""WITH RECURSIVE {_SALES}, m AS (SELECT model_group, month, median(p) AS median FROM s WHERE month IS NOT NULL GROUP BY 1, 2),
