@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.operators.skew import null_safe_join
 from plumbline.session import cut
 
 #: Most entries of a dictionary that is sent to the tasks; more are an error, never cut off.
@@ -207,17 +208,19 @@ def _slots(parsed: DataFrame, dirs: list[str], types: list[str]) -> DataFrame:
     return one.select("key", "number", "unit", "city", "name", "type", "dir").where("name <> ''")
 
 
-def _abbreviations(lines: DataFrame, slot: str) -> dict[str, str]:
+def _abbreviations(streets: DataFrame, slot: str) -> dict[str, str]:
     """Rewrites of a slot's tokens: a token that abbreviates another and stands with it in streets of one city and name
     at least twice and three times as often as chance would have it. Few tokens, so few pairs."""
-    seen = lines.where(F.col(slot).isNotNull() & F.col("city").isNotNull()).select("city", "name", F.col(slot).alias("t")).distinct()
+    seen = streets.where(F.col(slot).isNotNull()).select("city", "name", F.col(slot).alias("t")).distinct()
     each = {r["t"]: r["n"] for r in seen.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
-    streets = max(1, seen.select("city", "name").distinct().count())
+    if not any(_abbreviates(a, b) for a in each for b in each):
+        return {}
+    total = max(1, seen.select("city", "name").distinct().count())
     short, long = seen.withColumnRenamed("t", "s"), seen.withColumnRenamed("t", "l")
     pairs = short.join(long, ["city", "name"]).where(F.length("s") < F.length("l")).where("l rlike concat('^', array_join(split(s, ''), '.*'))")
     kept: dict[str, list] = {}
     for r in pairs.groupBy("s", "l").agg(F.count(F.lit(1)).alias("n")).collect():
-        chance = each[r["s"]] * each[r["l"]] / streets
+        chance = each[r["s"]] * each[r["l"]] / total
         if r["n"] >= 2 and r["n"] >= min(3 * chance, 0.5 * min(each[r["s"]], each[r["l"]])):
             kept.setdefault(r["s"], []).append((len(r["l"]), r["n"], r["l"]))
     out = {s: max(v)[2] for s, v in kept.items()}
@@ -227,6 +230,12 @@ def _abbreviations(lines: DataFrame, slot: str) -> dict[str, str]:
     return out
 
 
+def _abbreviates(a: str, b: str) -> bool:
+    """Whether ``a`` is ``b`` with letters left out, but not the first."""
+    rest = iter(b)
+    return len(a) < len(b) and a[0] == b[0] and all(c in rest for c in a)
+
+
 def _rewritten(c: Column, rewrites: dict[str, str]) -> Column:
     if not rewrites:
         return c
@@ -234,20 +243,23 @@ def _rewritten(c: Column, rewrites: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(table, c), c)
 
 
-def _spellings(lines: DataFrame) -> DataFrame:
+def _spellings(streets: DataFrame, lines: DataFrame) -> DataFrame:
     """``city, name, better``: spellings to replace, found among names of one city that are one edit apart."""
-    names = cut(lines.where("city is not null and length(name) > 3").groupBy("city", "name").agg(F.count(F.lit(1)).alias("n")))
+    names = streets.where("length(name) > 3").groupBy("city", "name").agg(F.sum("n").alias("n"))
     cuts = F.explode(F.expr("array_union(array(name), transform(sequence(1, length(name)), i -> concat(substring(name, 1, i - 1), substring(name, i + 1))))")).alias("part")
     parts = names.select("city", "name", "n", cuts)
     # of the names that share a part, each is set against the most frequent one only: no pairs within a part
-    best = parts.groupBy("city", "part").agg(F.max(F.struct("n", F.col("name").alias("name"))).alias("b"))
+    best = parts.groupBy("city", "part").agg(F.max(F.struct("n", F.col("name").alias("name"))).alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     pairs = parts.join(best, ["city", "part"]).where(F.col("b.name") != F.col("name")).select("city", "name", "n", F.col("b.name").alias("better"), F.col("b.n").alias("m")).distinct()
-    pairs = pairs.where(F.levenshtein("name", "better") <= 2)
+    pairs = cut(pairs.where(F.levenshtein("name", "better") <= 2))
     clear = pairs.where(F.col("m") >= OUTWEIGH * F.col("n")).select("city", "name", "better", "m")
-    at = lines.select("city", "name", "number").distinct()
     rare = pairs.where((F.col("m") < OUTWEIGH * F.col("n")) & (F.col("n") < OUTWEIGH))
-    shared = rare.join(at, ["city", "name"]).join(at.withColumnRenamed("name", "better"), ["city", "better", "number"], "left_semi").select("city", "name", "better", "m").distinct()
-    every = clear.unionByName(shared)
+    every = clear
+    if not rare.isEmpty():
+        now = streets.select("city", F.col("name0").alias("name0"), "name").distinct()
+        mine = now.join(rare.select("city", "name").union(rare.select("city", "better")).distinct(), ["city", "name"], "left_semi")
+        at = cut(lines.select("city", F.col("name").alias("name0"), "number").join(mine, ["city", "name0"]).select("city", "name", "number").distinct())
+        every = every.unionByName(rare.join(at, ["city", "name"]).join(at.withColumnRenamed("name", "better"), ["city", "better", "number"], "left_semi").select("city", "name", "better", "m").distinct())
     one = every.groupBy("city", "name").agg(F.max(F.struct("m", "better")).alias("x")).select("city", "name", F.col("x.better").alias("better"))
     # a spelling that is itself replaced is no target in this round
     return one.join(one.select("city", F.col("name").alias("better")), ["city", "better"], "left_anti")
@@ -274,15 +286,26 @@ def normalised(records: DataFrame, key: str, address: str, city: str | None = No
     kind = dict(records.dtypes)[key]
     parsed = cut(lines.mapInPandas(parse, f"key {kind}, number string, unit string, city string, street array<string>"))
     dirs, types = _word_classes(parsed)
-    now = cut(_slots(parsed, dirs, types).distinct())
+    lines = cut(_slots(parsed, dirs, types).distinct())
+    # the mining runs over distinct streets with their numbers of lines, not over lines
+    slots = ["city", "name", "type", "dir"]
+    streets = cut(lines.where("city is not null").groupBy(*slots).agg(F.count(F.lit(1)).alias("n")).withColumns({f"{s}0": F.col(s) for s in ("name", "type", "dir")}))
+    every: dict[str, dict] = {"type": {}, "dir": {}}
     while True:
-        rewrites = {slot: _abbreviations(now, slot) for slot in ("type", "dir")}
-        spelt = cut(_spellings(now))
+        rewrites = {slot: _abbreviations(streets, slot) for slot in ("type", "dir")}
+        for slot, r in rewrites.items():
+            every[slot].update(r)
+        spelt = cut(_spellings(streets, lines))
         if not rewrites["type"] and not rewrites["dir"] and spelt.isEmpty():
-            return now
-        now = now.withColumns({s: _rewritten(F.col(s), r) for s, r in rewrites.items()})
-        now = now.join(spelt, ["city", "name"], "left").withColumn("name", F.coalesce("better", "name")).drop("better")
-        now = cut(now.distinct())
+            break
+        streets = streets.withColumns({s: _rewritten(F.col(s), r) for s, r in rewrites.items()})
+        streets = cut(streets.join(spelt, ["city", "name"], "left").withColumn("name", F.coalesce("better", "name")).drop("better"))
+    final = streets.select(F.col("city"), F.col("name0").alias("name"), F.col("type0").alias("type"), F.col("dir0").alias("dir"), F.col("name").alias("__name"), F.col("type").alias("__type"), F.col("dir").alias("__dir"))
+    got = null_safe_join(lines, final, slots, "left")
+    known = F.col("__name").isNotNull()
+    # lines whose city isn't known yet have their tokens rewritten all the same
+    out = got.withColumns({s: F.when(known, F.col(f"__{s}")).otherwise(_rewritten(F.col(s), every.get(s, {}))) for s in ("name", "type", "dir")}).drop("__name", "__type", "__dir")
+    return cut(out.distinct())
 
 
 def places(lines: DataFrame) -> DataFrame:

@@ -34,9 +34,14 @@ def representative(value: Column, rel_error: float) -> Column:
 
 
 def value_counts(df: DataFrame, groups: list[str], value: str, rel_error: float = 0.0) -> DataFrame:
-    """The state: ``groups``, ``v`` and its count ``n``. Null and NaN values are left out; a null group is a group of its own."""
-    clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    return clean.select(*groups, representative(F.col(value), rel_error).alias("v")).groupBy(*groups, "v").agg(F.count(F.lit(1)).alias("n"))
+    """The state: ``groups``, ``v`` and its count ``n``. Null and NaN values are left out; a null group is a group of its own.
+
+    Groups can't be named ``v`` or ``n``; further columns don't matter, and neither does a value column of any name.
+    """
+    if {"v", "n"} & set(groups):
+        raise ValueError("groups can't be named v or n")
+    clean = df.where(F.col(f"`{value}`").isNotNull() & ~F.isnan(F.col(f"`{value}`").cast("double")))
+    return clean.select(*[F.col(f"`{g}`") for g in groups], representative(F.col(f"`{value}`"), rel_error).alias("v")).groupBy(*groups, "v").agg(F.count(F.lit(1)).alias("n"))
 
 
 def combine(state: DataFrame, groups: list[str]) -> DataFrame:

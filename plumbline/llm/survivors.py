@@ -96,8 +96,11 @@ def linked_groups(records: DataFrame, first: str, second: str) -> DataFrame:
     """``records`` with ``group``: the class of records linked through two kinds of identifiers (null if a record has neither).
 
     Only identifiers that meet more than one of the other kind go through the component search; the rest are groups
-    already. A group of any size costs one row per distinct identifier pair.
+    already. A group of any size costs one row per distinct identifier pair. Other columns stay; one named ``group`` is replaced.
     """
+    kept = [c for c in records.columns if c != "group"]
+    records = records.select(F.struct(*[F.col(f"`{c}`") for c in records.columns]).alias("__r"), F.col(f"`{first}`").cast("string").alias("__x"), F.col(f"`{second}`").cast("string").alias("__y"))
+    first, second = "__x", "__y"
     pairs = cut(records.where(F.col(first).isNotNull() & F.col(second).isNotNull()).groupBy(F.col(first).alias("x"), F.col(second).alias("y")).agg(F.lit(1).alias("one")).drop("one"))
     of_y = pairs.groupBy("y").agg(F.min("x").alias("x0"), F.count(F.lit(1)).alias("n"))
     busy_x = pairs.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x")
@@ -110,7 +113,8 @@ def linked_groups(records: DataFrame, first: str, second: str) -> DataFrame:
     rest = salted_join(rest, of_y.select(F.col("y").alias(second), "x0"), second, "left").withColumn("group", F.coalesce(F.concat(F.lit("x:"), "x0"), F.concat(F.lit("y:"), second))).drop("x0")
     every = with_first.unionByName(rest)
     # an x may be tangled through its y; a y that meets one busy x only is labelled through that x
-    return salted_join(every, label, "group", "left").withColumn("group", F.coalesce("label", "group")).drop("label")
+    got = salted_join(every, label, "group", "left")
+    return got.select(*[F.col("__r").getField(c).alias(c) for c in kept], F.coalesce("label", "group").alias("group"))
 
 
 def surviving_rows(records: DataFrame, group: str, row_id: str, fields: list[str], rank: list[Column], record_type: str) -> DataFrame:
@@ -218,4 +222,4 @@ def align(a: list[dict], b: list[dict], total: float) -> list[dict]:
 
 def trusted(records: DataFrame, feeds: DataFrame) -> DataFrame:
     """``records`` with ``trust_rank`` of their feed (null if none or not listed); ``feeds`` has one row per feed."""
-    return salted_join(records, feeds.where(F.col("feed").isNotNull()).select("feed", "trust_rank").dropDuplicates(["feed"]), "feed", "left")
+    return salted_join(records.drop("trust_rank"), feeds.where(F.col("feed").isNotNull()).select("feed", "trust_rank").dropDuplicates(["feed"]), "feed", "left")
