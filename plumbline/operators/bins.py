@@ -8,24 +8,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.operators import groups
 from plumbline.operators.skew import null_safe_join
+from plumbline.session import cut
 
 
 def rank_share(df: DataFrame, by: list[str], field: str, out: str) -> DataFrame:
-    """The average rank over the group's count (ties share their mean rank); null stays null."""
-    w = Window.partitionBy(*by, F.col(field).isNull())
-    place = F.rank().over(w.orderBy(field)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, field)) - 1) / 2
-    return df.withColumn(out, F.when(F.col(field).isNotNull(), place / F.count(field).over(w)))
+    """The average rank over the group's count (ties share their mean rank); null stays null.
+
+    Ranks are worked out on the counts of distinct values and joined back.
+    """
+    n = df.where(F.col(field).isNotNull()).groupBy(*by, field).agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*by).orderBy(field).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    share = (upto - (F.col("__n") - 1) / 2) / F.sum("__n").over(Window.partitionBy(*by))
+    return null_safe_join(df, n.withColumn(out, share).drop("__n"), [*by, field], "left")
 
 
 def group_ids(df: DataFrame, by: list[str], out: str) -> DataFrame:
-    """A dense number per distinct key, in key order; numbered on the distinct keys, then joined back."""
-    keys = df.select(*by).distinct().withColumn(out, F.dense_rank().over(Window.orderBy(*by)))
-    return null_safe_join(df, keys, by)
+    """A dense number per distinct key, in key order (nulls first).
+
+    The distinct keys are sorted by range; each partition numbers its own, after as many as there are before it.
+    """
+    keys = cut(df.select(*by).distinct().repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__p", F.spark_partition_id()))
+    before = keys.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))  # one row per partition
+    before = before.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    numbered = keys.withColumn(out, F.row_number().over(Window.partitionBy("__p").orderBy(*by))).join(before, "__p")
+    return null_safe_join(df, numbered.withColumn(out, F.col(out) + F.col("__before")).drop("__p", "__before"), by)
 
 
 def share_of_group(df: DataFrame, by: list[str], field: str, out: str) -> DataFrame:
-    return df.withColumn(out, F.try_divide(F.col(field), F.sum(field).over(Window.partitionBy(*by))))
+    return groups.with_aggregates(df, by, __all=F.sum(field)).withColumn(out, F.try_divide(F.col(field), F.col("__all"))).drop("__all")
 
 
 def quantile_edges(df: DataFrame, field: str, n: int, by: list[str] | None = None) -> DataFrame:

@@ -21,13 +21,17 @@ def order(sort_by: list) -> list[Column]:
 
 
 def keep_first(df: DataFrame, subset: list[str], sort_by: list) -> DataFrame:
-    """The first row of each ``subset`` key; ``sort_by`` should end in a unique column. Null keys are one key."""
+    """The first row of each ``subset`` key; ``sort_by`` should end in a unique column. Null keys are one key.
+
+    Spark limits each task to one row per key before the shuffle (window group limit), so a hot key is no burden.
+    """
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*subset).orderBy(*order(sort_by)))).where("__n = 1").drop("__n")
 
 
 def drop_repeated(df: DataFrame, subset: list[str]) -> DataFrame:
-    """Only rows whose key occurs once."""
-    return df.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*subset))).where("__n = 1").drop("__n")
+    """Only rows whose key occurs once (null is a key). Keys are counted with partial sums, so a hot key is no burden."""
+    once = df.groupBy(*subset).agg(F.count(F.lit(1)).alias("__n")).where("__n = 1")
+    return null_safe_join(df, once, subset, "inner").drop("__n")
 
 
 def collapse(df: DataFrame, subset: list[str], sort_by: list, agg: dict[str, dict]) -> DataFrame:

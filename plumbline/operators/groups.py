@@ -39,8 +39,15 @@ def masked(df: DataFrame, count: str, fields: list[str], least: int) -> DataFram
     return df.withColumns({f: F.when(F.col(count) >= least, F.col(f)) for f in fields})
 
 
-def with_median(df: DataFrame, by: list[str], field: str, out: str) -> DataFrame:
-    return df.withColumn(out, F.median(field).over(Window.partitionBy(*by)))
+def with_aggregates(df: DataFrame, by: list[str], **aggregates: Column) -> DataFrame:
+    """``df`` with its group's aggregates as columns: one partially aggregated pass joined back, no group in one task."""
+    return null_safe_join(df, df.groupBy(*by).agg(*[c.alias(n) for n, c in aggregates.items()]), by)
+
+
+def repeated(df: DataFrame, columns: list[str], out: str) -> DataFrame:
+    """``out``: whether the combination of ``columns`` occurs more than once; false where one of them is null."""
+    n = df.where(" and ".join(f"`{c}` is not null" for c in columns)).groupBy(*columns).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    return df.join(n, columns, "left").withColumn(out, F.col("__n").isNotNull()).drop("__n")
 
 
 def deviation(df: DataFrame, by: list[str], field: str) -> DataFrame:

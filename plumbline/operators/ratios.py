@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from plumbline.operators import bins, groups
 from plumbline.operators.skew import null_safe_join
@@ -169,8 +168,7 @@ def chd_distribution(df: DataFrame, cluster: str, field: str) -> DataFrame:
 def scrutiny(df: DataFrame, cluster: str, field: str) -> DataFrame:
     """``df`` with its cluster's ``n, median, std``, ``ratio`` to the median, and ``flag`` for values outside two standard
     deviations, at least four times the median, or at most 0.35 of it and over one deviation below."""
-    w = Window.partitionBy(cluster)
-    j = df.withColumns({"n": F.count(field).over(w), "median": F.median(field).over(w), "std": F.stddev_samp(field).over(w)})
+    j = groups.with_aggregates(df, [cluster], n=F.count(field), median=F.median(field), std=F.stddev_samp(field))
     ratio, z = F.try_divide(F.col(field), F.col("median")), F.try_divide(F.col(field) - F.col("median"), F.col("std"))
     flag = F.coalesce((F.abs(z) > 2) | (ratio >= 4) | ((ratio <= 0.35) & (z < -1)), F.lit(False))
     return j.withColumns({"ratio": ratio, "flag": flag})

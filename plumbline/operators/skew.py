@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.operators.lastknown import HOT_ROWS, HOT_SHARE, hot_keys
 
@@ -29,3 +30,25 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     r = right.select(*[F.col(f"`{k}`").alias(f"__key_{i}") for i, k in enumerate(keys)], *[F.col(f"`{c}`") for c in right.columns if c not in keys])
     same = [F.col(f"`{k}`").eqNullSafe(F.col(f"__key_{i}")) for i, k in enumerate(keys)]
     return left.join(r, same, how).drop(*[f"__key_{i}" for i in range(len(keys))])
+
+
+#: Rows ranked in one task.
+RANK_ROWS = 100_000
+
+
+def hash_rank(df: DataFrame, by: list[str], key: str, seed: int, out: str, rows: int = RANK_ROWS) -> DataFrame:
+    """``out``: the place (from 1) of each row in its group in the order of a seeded hash of ``key``, then ``key``.
+
+    A group is ranked in buckets of the hash's range, so that one of any size is spread over tasks; a bucket's place
+    is the number of rows in the buckets before it. Null groups are groups.
+    """
+    n = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / rows).alias("__b"))
+    h = F.xxhash64(F.col(f"`{key}`"), F.lit(seed))
+    # the upper half of the hash as a share of its range, so buckets follow the order of the hash
+    share = (F.shiftright(h, 32) + F.lit(1 << 31)) / F.lit(float(1 << 32))
+    d = null_safe_join(df.withColumn("__h", h).withColumn("__u", share), n, by).withColumn("__k", F.floor(F.col("__u") * F.col("__b")))
+    sizes = d.groupBy(*by, "__k").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    place = F.row_number().over(Window.partitionBy(*by, "__k").orderBy("__h", key))
+    got = null_safe_join(d.withColumn("__r", place), before, [*by, "__k"])
+    return got.withColumn(out, F.col("__r") + F.col("__before")).drop("__h", "__u", "__b", "__k", "__r", "__before")

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from plumbline.operators.skew import null_safe_join
+from plumbline.operators.skew import hash_rank, null_safe_join
 
 
 def lookback_size(test: int, lookback: int, other: int, floor: int = 0, cap: float = 1.0) -> int:
@@ -30,9 +29,9 @@ def hash_split(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFra
 
 def stratified(df: DataFrame, key: str, strata: list[str], share: float, seed: int = 42) -> DataFrame:
     """``split`` with ``round(share x n)`` test rows in every stratum, in seeded hash order (then by key)."""
-    w = Window.partitionBy(*strata)
-    place = F.row_number().over(w.orderBy(F.xxhash64(key, F.lit(seed)), key))
-    return df.withColumn("split", F.when(place <= F.round(F.count(F.lit(1)).over(w) * share), "test").otherwise("train"))
+    ranked = hash_rank(df, strata, key, seed, "__place")
+    n = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("__n"))
+    return null_safe_join(ranked, n, strata).withColumn("split", F.when(F.col("__place") <= F.round(F.col("__n") * share), "test").otherwise("train")).drop("__place", "__n")
 
 
 def three_tier(df: DataFrame, key: str, by: list[str], age_days: str, lookback_days: int, share: float, seed: int = 42, cap: float = 0.5) -> DataFrame:
@@ -43,7 +42,7 @@ def three_tier(df: DataFrame, key: str, by: list[str], age_days: str, lookback_d
     n = t.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.count_if(F.col("__tier") == 0).alias("__n0"), F.count_if(F.col("__tier") == 1).alias("__n1"))
     n = n.withColumn("__want", F.greatest(F.lit(0), F.round(F.col("__n") * share) - F.col("__n0")))
     n = n.withColumn("__from1", F.least("__want", F.floor(F.col("__n1") * cap))).withColumn("__from2", F.col("__want") - F.col("__from1"))
-    j = null_safe_join(t, n, by)
-    place = F.row_number().over(Window.partitionBy(*by, "__tier").orderBy(F.xxhash64(key, F.lit(seed)), key))
+    j = null_safe_join(hash_rank(t, [*by, "__tier"], key, seed, "__place"), n, by)
+    place = F.col("__place")
     test = (F.col("__tier") == 0) | ((F.col("__tier") == 1) & (place <= F.col("__from1"))) | ((F.col("__tier") == 2) & (place <= F.col("__from2")))
-    return j.withColumn("split", F.when(test, "test").otherwise("train")).drop("__tier", "__n", "__n0", "__n1", "__want", "__from1", "__from2")
+    return j.withColumn("split", F.when(test, "test").otherwise("train")).drop("__tier", "__n", "__n0", "__n1", "__want", "__from1", "__from2", "__place")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from plumbline.operators import dedupe, frames, groups
 from plumbline.plans.registry import Family
@@ -208,12 +207,12 @@ def fill_mode_group(spark, d):
     return groups.fill_by_group(u, ["model_group"], "bldg_type", "mode", ~F.col("is_vacant")).select("record_id", "bldg_type")
 
 
-@query("""SELECT row_id, n_deed > 1 AS same_deed, n_price > 1 AS same_price_day FROM (SELECT row_id, CASE WHEN deed_book IS NOT NULL AND deed_page IS NOT NULL THEN count(*) OVER (PARTITION BY deed_book, deed_page, sale_date) ELSE 1 END AS n_deed,
-CASE WHEN sale_price IS NOT NULL THEN count(*) OVER (PARTITION BY sale_date, sale_price) ELSE 1 END AS n_price FROM sales)""")
+@query("""SELECT row_id, n_deed > 1 AS same_deed, n_price > 1 AS same_price_day FROM (SELECT row_id, CASE WHEN deed_book IS NOT NULL AND deed_page IS NOT NULL AND sale_date IS NOT NULL THEN count(*) OVER (PARTITION BY deed_book, deed_page, sale_date) ELSE 1 END AS n_deed,
+CASE WHEN sale_price IS NOT NULL AND sale_date IS NOT NULL THEN count(*) OVER (PARTITION BY sale_date, sale_price) ELSE 1 END AS n_price FROM sales)""")
 def dupe_heuristic(spark, d):
     s = table(spark, d, "sales").select("row_id", "deed_book", "deed_page", "sale_date", "sale_price")
-    n = lambda *c: F.count(F.lit(1)).over(Window.partitionBy(*c))
-    return s.select("row_id", (F.when(F.col("deed_book").isNotNull() & F.col("deed_page").isNotNull(), n("deed_book", "deed_page", "sale_date")).otherwise(1) > 1).alias("same_deed"), (F.when(F.col("sale_price").isNotNull(), n("sale_date", "sale_price")).otherwise(1) > 1).alias("same_price_day"))
+    s = groups.repeated(s, ["deed_book", "deed_page", "sale_date"], "same_deed")
+    return groups.repeated(s, ["sale_date", "sale_price"], "same_price_day").select("row_id", "same_deed", "same_price_day")
 
 
 _PROFILED = {"total_value": "number", "is_vacant": "boolean", "city": "text", "recorded_at": "date", "land_area_sqft": "number"}
