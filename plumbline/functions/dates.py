@@ -26,8 +26,8 @@ def building_age(year_built: Column, year: Column) -> Column:
 
 
 def in_range(date: Column, start: str, end: str) -> Column:
-    """Whole days from ``start`` to ``end``, both included; null dates are outside."""
-    return F.coalesce((F.to_date(date) >= F.lit(start).cast("date")) & (F.to_date(date) <= F.lit(end).cast("date")), F.lit(False))
+    """Whole days from ``start`` to ``end``, both included; null dates give null. The column stands alone, so the bounds reach the scan."""
+    return (date >= F.lit(start).cast("date").cast("timestamp_ntz")) & (date < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz"))
 
 
 def middle_day(period: Column, kind: str) -> Column:

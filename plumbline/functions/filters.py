@@ -38,10 +38,13 @@ def text_of(value):
     return value[4:] if isinstance(value, str) and value.startswith("str:") else value
 
 
-def sure(c: Column) -> Column:
+def _sure(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+sure = _sure
+
+
 def is_numeric(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.NumericType)
 
@@ -53,11 +56,16 @@ def without_nan(df: DataFrame, name: str) -> Column:
 
 def _any(c: Column, patterns, prefix: str = "") -> Column:
     each = patterns if isinstance(patterns, list) else [patterns]
-    return sure(reduce(lambda a, b: a | b, [c.rlike(prefix + str(p)) for p in each]))
+    return _sure(reduce(lambda a, b: a | b, [c.rlike(prefix + str(p)) for p in each]))
+
 
+def condition(df: DataFrame, f: list, renames: dict[str, str] | None = None, exact: bool = True) -> Column:
+    """The filter ``f`` as a boolean Column over ``df``; an empty filter holds nowhere.
 
-def condition(df: DataFrame, f: list, renames: dict[str, str] | None = None) -> Column:
-    """The filter ``f`` as a boolean Column over ``df`` that is never null; an empty filter holds nowhere."""
+    With ``exact`` it is never null. Without, it may be null instead of false, which is the same to ``where``, and plain
+    comparisons are left as they are, so that they reach the scan.
+    """
+    sure = _sure if exact else lambda c: c
     if not f:
         return F.lit(False)
     op, *rest = f
@@ -69,7 +77,7 @@ def condition(df: DataFrame, f: list, renames: dict[str, str] | None = None) ->
         if not rest:
             raise ValueError(f"'{op}' needs at least one filter")
         # the pairs are folded from the left, so the negated ones negate each pair, not the whole
-        return reduce(FOLDS[op], [condition(df, r, renames) for r in rest])
+        return reduce(FOLDS[op], [condition(df, r, renames, exact or op not in ("and", "or")) for r in rest])
     name = resolve_name(df, rest[0], renames)
     if name is None:
         raise ValueError(f"no column {rest[0]!r}")
@@ -84,18 +92,25 @@ def condition(df: DataFrame, f: list, renames: dict[str, str] | None = None) ->
             raise ValueError(f"no column {value!r}; write 'str:{value}' for the text")
     blank = c.isNull() | (F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "") == "")
     if op in ORDERED:
+        if is_numeric(df, name) and isinstance(value, (int, float)):
+            raw = F.col(f"`{name}`")
+            plain = ORDERED[op](raw, value)
+            nan = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+            if ORDERED[op](0, value):
+                return sure(plain) | (raw.isNull() | F.isnan(raw) if nan else raw.isNull())
+            return sure(plain & ~F.isnan(raw) if nan and op in (">", ">=") else plain)
         return sure(ORDERED[op](F.coalesce(c, F.lit(0)) if is_numeric(df, name) else c, value))
     if op == "==":
-        return sure(c == value)
+        return sure(F.col(f"`{name}`") == value if not isinstance(value, Column) else c == value)
     if op == "!=":
-        return ~sure(c == value)
+        return ~_sure(c == value)
     if op in ("isin", "notin"):
-        inside = sure(c.isin(text_of(value))) if value else F.lit(False)
+        inside = (sure if op == "isin" else _sure)(c.isin(text_of(value))) if value else F.lit(False)
         return inside if op == "isin" else ~inside
     if op == "isempty":
         return blank
     if op in ("iszero", "iszeroempty"):
-        zero = sure(c == 0) if is_numeric(df, name) else F.lit(False)
+        zero = _sure(c == 0) if is_numeric(df, name) else F.lit(False)
         return zero if op == "iszero" else zero | blank
     if op == "contains":
         return _any(c, value)
@@ -106,7 +121,7 @@ def condition(df: DataFrame, f: list, renames: dict[str, str] | None = None) ->
 
 def select(df: DataFrame, f: list, renames: dict[str, str] | None = None) -> DataFrame:
     """The rows for which ``f`` holds."""
-    return df.where(condition(df, f, renames))
+    return df.where(condition(df, f, renames, exact=False))
 
 
 def validate(f: list) -> bool:
