@@ -68,14 +68,21 @@ def _solve(pdf, by: list[str], k: int):
 
 
 def linear(df: DataFrame, xs: list[str], y: str, by: list[str] | None = None) -> DataFrame:
-    """Least squares per group: ``by, n, coef`` (intercept first)``, t, r2``. Only the sums of each group are solved in Python."""
+    """Least squares per group: ``by, n, coef`` (intercept first)``, t, r2``. Only the sums of each group are solved in Python.
+
+    Features are shifted by their overall means first (one row comes to the driver), so large offsets cost no precision.
+    """
     by = by or []
-    g = gram(df, [F.col(x).cast("double") for x in xs], F.col(y).cast("double"), by)
+    means = df.agg(*[F.avg(F.col(x).cast("double")).alias(f"m{i}") for i, x in enumerate(xs)], F.count(F.lit(1)).alias("n")).first()
+    shift = [means[i] if means[i] is not None and means[i] == means[i] else 0.0 for i in range(len(xs))]
+    g = gram(df, [F.col(x).cast("double") - F.lit(s) for x, s in zip(xs, shift, strict=True)], F.col(y).cast("double"), by)
     kinds = dict(g.dtypes)
 
     def run(batches: Iterator):
         for pdf in batches:
-            yield _solve(pdf, by, len(xs))
+            out = _solve(pdf, by, len(xs))
+            out["coef"] = [[c[0] - sum(a * s for a, s in zip(c[1:], shift, strict=True)), *c[1:]] for c in out["coef"]]
+            yield out
 
     return g.mapInPandas(run, ", ".join([*[f"{c} {kinds[c]}" for c in by], "n long, coef array<double>, t array<double>, r2 double"]))
 
@@ -213,3 +220,21 @@ def boosted(train: DataFrame, rows: DataFrame, xs: list[str], y: str, out: str =
     prep = VectorAssembler(inputCols=xs, outputCol="__x", handleInvalid="skip")
     model = GBTRegressor(featuresCol="__x", labelCol=y, predictionCol=out, maxIter=rounds, maxDepth=depth, seed=seed).fit(prep.transform(train.where(F.col(y).isNotNull())))
     return model.transform(prep.transform(rows)).drop("__x")
+
+
+def forest(train: DataFrame, rows: DataFrame, xs: list[str], y: str, out: str = "prediction", trees: int = 20, depth: int = 5, seed: int = 42) -> DataFrame:
+    """A random forest over numeric features; rows with null features get no prediction."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    prep = VectorAssembler(inputCols=xs, outputCol="__x", handleInvalid="skip")
+    model = RandomForestRegressor(featuresCol="__x", labelCol=y, predictionCol=out, numTrees=trees, maxDepth=depth, seed=seed).fit(prep.transform(train.where(F.col(y).isNotNull())))
+    return model.transform(prep.transform(rows)).drop("__x")
+
+
+def trend(df: DataFrame, by: list[str], at: str, value: str, ahead: int) -> DataFrame:
+    """``by, slope, intercept, projected``: a straight line through each group's series, ``ahead`` steps after its last one."""
+    f = linear(df, [at], value, by)
+    last = df.groupBy(*by).agg(F.max(at).alias("__last"))
+    j = null_safe_join(f, last, by)
+    return j.select(*by, F.col("coef")[1].alias("slope"), F.col("coef")[0].alias("intercept"), (F.col("coef")[0] + F.col("coef")[1] * (F.col("__last") + ahead)).alias("projected"))

@@ -172,3 +172,51 @@ def scrutiny(df: DataFrame, cluster: str, field: str) -> DataFrame:
     ratio, z = F.try_divide(F.col(field), F.col("median")), F.try_divide(F.col(field) - F.col("median"), F.col("std"))
     flag = F.coalesce((F.abs(z) > 2) | (ratio >= 4) | ((ratio <= 0.35) & (z < -1)), F.lit(False))
     return j.withColumns({"ratio": ratio, "flag": flag})
+
+
+def two_humps(df: DataFrame, cluster: str, field: str, bins: int = 200, least: int = 8) -> DataFrame:
+    """``cluster, n, separation, gain, bimodal``: whether two normal curves describe the logarithm of ``field`` better than one.
+
+    A cluster is reduced to a histogram of at most ``bins`` cells first, so its size doesn't matter; the two curves are
+    fitted to the cells by expectation and maximisation. Bimodal: at least ``least`` rows, a gain of 10 in the Bayesian
+    criterion, means more than 2 pooled deviations apart, and at least 15 % of the rows in each.
+    """
+    v = df.where((F.col(field) > 0) & F.col(cluster).isNotNull()).select(F.col(cluster).alias("c"), F.ln(field).alias("x"))
+    lim = v.groupBy("c").agg(F.min("x").alias("a"), F.max("x").alias("z"))
+    cell = F.least(F.lit(bins - 1), F.floor(F.try_divide(F.col("x") - F.col("a"), F.col("z") - F.col("a")) * bins))
+    h = v.join(lim, "c").groupBy("c", F.coalesce(cell, F.lit(0)).alias("b")).agg(F.count(F.lit(1)).alias("w"), F.avg("x").alias("x"))
+    rows = h.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("x", "w"))).alias("h"))  # at most ``bins`` cells
+    kind = dict(df.dtypes)[cluster]
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for c, cells in pdf.itertuples(index=False):
+                x, w = np.array([p["x"] for p in cells]), np.array([float(p["w"]) for p in cells])
+                n = w.sum()
+                m, s = (w * x).sum() / n, 0.0
+                s = max(np.sqrt((w * (x - m) ** 2).sum() / n), 1e-9)
+                if n < least or len(x) < 2:
+                    out.append((c, int(n), None, None, False))
+                    continue
+                den = lambda m, s: np.exp(-((x - m) ** 2) / (2 * s * s)) / (s * 2.5066282746310002)
+                one = (w * np.log(np.maximum(den(m, s), 1e-300))).sum()
+                m1, m2, s1, s2, p = m - s, m + s, s, s, 0.5
+                for _ in range(200):
+                    a, b = p * den(m1, s1), (1 - p) * den(m2, s2)
+                    r = a / np.maximum(a + b, 1e-300)
+                    wa, wb = w * r, w * (1 - r)
+                    if min(wa.sum(), wb.sum()) < 1e-6:
+                        break
+                    p, m1, m2 = wa.sum() / n, (wa * x).sum() / wa.sum(), (wb * x).sum() / wb.sum()
+                    s1, s2 = max(np.sqrt((wa * (x - m1) ** 2).sum() / wa.sum()), s / 50), max(np.sqrt((wb * (x - m2) ** 2).sum() / wb.sum()), s / 50)
+                two = (w * np.log(np.maximum(p * den(m1, s1) + (1 - p) * den(m2, s2), 1e-300))).sum()
+                gain = (2 * np.log(n) - 2 * one) - (5 * np.log(n) - 2 * two)
+                d = abs(m1 - m2) / np.sqrt((s1**2 + s2**2) / 2)
+                out.append((c, int(n), float(d), float(gain), bool(gain >= 10 and d > 2 and 0.15 <= p <= 0.85)))
+            yield pd.DataFrame(out, columns=["c", "n", "separation", "gain", "bimodal"])
+
+    return rows.mapInPandas(run, f"c {kind}, n long, separation double, gain double, bimodal boolean").withColumnRenamed("c", cluster)

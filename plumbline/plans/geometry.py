@@ -124,3 +124,34 @@ def rectangle_area(spark, d):
 def gwr_model(spark, d):
     xy = _xy(spark, d).withColumns({"f": F.col("id") % 13 + F.lit(0.0)})
     return neighbors.local_regression(xy, xy.where("id % 3 > 0").withColumnRenamed("id", "tid"), "id", "tid", "lon", "lat", ["f"], "v", 20)
+
+
+@query()
+def parcel_shapes(spark, d):
+    from plumbline.operators import shapes
+
+    return shapes.shape_metrics(table(spark, d, "universe").select("record_id", "geometry"), "record_id", "geometry")
+
+
+@query()
+def covered_area(spark, d):
+    """The area of parcels within each block group."""
+    from plumbline.operators import shapes
+
+    return shapes.covered_area(table(spark, d, "block_groups").select("std_geoid", "geometry"), table(spark, d, "universe").where("geometry is not null").select("record_id", "geometry"), "std_geoid", "record_id", "geometry")
+
+
+@query()
+def hilbert_order(spark, d):
+    from plumbline.operators import shapes
+
+    return table(spark, d, "universe").select("record_id", shapes.hilbert_code(F.col("longitude"), F.col("latitude")).alias("place"))
+
+
+@query()
+def point_in_region(spark, d):
+    """Geocoding: the block group of each stored coordinate."""
+    from plumbline.operators import spatial
+
+    u = table(spark, d, "universe").select("record_id", "latitude", "longitude")
+    return spatial.regions_of(u, "latitude", "longitude", table(spark, d, "block_groups"), "std_geoid", "geometry").select("record_id", "region")

@@ -179,3 +179,30 @@ def variable_drop(spark, d):
     u = table(spark, d, "universe").select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c)).alias(c) for c in [*xs, "total_value"]])
     kept = predict.recursive_drop(u, xs, "total_value")
     return spark.createDataFrame(list(enumerate(kept)), "place int, variable string")
+
+
+@query()
+def forest_model(spark, d):
+    tr, te = _two(spark, d)
+    return predict.forest(tr, te, ["l_quantity", "l_discount", "l_tax", "p_size"], "truth", trees=5, depth=3).select("l_orderkey", "truth", "prediction")
+
+
+@query("""WITH m AS (SELECT model_group, sale_year::DOUBLE AS y, median(sale_price) AS p FROM sales WHERE sale_price > 0 AND NOT isnan(sale_price) AND sale_year BETWEEN 2005 AND 2026 AND model_group IS NOT NULL GROUP BY 1, 2)
+SELECT model_group, round(regr_slope(p, y), 4) AS slope, round(regr_intercept(p, y) + regr_slope(p, y) * (max(y) + 2), 2) AS projected FROM m GROUP BY 1""")
+def projected_trend(spark, d):
+    s = table(spark, d, "sales").where("sale_price > 0 and not isnan(sale_price) and sale_year between 2005 and 2026 and model_group is not null")
+    m = s.groupBy("model_group", F.col("sale_year").cast("double").alias("y")).agg(F.median("sale_price").alias("p"))
+    return predict.trend(m, ["model_group"], "y", "p", 2).select("model_group", F.round("slope", 4).alias("slope"), F.round("projected", 2).alias("projected"))
+
+
+_METRICS = ["n", "mse", "mape"]
+
+
+@query(f"WITH {_J}, {_MEMBERS}, l AS (SELECT unnest(['m1', 'm2', 'm3']) AS model, unnest([m1, m2, m3]) AS p, truth FROM m) SELECT model, count(*) AS n, round(avg((p - truth) ** 2), 2) AS mse, round(avg(abs(p - truth) / truth), 8) AS mape FROM l WHERE p IS NOT NULL AND truth > 0 GROUP BY 1")
+def benchmark_table(spark, d):
+    """Metrics by model: the members' long form in one pass."""
+    from plumbline.operators import ratios
+
+    long = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("p")) for m in ("m1", "m2", "m3")])).alias("x")
+    got = ratios.fit_metrics(_members(spark, d).select("truth", long).select("truth", "x.*"), ["model"], "p", "truth")
+    return got.select("model", "n", F.round("mse", 2).alias("mse"), F.round("mape", 8).alias("mape"))

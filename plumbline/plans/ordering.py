@@ -139,7 +139,13 @@ def asof_backward(spark, d):
     return asof.best_before(s, u, "key", "row_id", "sale_date", "recorded_at", F.col("bldg_quality_num"), ["record_id"])
 
 
-@query()
+def _refine(n: int, v: str) -> str:
+    return f"""e{n} AS (SELECT c, quantile_cont({v}, [0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS e FROM l{n} GROUP BY 1), b{n} AS (SELECT l{n}.*, CASE WHEN {v} IS NOT NULL THEN greatest(1, len(list_filter(list_distinct(e), lambda x: x < {v}))) END AS b FROM l{n} LEFT JOIN e{n} USING (c)),
+f{n} AS (SELECT c, sum(n) >= 5 AND min(n) FILTER (b IS NOT NULL) >= 5 AND count(b) > 1 AS fit FROM (SELECT c, b, count(*) AS n FROM b{n} GROUP BY 1, 2) GROUP BY 1),
+l{n + 1} AS (SELECT record_id, land, area, CASE WHEN fit THEN c || '_' || coalesce(b::VARCHAR, '0') ELSE c END AS c FROM b{n} JOIN f{n} USING (c))"""
+
+
+@query(f"WITH l0 AS (SELECT record_id, land_area_sqft::DOUBLE AS land, bldg_area_finished_sqft::DOUBLE AS area, coalesce(neighborhood, '') || '_' || coalesce(model_group, '') AS c FROM universe), {_refine(0, 'land')}, {_refine(1, 'area')} SELECT record_id, c AS cluster FROM l2")
 def cluster_refine(spark, d):
     u = table(spark, d, "universe").select("record_id", "neighborhood", "model_group", F.col("land_area_sqft").cast("double").alias("land"), F.col("bldg_area_finished_sqft").cast("double").alias("area"))
     return bins.refine_clusters(u, ["neighborhood", "model_group"], ["land", "area"], 5, "cluster").select("record_id", "cluster")

@@ -141,3 +141,9 @@ def bootstrap_intervals(spark, d):
 def correlation_choice(spark, d):
     kept = ratios.choose_by_correlation(ratios.correlations(_joined(spark, d), _FIELDS), "l_extendedprice")
     return spark.createDataFrame(list(enumerate(kept)), "place int, field string")
+
+
+@query()
+def bimodal_clusters(spark, d):
+    s = table(spark, d, "sales").where("sale_price > 0 and not isnan(sale_price)").select("model_group", "sale_price")
+    return ratios.two_humps(s, "model_group", "sale_price")
