@@ -154,18 +154,30 @@ def row_mean(cols: list[Column]) -> Column:
 
 
 def row_median(cols: list[Column]) -> Column:
-    s = F.array_sort(F.filter(F.array(*[c.cast("double") for c in cols]), lambda v: v.isNotNull() & ~F.isnan(v)))
-    n = F.size(s)
-    return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
+    v = [F.when(~F.isnan(c.cast("double")), c.cast("double")) for c in cols]
+    total = F.lit(0.0)
+    for x, w in zip(v, _middle(v), strict=True):
+        total = total + F.when(w > 0, w * x).otherwise(0.0)
+    return F.when(F.coalesce(*v).isNotNull(), total)
+
+
+def _middle(v: list[Column]) -> list[Column]:
+    """Weights of a row's middle values. Each value's place is counted by comparisons, which stay in generated code."""
+    n = sum((c.isNotNull().cast("int") for c in v), F.lit(0))
+    out = []
+    for i, c in enumerate(v):
+        place = F.lit(1)
+        for j, o in enumerate(v):
+            if i != j:
+                place = place + F.coalesce(((o < c) | (o == c) if j < i else o < c).cast("int"), F.lit(0))
+        half = lambda k: (place == k).cast("double")  # noqa: E731, B023
+        out.append(F.when(c.isNotNull(), (half(F.floor((n + 1) / 2)) + half(F.floor(n / 2) + 1)) / 2).otherwise(0.0))
+    return out
 
 
 def median_weights(cols: list[str]) -> list[Column]:
     """Each member's weight in a row's median: 1 for the middle one, or a half for the two (ties: the first listed)."""
-    pairs = F.array_sort(F.filter(F.array(*[F.struct(F.col(c).cast("double").alias("v"), F.lit(i).alias("i")) for i, c in enumerate(cols)]), lambda p: p["v"].isNotNull()))
-    n = F.size(pairs)
-    at = lambda k: F.get(pairs, k.cast("int"))["i"]
-    lo, hi = at(F.floor((n - 1) / 2)), at(F.floor(n / 2))
-    return [F.when(n > 0, ((lo == i).cast("double") + (hi == i).cast("double")) / 2).otherwise(0.0).alias(f"weight_{c}") for i, c in enumerate(cols)]
+    return [w.alias(f"weight_{c}") for c, w in zip(cols, _middle([F.col(c).cast("double") for c in cols]), strict=True)]
 
 
 def best_by_location(train: DataFrame, truth: str, members: list[str], location: str) -> DataFrame:
