@@ -254,20 +254,13 @@ def _search(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id
 
         def task(batches, sent=sent):
             v, p, o = sent.value
-            yield from _hits(((b.column(0).to_pylist(), b.column(1).to_pylist()) for b in _arrow(batches)), v, p, o, run, emit)
+            yield from _hits(((pdf["doc_id"].tolist(), pdf["text"].tolist()) for pdf in batches), v, p, o, run, emit)
 
-        found = src.mapInPandas(lambda it, task=task: task(it), schema)
+        found = src.mapInPandas(task, schema)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def _arrow(frames: Iterator) -> Iterator:
-    import pyarrow as pa
-
-    for pdf in frames:
-        yield pa.RecordBatch.from_pandas(pdf, preserve_index=False)
-
-
 def leaks(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, run: int = 12) -> DataFrame:
     """Distinct (``doc_id``, ``item_id``) that share a run of at least ``run`` words.
 
