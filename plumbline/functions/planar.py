@@ -77,3 +77,20 @@ def decay(kind: str, distance: Column, alpha: float = 1.0) -> Column:
 def overlaps(ax0: Column, ay0: Column, ax1: Column, ay1: Column, bx0: Column, by0: Column, bx1: Column, by1: Column) -> Column:
     """Whether two bounding boxes meet."""
     return (ax0 <= bx1) & (bx0 <= ax1) & (ay0 <= by1) & (by0 <= ay1)
+
+
+def circle(lat: Column, lon: Column, radius_m: float, points: int = 32) -> Column:
+    """The closed ring of a circle about a point, as an array of (x, y)."""
+    import math
+
+    p = []
+    for i in [*range(points), 0]:
+        a = 2 * math.pi * i / points
+        y, x = offset(lat, lon, radius_m * math.sin(a), radius_m * math.cos(a))
+        p.append(F.struct(x.alias("x"), y.alias("y")))
+    return F.array(*p)
+
+
+def unit_metres(frontage_m: Column, depth_m: Column) -> Column:
+    """``unit_feet`` for metres, in metres of frontage."""
+    return depth_percent(F.round(depth_m * FEET_PER_METRE, 6)) * frontage_m

@@ -110,3 +110,26 @@ def local_regression(points: DataFrame, train: DataFrame, point_id: str, train_i
     from plumbline.operators.predict import apply_linear
 
     return apply_linear(points.select(point_id, *xs), fits, xs, [point_id]).select(point_id, "prediction")
+
+
+def kernel_regression(points: DataFrame, train: DataFrame, point_id: str, train_id: str, x: str, y: str, target: str, width: float, k: int = 50, features: dict[str, float] | None = None) -> DataFrame:
+    """``point_id, prediction``: the mean of the ``k`` nearest training values weighted by a Gaussian of the distance (``width``)
+    and of each feature's difference (its own width)."""
+    fs = features or {}
+    near = k_nearest(points, train, point_id, train_id, x, y, k)
+    t = train.select(train_id, F.col(target).alias("__t"), *[F.col(f).alias(f"__t_{f}") for f in fs])
+    j = near.join(t, train_id).join(points.select(point_id, *fs), point_id).where("`__t` is not null")
+    e = F.pow(F.col("distance") / width, 2)
+    for f, w in fs.items():
+        e = e + F.coalesce(F.pow((F.col(f) - F.col(f"__t_{f}")) / w, 2), F.lit(0.0))
+    j = j.withColumn("__w", F.exp(-e / 2))
+    return j.groupBy(point_id).agg(F.try_divide(F.sum(F.col("__w") * F.col("__t")), F.sum("__w")).alias("prediction"))
+
+
+def modal_group(parcels: DataFrame, areas: DataFrame, key: str, lat: str, lon: str, group: str, area_id: str, geometry: str) -> DataFrame:
+    """``area_id, group``: the most frequent group (then the smallest) of the parcels whose point lies in each area."""
+    from plumbline.operators.spatial import regions_of
+
+    inside = regions_of(parcels.where(F.col(group).isNotNull()).select(key, lat, lon, group), lat, lon, areas, area_id, geometry)
+    n = inside.groupBy("region", group).agg(F.count_distinct(key).alias("n"))
+    return n.groupBy("region").agg(F.min(F.struct((-F.col("n")).alias("k"), F.col(group).alias("g"))).alias("b")).select(F.col("region").alias(area_id), F.col("b.g").alias(group))

@@ -250,3 +250,58 @@ def trend(df: DataFrame, by: list[str], at: str, value: str, ahead: int) -> Data
     last = df.groupBy(*by).agg(F.max(at).alias("__last"))
     j = null_safe_join(f, last, by)
     return j.select(*by, F.col("coef")[1].alias("slope"), F.col("coef")[0].alias("intercept"), (F.col("coef")[0] + F.col("coef")[1] * (F.col("__last") + ahead)).alias("projected"))
+
+
+def elastic_net(df: DataFrame, xs: list[str], y: str, strength: float = 0.1, mix: float = 0.5) -> DataFrame:
+    """``variable, coef`` of a penalised linear fit over standardised features (rows with nulls left out)."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    prep = VectorAssembler(inputCols=xs, outputCol="__x", handleInvalid="skip").transform(df.where(F.col(y).isNotNull()).select(y, *xs))
+    model = LinearRegression(featuresCol="__x", labelCol=y, regParam=strength, elasticNetParam=mix, standardization=True).fit(prep)
+    return df.sparkSession.createDataFrame([(x, float(c)) for x, c in zip(xs, model.coefficients, strict=True)], "variable string, coef double")
+
+
+def cross_validated(df: DataFrame, key: str, xs: list[str], y: str, folds: int = 5, seed: int = 42) -> DataFrame:
+    """``fold, n, mse, r2`` of linear fits to the other folds, folds by the key's hash.
+
+    The sums of all folds come from one pass; a fold's training sums are the total less its own, so nothing is fitted on
+    rows, and one row per fold comes to the driver.
+    """
+    import pandas as pd
+
+    fold = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int")
+    d = df.withColumn("__fold", fold)
+    means = df.agg(*[F.avg(F.col(x).cast("double")).alias(f"m{i}") for i, x in enumerate(xs)]).first()
+    shifted = [F.col(x).cast("double") - F.lit(means[i] or 0.0) for i, x in enumerate(xs)]
+    g = pd.DataFrame([r.asDict() for r in gram(d, shifted, F.col(y).cast("double"), ["__fold"]).collect()])
+    if g.empty:
+        return df.sparkSession.createDataFrame([], "fold int, n long, mse double, r2 double")
+    rest = g.copy()
+    for c in g.columns:
+        if c != "__fold":
+            rest[c] = g[c].sum() - g[c]
+    fits = _solve(rest, ["__fold"], len(xs))
+    value = F.lit(None).cast("double")
+    for f, c in zip(fits["__fold"], fits["coef"], strict=True):
+        e = F.lit(c[0])
+        for a, s in zip(c[1:], shifted, strict=True):
+            e = e + F.lit(a) * s
+        value = F.when(F.col("__fold") == int(f), e).otherwise(value)
+    p = d.withColumn("__p", value).where(F.col("__p").isNotNull() & F.col(y).isNotNull())
+    s = p.groupBy(F.col("__fold").alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.pow(F.col("__p") - F.col(y), 2)).alias("mse"), F.var_pop(y).alias("v"))
+    return s.select("fold", "n", "mse", (1 - F.try_divide("mse", "v")).alias("r2"))
+
+
+def random_baseline(train: DataFrame, rows: DataFrame, key: str, y: str, normal: bool = False, seed: int = 1, out: str = "prediction") -> DataFrame:
+    """Predictions without information: uniform between the training extremes, or normal with its mean and deviation; by the key's hash."""
+    one = train.agg(F.min(y).alias("__a"), F.max(y).alias("__z"), F.avg(y).alias("__m"), F.stddev_samp(y).alias("__s"))
+    u = lambda k: (F.pmod(F.xxhash64(F.col(key), F.lit(seed + k)), F.lit(1_000_003)) + 1) / 1_000_004.0
+    z = F.sqrt(-2 * F.ln(u(0))) * F.cos(2 * F.pi() * u(1))
+    return rows.crossJoin(F.broadcast(one)).withColumn(out, F.col("__m") + z * F.col("__s") if normal else F.col("__a") + u(0) * (F.col("__z") - F.col("__a"))).drop("__a", "__z", "__m", "__s")
+
+
+def chased(prediction: Column, price: Column, key: Column, spread: float = 0.01, seed: int = 1) -> Column:
+    """The price within ``spread`` where there is one, else the prediction."""
+    u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_003)) / 1_000_002.0
+    return F.when(price > 0, price * (1 + spread * (2 * u - 1))).otherwise(prediction)

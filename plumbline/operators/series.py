@@ -83,3 +83,18 @@ def time_index(df: DataFrame, by: list[str], month: str, field: str, least: int
 def adjust(df: DataFrame, index: DataFrame, by: list[str], month: str, field: str, out: str) -> DataFrame:
     """``field`` times its month's factor; unchanged where there is none."""
     return df.join(index.select(*by, month, "factor"), [*by, month], "left").withColumn(out, F.col(field) * F.coalesce("factor", F.lit(1.0)))
+
+
+def differences(df: DataFrame, by: list[str], order: list[str], field: str, weights: list[float], out: str) -> DataFrame:
+    """A weighted sum of a value and those before it (``weights[0]`` for itself); null where there are too few."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    total = F.col(field) * weights[0]
+    for k, d in enumerate(weights[1:], 1):
+        total = total + F.lag(field, k).over(w) * d
+    return df.withColumn(out, total)
+
+
+def difference_weights(m: int) -> list[float]:
+    """Weights of order ``m`` that sum to 0 with squares that sum to 1: the first is sqrt(m / (m + 1)), the others are equal."""
+    first = (m / (m + 1)) ** 0.5
+    return [first] + [-first / m] * m

@@ -155,3 +155,19 @@ def point_in_region(spark, d):
 
     u = table(spark, d, "universe").select("record_id", "latitude", "longitude")
     return spatial.regions_of(u, "latitude", "longitude", table(spark, d, "block_groups"), "std_geoid", "geometry").select("record_id", "region")
+
+
+_KERNEL = "j AS (SELECT xy.id, t.id AS tid, t.v, sqrt((xy.lon - t.lon) ** 2 + (xy.lat - t.lat) ** 2) AS d FROM xy, xy t WHERE t.id % 3 > 0)"
+
+
+@query(f"WITH {_XY}, {_KERNEL}, n AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, tid) <= 20) SELECT id, round(sum(exp(-((d / 0.05) ** 2) / 2) * v) / sum(exp(-((d / 0.05) ** 2) / 2)), 6) AS prediction FROM n GROUP BY 1")
+def kernel_model(spark, d):
+    xy = _xy(spark, d)
+    got = neighbors.kernel_regression(xy, xy.where("id % 3 > 0").withColumnRenamed("id", "tid"), "id", "tid", "lon", "lat", "v", 0.05, 20)
+    return got.withColumn("prediction", F.round("prediction", 6))
+
+
+@query()
+def modal_groups(spark, d):
+    u = table(spark, d, "universe").select("record_id", "latitude", "longitude", "model_group")
+    return neighbors.modal_group(u, table(spark, d, "block_groups"), "record_id", "latitude", "longitude", "model_group", "std_geoid", "geometry")

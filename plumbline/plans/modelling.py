@@ -206,3 +206,21 @@ def benchmark_table(spark, d):
     long = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("p")) for m in ("m1", "m2", "m3")])).alias("x")
     got = ratios.fit_metrics(_members(spark, d).select("truth", long).select("truth", "x.*"), ["model"], "p", "truth")
     return got.select("model", "n", F.round("mse", 2).alias("mse"), F.round("mape", 8).alias("mape"))
+
+
+@query()
+def elastic_net(spark, d):
+    return predict.elastic_net(_joined(spark, d), ["l_quantity", "l_discount", "l_tax", "p_size"], "truth", 100.0)
+
+
+@query()
+def cross_validation(spark, d):
+    j = _joined(spark, d).withColumn("k", F.xxhash64("l_orderkey", "truth", "pred"))
+    return predict.cross_validated(j, "k", ["l_quantity", "p_size"], "truth")
+
+
+@query()
+def random_model(spark, d):
+    tr, te = _two(spark, d)
+    got = predict.random_baseline(tr, te.select("l_orderkey", "truth"), "l_orderkey", "truth")
+    return got.withColumn("chased", predict.chased(F.col("prediction"), F.col("truth"), F.col("l_orderkey")))

@@ -149,3 +149,10 @@ l{n + 1} AS (SELECT record_id, land, area, CASE WHEN fit THEN c || '_' || coales
 def cluster_refine(spark, d):
     u = table(spark, d, "universe").select("record_id", "neighborhood", "model_group", F.col("land_area_sqft").cast("double").alias("land"), F.col("bldg_area_finished_sqft").cast("double").alias("area"))
     return bins.refine_clusters(u, ["neighborhood", "model_group"], ["land", "area"], 5, "cluster").select("record_id", "cluster")
+
+
+@query("""SELECT c_custkey, round(c_acctbal * sqrt(2 / 3) - (lag(c_acctbal) OVER w + lag(c_acctbal, 2) OVER w) * sqrt(2 / 3) / 2, 6) AS diff FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)""")
+def differenced(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    got = series.differences(c, ["c_nationkey"], ["c_custkey"], "c_acctbal", series.difference_weights(2), "diff")
+    return got.select("c_custkey", F.round("diff", 6).alias("diff"))
