@@ -208,32 +208,31 @@ def _slots(parsed: DataFrame, dirs: list[str], types: list[str]) -> DataFrame:
     return one.select("key", "number", "unit", "city", "name", "type", "dir").where("name <> ''")
 
 
-def _abbreviations(streets: DataFrame, slot: str) -> dict[str, str]:
-    """Rewrites of a slot's tokens: a token that abbreviates another and stands with it in streets of one city and name
-    at least twice and three times as often as chance would have it. Few tokens, so few pairs."""
-    seen = streets.where(F.col(slot).isNotNull()).select("city", "name", F.col(slot).alias("t")).distinct()
-    each = {r["t"]: r["n"] for r in seen.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not any(_abbreviates(a, b) for a in each for b in each):
-        return {}
-    total = max(1, seen.select("city", "name").distinct().count())
-    short, long = seen.withColumnRenamed("t", "s"), seen.withColumnRenamed("t", "l")
-    pairs = short.join(long, ["city", "name"]).where(F.length("s") < F.length("l")).where("l rlike concat('^', array_join(split(s, ''), '.*'))")
-    kept: dict[str, list] = {}
-    for r in pairs.groupBy("s", "l").agg(F.count(F.lit(1)).alias("n")).collect():
-        chance = each[r["s"]] * each[r["l"]] / total
-        if r["n"] >= 2 and r["n"] >= min(3 * chance, 0.5 * min(each[r["s"]], each[r["l"]])):
-            kept.setdefault(r["s"], []).append((len(r["l"]), r["n"], r["l"]))
-    out = {s: max(v)[2] for s, v in kept.items()}
-    for s in out:
-        while out[s] in out:
-            out[s] = out[out[s]]
-    return out
-
+def _abbreviations(streets: DataFrame) -> dict[str, dict[str, str]]:
+    """Rewrites of types and of directions: a token that abbreviates another and stands with it in streets of one city and
+    name at least twice and three times as often as chance would have it.
 
-def _abbreviates(a: str, b: str) -> bool:
-    """Whether ``a`` is ``b`` with letters left out, but not the first."""
-    rest = iter(b)
-    return len(a) < len(b) and a[0] == b[0] and all(c in rest for c in a)
+    One job: per city and name the slot's tokens (few) are paired with themselves, with what they abbreviate, and with
+    nothing, which counts tokens, pairs and streets at once. What comes back grows with the tokens, not the lines.
+    """
+    slots = F.explode(F.array(*[F.struct(F.lit(s).alias("slot"), F.col(s).alias("t")) for s in ("type", "dir")])).alias("x")
+    seen = streets.select("city", "name", slots).where("x.t is not null").groupBy("city", "name", "x.slot").agg(F.array_union(F.collect_set("x.t"), F.array(F.lit(""))).alias("ts"))
+    pairs = "flatten(transform(ts, s -> transform(filter(ts, l -> l = s or (s <> '' and length(s) < length(l) and l rlike concat('^', array_join(split(s, ''), '.*')))), l -> struct(s as s, l as l))))"
+    n = {(r["slot"], r["s"], r["l"]): r["n"] for r in seen.select("slot", F.explode(F.expr(pairs)).alias("p")).groupBy("slot", "p.s", "p.l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out: dict[str, dict[str, str]] = {"type": {}, "dir": {}}
+    for slot, found in out.items():
+        kept: dict[str, list] = {}
+        for (sl, short, long), k in n.items():
+            if sl == slot and short != long:
+                one, other = n[slot, short, short], n[slot, long, long]
+                chance = one * other / n[slot, "", ""]
+                if k >= 2 and k >= min(3 * chance, 0.5 * min(one, other)):
+                    kept.setdefault(short, []).append((len(long), k, long))
+        found.update({short: max(v)[2] for short, v in kept.items()})
+        for short in found:
+            while found[short] in found:
+                found[short] = found[found[short]]
+    return out
 
 
 def _rewritten(c: Column, rewrites: dict[str, str]) -> Column:
@@ -292,7 +291,7 @@ def normalised(records: DataFrame, key: str, address: str, city: str | None = No
     streets = cut(lines.where("city is not null").groupBy(*slots).agg(F.count(F.lit(1)).alias("n")).withColumns({f"{s}0": F.col(s) for s in ("name", "type", "dir")}))
     every: dict[str, dict] = {"type": {}, "dir": {}}
     while True:
-        rewrites = {slot: _abbreviations(streets, slot) for slot in ("type", "dir")}
+        rewrites = _abbreviations(streets)
         for slot, r in rewrites.items():
             every[slot].update(r)
         spelt = cut(_spellings(streets, lines))
@@ -330,7 +329,7 @@ def places(lines: DataFrame) -> DataFrame:
     unsure = at.where(F.size("fit") > 1).join(houses, ["city", "name", "number"], "left").withColumn("fit", F.array_intersect("fit", F.coalesce("here", F.array().cast("array<struct<t:string,d:string>>")))).drop("here").where(F.size("fit") == 1)
     odd = at.where(F.size("fit") == 0).withColumn("fit", F.array(F.struct(F.col("type").alias("t"), F.col("dir").alias("d"))))
     street = sure.unionByName(unsure).unionByName(odd).withColumns({"type": F.element_at("fit", 1)["t"], "dir": F.element_at("fit", 1)["d"]}).drop("fit")
-    street = street.withColumn("house", F.concat_ws("|", "city", "name", F.coalesce("type", F.lit("")), F.coalesce("dir", F.lit("")), "number"))
+    street = cut(street.withColumn("house", F.concat_ws("|", "city", "name", F.coalesce("type", F.lit("")), F.coalesce("dir", F.lit("")), "number")))
     units = street.where("unit is not null").groupBy("house").agg(F.min("unit").alias("u0"), F.max("unit").alias("u1")).where("u0 = u1").select("house", "u0")
     filled = street.join(units, "house", "left").withColumn("unit", F.coalesce("unit", "u0"))
     return filled.select("key", F.concat_ws("#", "house", F.coalesce("unit", F.lit(""))).alias("place")).distinct()
