@@ -88,16 +88,16 @@ i AS (SELECT model_group, month, x, median, CASE WHEN median IS NOT NULL THEN me
 idx AS (SELECT model_group, month, median, filled, last_value(filled) OVER (PARTITION BY model_group ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) / filled AS factor FROM i) """
 
 
-@query(_INDEX + "SELECT model_group, month, median, round(filled, 4) AS filled, round(factor, 8) AS factor FROM idx")
+@query(_INDEX + "SELECT model_group, month, median, filled, factor FROM idx")
 def index_interpolated(spark, d):
-    return series.time_index(_sales(spark, d), ["model_group"], "month", "p").withColumns({"filled": F.round("filled", 4), "factor": F.round("factor", 8)})
+    return series.time_index(_sales(spark, d), ["model_group"], "month", "p")
 
 
-@query(_INDEX + "SELECT s.row_id, round(s.p * coalesce(factor, 1.0), 2) AS adjusted FROM s LEFT JOIN idx ON idx.model_group = s.model_group AND idx.month = s.month")
+@query(_INDEX + "SELECT s.row_id, s.p * coalesce(factor, 1.0) AS adjusted FROM s LEFT JOIN idx ON idx.model_group = s.model_group AND idx.month = s.month")
 def adjust_prices(spark, d):
     s = _sales(spark, d)
     index = series.time_index(s, ["model_group"], "month", "p")
-    return series.adjust(s, index, ["model_group"], "month", "p", "adjusted").select("row_id", F.round("adjusted", 2).alias("adjusted"))
+    return series.adjust(s, index, ["model_group"], "month", "p", "adjusted").select("row_id", "adjusted")
 
 
 @query(f"""WITH RECURSIVE {_SALES}, m AS (SELECT model_group, month, median(p) AS median FROM s WHERE month IS NOT NULL GROUP BY 1, 2),

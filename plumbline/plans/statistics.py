@@ -126,10 +126,10 @@ def land_sanity(spark, d):
 
 @query("""WITH s AS (SELECT row_id, model_group, sale_price AS p FROM sales WHERE sale_price > 0 AND NOT isnan(sale_price) AND model_group IS NOT NULL),
 w AS (SELECT row_id, model_group, p, count(p) OVER c AS n, median(p) OVER c AS median, stddev_samp(p) OVER c AS std FROM s WINDOW c AS (PARTITION BY model_group))
-SELECT row_id, n, median, round(p / median, 8) AS ratio, coalesce(abs((p - median) / std) > 2 OR p / median >= 4 OR (p / median <= 0.35 AND (p - median) / std < -1), false) AS flag FROM w""")
+SELECT row_id, n, median, p / median AS ratio, coalesce(abs((p - median) / std) > 2 OR p / median >= 4 OR (p / median <= 0.35 AND (p - median) / std < -1), false) AS flag FROM w""")
 def scrutiny_flags(spark, d):
     s = table(spark, d, "sales").where("sale_price > 0 and not isnan(sale_price) and model_group is not null").select("row_id", "model_group", F.col("sale_price").alias("p"))
-    return ratios.scrutiny(s, "model_group", "p").select("row_id", "n", "median", F.round("ratio", 8).alias("ratio"), "flag")
+    return ratios.scrutiny(s, "model_group", "p").select("row_id", "n", "median", "ratio", "flag")
 
 
 @query()
