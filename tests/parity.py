@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import os
 import sys
 import time
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings universe sales parcel_status state_roll_status block_groups feeds eval_items source_targets".split()
 
 
+#: With PARITY_STRICT set, floating-point values must be the same to the last bit.
+STRICT = bool(os.environ.get("PARITY_STRICT"))
+
+
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else float(f"{v:.10g}") + 0.0
+        return "nan" if math.isnan(v) else (v if STRICT else float(f"{v:.10g}")) + 0.0
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None).isoformat()
     if isinstance(v, dt.date):
