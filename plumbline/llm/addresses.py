@@ -338,7 +338,9 @@ def places(lines: DataFrame) -> DataFrame:
 def same_place_pairs(records: DataFrame, key: str, address: str, city: str | None = None) -> DataFrame:
     """Distinct (``key_a``, ``key_b``), smaller key first: different keys with lines that denote the same place.
 
-    Lines without a house number, or with number 0, and placeholder words denote no place.
+    Lines without a house number, or with number 0, and placeholder words denote no place; null keys and lines are left
+    out, repeated lines count once, a key may have several places. An empty table gives no rows; further columns are not
+    looked at. Every pair of a place's keys is a row, as the result asks for; a place is found from all lines.
     """
     at = cut(places(normalised(records, key, address, city)))
     a, b = at.select("place", F.col("key").alias("key_a")), at.select("place", F.col("key").alias("key_b"))

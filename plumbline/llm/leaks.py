@@ -265,7 +265,8 @@ def leaks(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id:
     """Distinct (``doc_id``, ``item_id``) that share a run of at least ``run`` words.
 
     Null ids and texts, empty texts and texts or items of fewer than ``run`` words leak nothing. Documents with the
-    same id count as one; items that share a phrase are each reported.
+    same id count as one; items that share a phrase are each reported. Texts of any length are searched whole. Without
+    documents or items there are no rows; further columns, whatever their names, are not looked at.
     """
     kinds = f"doc_id {dict(corpus.dtypes)[doc_id]}, item_id {dict(items.dtypes)[item_id]}"
     return _search(corpus, doc_id, text, items, item_id, item_text, run, _pairs, kinds).distinct()

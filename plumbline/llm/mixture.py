@@ -135,7 +135,8 @@ def mix(docs: DataFrame, doc_id: str, source: str, size: str, targets: DataFrame
     target_share, max_repeats, n_docs, available_tokens, budget_tokens, actual_tokens, actual_share`` (share of the
     whole selection). ``total`` defaults to the tokens of the targets' sources. Rows of a source without a target, or
     with a null source or size, are not taken; targets with a null or negative share or repeats count as zero; a
-    repeated target source counts once (its largest share).
+    repeated target source counts once (its largest share). Repeated rows are documents of their own. Without documents
+    nothing is taken and every share is null; further columns are not looked at.
     """
     spark = docs.sparkSession
     t = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("reps"))

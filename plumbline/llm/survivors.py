@@ -121,8 +121,9 @@ def surviving_rows(records: DataFrame, group: str, row_id: str, fields: list[str
     """The ``order`` consensus: ``record_type, group_id, field, row_id`` for groups of two or more records.
 
     ``rank``: columns of which the largest wins, nulls last, compared one after the other; the largest ``row_id``
-    decides in the end. Fields that no record of the group has give no row; null groups are no groups. One shuffle of
-    partial maxima, so a group that holds a third of all rows costs no more than any other.
+    decides in the end. Fields that no record of the group has give no row; null groups are no groups; an empty table
+    gives no rows; further columns don't matter. One shuffle of partial maxima, so a group that holds a third of all
+    rows costs no more than any other.
     """
     place = F.struct(*[x for i, r in enumerate(rank) for x in (r.isNotNull().alias(f"h{i}"), r.alias(f"r{i}"))], F.col(row_id).alias("id"))
     best = [F.max(F.when(~is_missing(records, f), place)).alias(f"f{i}") for i, f in enumerate(fields)]
