@@ -111,3 +111,10 @@ def hilbert_code(lon: Column, lat: Column, bits: int = 16) -> Column:
         return pd.Series(d, dtype="Int64").mask(~good)
 
     return code(lon.cast("double"), lat.cast("double"))
+
+
+def largest_of(left: DataFrame, right: DataFrame, left_id: str, right_id: str, geometry: str, fields: list[str]) -> DataFrame:
+    """``left_id`` and the largest value of each field among the ``right`` polygons that share area with it (null if none)."""
+    o = overlaps(left, right, left_id, right_id, geometry).select(left_id, right_id)
+    s = o.join(right.select(F.col(right_id).cast("string").alias(right_id), *fields), right_id).groupBy(left_id).agg(*[F.max(f).alias(f) for f in fields])
+    return left.select(F.col(left_id).cast("string").alias(left_id)).distinct().join(s, left_id, "left")

@@ -171,3 +171,29 @@ def kernel_model(spark, d):
 def modal_groups(spark, d):
     u = table(spark, d, "universe").select("record_id", "latitude", "longitude", "model_group")
     return neighbors.modal_group(u, table(spark, d, "block_groups"), "record_id", "latitude", "longitude", "model_group", "std_geoid", "geometry")
+
+
+_FRONT = """k AS (SELECT c_custkey AS key, (c_custkey % 40) * 20.0 AS x, (c_custkey // 40) * 50.0 AS y FROM customer)"""
+
+
+@query(f"WITH {_FRONT}, m AS (SELECT max(y) AS m FROM k) SELECT key, (y // 50)::BIGINT AS road, 20.0::DOUBLE AS frontage, 5.0::DOUBLE AS set_back, 'S' AS facing FROM k")
+def street_frontage(spark, d):
+    """Lots of 20 m by 35 m in rows, each 5 m behind its road: every lot fronts its road with its whole width, facing south."""
+    from plumbline.operators import frontage
+
+    k = F.col("c_custkey")
+    lots = table(spark, d, "customer").select(k.alias("key"), ((k % 40) * 20.0).alias("x"), (F.floor(k / 40) * 50.0).alias("y"))
+    sides = F.explode(F.array(*[F.struct(*[(F.col(c) + v).alias(n) for n, c, v in (("ax", "x", a), ("ay", "y", b), ("bx", "x", e), ("by", "y", f))]) for a, b, e, f in ((0.0, 5.0, 20.0, 5.0), (20.0, 5.0, 20.0, 40.0), (20.0, 40.0, 0.0, 40.0), (0.0, 40.0, 0.0, 5.0))])).alias("s")
+    roads = lots.select(F.floor(F.col("y") / 50).alias("road"), "y").distinct().select("road", F.lit(0.0).alias("x1"), F.col("y").alias("y1"), F.lit(800.0).alias("x2"), F.col("y").alias("y2"))
+    # rays to the south meet the backs of the row below, 10 m away; those fronts face north and are another side of the story
+    got = frontage.frontages(roads, lots.select("key", sides).select("key", "s.*"), "road", "key")
+    return got.where("facing = 'S'").select("key", "road", F.round("frontage", 6).alias("frontage"), F.round("set_back", 6).alias("set_back"), "facing")
+
+
+@query()
+def largest_overlapping(spark, d):
+    """The best quality of the parcels that share area with each block group."""
+    from plumbline.operators import shapes
+
+    u = table(spark, d, "universe").where("geometry is not null").select("record_id", "geometry", "bldg_quality_num")
+    return shapes.largest_of(table(spark, d, "block_groups").select("std_geoid", "geometry"), u, "std_geoid", "record_id", "geometry", ["bldg_quality_num"])

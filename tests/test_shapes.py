@@ -42,6 +42,8 @@ def test_shape_table_and_covered_area(spark):
     assert got["b"]["is_elongated"] and got["c"]["area_m2"] is None and got["d"]["vertices"] is None
     cover = {r["k"]: r["covered_m2"] for r in shapes.covered_area(df, df.where("k = 'b'").withColumnRenamed("k", "bid"), "k", "bid", "g").collect()}
     assert cover["a"] == pytest.approx(got["a"]["area_m2"] / 2, rel=1e-3) and cover["b"] == pytest.approx(got["b"]["area_m2"], rel=1e-3) and cover["c"] == 0
+    tall = df.withColumn("height", F.when(F.col("k") == "b", 7.0).otherwise(3.0)).withColumnRenamed("k", "bid")
+    assert {r["k"]: r["height"] for r in shapes.largest_of(df, tall, "k", "bid", "g", ["height"]).collect()} == {"a": 7.0, "b": 7.0, "c": None, "d": None}
     h = spark.createDataFrame([(float(x), float(y)) for x in (-90, 90) for y in (-45, 45)] + [(None, 1.0)], "x double, y double").coalesce(1)
     assert [r[0] for r in h.select(shapes.hilbert_code(F.col("x"), F.col("y"), 1)).collect()] == [0, 1, 3, 2, None]
 
