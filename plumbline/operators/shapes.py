@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import geo, polygons
 from plumbline.operators.spatial import region_cells
+from plumbline.session import cut
 
 
 def shape_metrics(df: DataFrame, key: str, geometry: str, tolerance_m: float = 10.0, complex_from: int = 12, rectangular_to: float = 0.75, elongated_from: float = 5.0) -> DataFrame:
@@ -60,23 +61,22 @@ def _shared_m2(a, b):
 def overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str, geometry: str, parts: int = 4) -> DataFrame:
     """``left_id, right_id, shared_m2`` of polygons that share area.
 
-    Both layers are covered by quadtree cells brought to one level per pair: a cell of the coarser side is looked up from
-    each of its descendants through the code shifted to that level, so candidates meet by equality.
+    Both layers are covered by quadtree cells; two cells meet if one is the other or lies in it. Each cell is looked up
+    under its ancestors on the levels that the other layer uses, so candidates meet by two equality joins.
     """
-    a = region_cells(left, left_id, geometry, parts).select(F.col("level").alias("la"), F.col("lo").alias("a_lo"), F.col("region").alias("a"))
-    b = region_cells(right, right_id, geometry, parts).select(F.col("level").alias("lb"), F.col("lo").alias("b_lo"), F.col("region").alias("b"))
-    level = lambda code, at: F.expr(f"shiftright({code}, cast(2 * ({geo.MAX_LEVEL} - {at}) as int))")
-    la, lb = ([r[0] for r in x.select(c).distinct().collect()] for x, c in ((a, "la"), (b, "lb")))  # at most 27 levels each
-    pairs = None
-    for x in la:
-        for y in lb:
-            at = min(x, y)
-            j = a.where(F.col("la") == x).withColumn("c", level("a_lo", at)).join(b.where(F.col("lb") == y).withColumn("c", level("b_lo", at)), "c").select("a", "b")
-            pairs = j if pairs is None else pairs.unionByName(j)
-    if pairs is None:
-        return left.sparkSession.createDataFrame([], f"{left_id} string, {right_id} string, shared_m2 double")
+    a = cut(region_cells(left, left_id, geometry, parts).select(F.col("level").alias("at"), "lo", F.col("region").alias("a")))
+    b = cut(region_cells(right, right_id, geometry, parts).select(F.col("level").alias("at"), "lo", F.col("region").alias("b")))
+    code = lambda at: F.expr(f"shiftright(lo, cast(2 * ({geo.MAX_LEVEL} - {at}) as int))")
+    own = lambda df, n: df.select("at", code("at").alias("c"), n).distinct()
+
+    def above(df: DataFrame, n: str, other: DataFrame, same: bool) -> DataFrame:
+        levels = sorted(r[0] for r in other.select("at").distinct().collect())  # at most 27
+        up = F.explode(F.filter(F.array(*[F.lit(x) for x in levels]).cast("array<int>"), lambda x: (x <= F.col("at")) if same else (x < F.col("at")))).alias("up")
+        return df.select("lo", n, up).select(F.col("up").alias("at"), code("up").alias("c"), n).distinct()
+
+    pairs = above(a, "a", b, True).join(own(b, "b"), ["at", "c"]).select("a", "b").unionByName(own(a, "a").join(above(b, "b", a, False), ["at", "c"]).select("a", "b")).distinct()
     geoms = lambda df, i, n: df.select(F.col(i).cast("string").alias(n), F.col(geometry).alias(f"g_{n}"))
-    full = pairs.distinct().join(geoms(left, left_id, "a"), "a").join(geoms(right, right_id, "b"), "b")
+    full = pairs.join(geoms(left, left_id, "a"), "a").join(geoms(right, right_id, "b"), "b")
     return full.select(F.col("a").alias(left_id), F.col("b").alias(right_id), _shared_m2("g_a", "g_b").alias("shared_m2")).where("shared_m2 > 0")
 
 
