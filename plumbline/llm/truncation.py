@@ -2,10 +2,10 @@ r"""Texts cut off by field limits or in transfer (problem 8).
 
 Two kinds of evidence, for whole texts:
 
-* Near-copies. Distinct texts are banded by min-hash over five-word shingles; in each band every text is paired with
-  the longest text of its bucket (a star, so a bucket of any size gives one pair per member), pairs are verified by
-  their shingles (0.8 or more of the shorter text's shingles are the other's), and the shorter text's ending is
-  aligned in the longer one. If the longer text goes on in the middle of a word, sentence, formula, environment or
+* Near-copies. Distinct texts are banded by min-hash over five-word shingles; a text is compared with every longer text
+  that it shares a bucket with, likeliest first and in growing batches, until one goes on or none is left. Pairs are
+  verified by their shingles (0.8 or more of the shorter text's shingles are the other's), and the shorter text's ending
+  is aligned in the longer one. If the longer text goes on in the middle of a word, sentence, formula, environment or
   entry where the shorter one stops, the shorter one was cut.
 * Closing-word terminality. Each text's ending is scored: an article that is opened must be closed; environments,
   groups and formulas must be balanced; what follows the last of them must end a sentence or be a command that stands
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.operators.lastknown import hot_keys
 from plumbline.operators.skew import salted_join
@@ -35,6 +36,8 @@ BANDS, ROWS = 24, 5
 BINS = 128
 #: A closing word counts as not terminal if it was seen so often and went on in more than half of the cases.
 SEEN = 5
+#: Candidates of a text in the first round of comparisons; each later round takes so many times as many as all before.
+FIRST, GROWTH = 1, 4
 
 #: Marks that tools append after a cut.
 MARKS = ["…", "...", "[...]", "[…]", "[truncated]", "[cut]", "(truncated)", "\ufffd"]
@@ -156,7 +159,9 @@ def _bands(words: list[str], known: dict):
 def _first_pass(batches: Iterator):
     """One row per text with its verdict and bands, and one per closing word with how often it ended or went on."""
     import pandas as pd
+    import xxhash
 
+    columns = ["doc_id", "source", "verdict", "last", "n_words", "digest", "bands", "ended", "went_on"]
     known: dict = {}
     ended: dict = {}
     for pdf in batches:
@@ -164,17 +169,18 @@ def _first_pass(batches: Iterator):
         for doc, source, text in zip(pdf["doc_id"], pdf["source"], pdf["text"], strict=True):
             verdict, last = closing(text)
             words = text.split() if isinstance(text, str) else []
-            rows.append((doc, source, verdict, last, len(words), _bands(words, known), 0, 0))
+            digest = xxhash.xxh3_128_hexdigest(text) if words else None
+            rows.append((doc, source, verdict, last, len(words), digest, _bands(words, known), 0, 0))
             for m in _SENTENCE.finditer(text or ""):
                 w = m.group(1)[-40:]
                 s = ended.setdefault(w, [0, 0])
                 # a lower-case word on the same line shows that the sentence went on
                 s[m.group(3).islower() and "\n" not in m.group(2)] += 1
         if len(ended) > 200_000:
-            rows += [(None, None, "word", w, 0, None, a, b) for w, (a, b) in ended.items()]
+            rows += [(None, None, "word", w, 0, None, None, a, b) for w, (a, b) in ended.items()]
             ended = {}
-        yield pd.DataFrame(rows, columns=["doc_id", "source", "verdict", "last", "n_words", "bands", "ended", "went_on"])
-    yield pd.DataFrame([(None, None, "word", w, 0, None, a, b) for w, (a, b) in ended.items()], columns=["doc_id", "source", "verdict", "last", "n_words", "bands", "ended", "went_on"])
+        yield pd.DataFrame(rows, columns=columns)
+    yield pd.DataFrame([(None, None, "word", w, 0, None, None, a, b) for w, (a, b) in ended.items()], columns=columns)
 
 
 def goes_on(short: str, long: str) -> bool:
@@ -202,6 +208,29 @@ def _second_pass(batches: Iterator):
         yield pdf[[goes_on(s, t) for s, t in zip(pdf["text"], pdf["long"], strict=True)]][["doc_id"]]
 
 
+def _candidates(texts: DataFrame) -> DataFrame:
+    """``doc_id, other, place``: every longer text that shares a bucket with one whose ending alone can't tell, likeliest first."""
+    banded = texts.where("bands is not null and doc_id is not null").select("doc_id", "verdict", "n_words", F.posexplode("bands").alias("band", "hash")).withColumn("bucket", F.xxhash64("band", "hash")).drop("band", "hash")
+    others = banded.select("bucket", F.col("doc_id").alias("other"), F.col("n_words").alias("m"))
+    met = salted_join(banded.where("verdict = 'ends'"), others, "bucket").where("m > n_words").groupBy("doc_id", "other").agg(F.count(F.lit(1)).alias("shared"), F.max("m").alias("m"))
+    likeliest = Window.partitionBy("doc_id").orderBy(F.col("shared").desc(), F.col("m").desc(), "other")
+    return cut(met.select("doc_id", "other", F.row_number().over(likeliest).alias("place")))
+
+
+def _going_on(pairs: DataFrame, held: DataFrame, kind: str) -> DataFrame:
+    """The texts that one of their candidates goes on from. Those without a match meet further candidates until none is left."""
+    found = pairs.select("doc_id").limit(0)
+    longs = held.select(F.col("doc_id").alias("other"), F.col("text").alias("long"))
+    done, upto, last = 0, FIRST, pairs.agg(F.max("place")).first()[0] or 0
+    while done < last:
+        now = cut(pairs.where(F.col("place").between(done + 1, upto)).join(found, "doc_id", "left_anti").select("doc_id", "other"))
+        # one text may be a candidate of a third of all: its followers are spread
+        got = salted_join(held.join(now, "doc_id"), longs, "other", hot=hot_keys(now, "other")).select("doc_id", "text", "long").mapInPandas(_second_pass, f"doc_id {kind}").distinct()
+        found = cut(found.unionByName(got))
+        done, upto = upto, upto + GROWTH * upto
+    return found
+
+
 def find_truncated(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
     """Every row of ``docs`` as ``doc_id, source, evidence``: null, or why the text counts as cut.
 
@@ -212,20 +241,18 @@ def find_truncated(docs: DataFrame, doc_id: str, source: str, text: str) -> Data
     """
     kind = dict(docs.dtypes)[doc_id]
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
-    both = cut(base.mapInPandas(_first_pass, f"doc_id {kind}, source string, verdict string, last string, n_words int, bands array<long>, ended long, went_on long"))
+    both = cut(base.mapInPandas(_first_pass, f"doc_id {kind}, source string, verdict string, last string, n_words int, digest string, bands array<long>, ended long, went_on long"))
     texts = both.where("verdict <> 'word'")
     words = both.where("verdict = 'word'").groupBy("last").agg(F.sum("ended").alias("ended"), F.sum("went_on").alias("went_on"))
     loose = words.where((F.col("ended") + F.col("went_on") >= SEEN) & (F.col("went_on") > F.col("ended"))).select("last", F.lit(True).alias("loose"))
-    # near-copies: each text whose ending alone can't tell is compared with the longest text of each of its buckets
-    banded = texts.where("bands is not null and doc_id is not null").select("doc_id", "verdict", "n_words", F.posexplode("bands").alias("band", "hash")).withColumn("bucket", F.xxhash64("band", "hash")).drop("band", "hash")
-    lead = banded.groupBy("bucket").agg(F.max(F.struct("n_words", "doc_id")).alias("lead"), F.min("n_words").alias("least")).where(F.col("lead.n_words") > F.col("least")).drop("least")
-    pairs = salted_join(banded.where("verdict = 'ends'"), lead, "bucket").where(F.col("lead.n_words") > F.col("n_words")).select("doc_id", F.col("lead.doc_id").alias("other")).distinct()
-    pairs = cut(pairs)
+    # near-copies: exact copies stand for each other; each text whose ending alone can't tell has candidates
+    first = texts.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("as"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    repeats = cut(salted_join(texts.where("doc_id is not null").select("digest", "doc_id"), first, "digest").where(F.col("doc_id") != F.col("as")).select("doc_id", "as"))
+    pairs = _candidates(texts.join(repeats, "doc_id", "left_anti"))
     held = base.select("doc_id", "text")
-    shorts = held.join(pairs, "doc_id")
-    longs = held.join(pairs.select(F.col("other").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("other"), F.col("text").alias("long"))
-    # one text may lead a third of all: its followers are spread
-    copies = salted_join(shorts, longs, "other", hot=hot_keys(pairs, "other")).select("doc_id", "text", "long").mapInPandas(_second_pass, f"doc_id {kind}").distinct().withColumn("copy", F.lit(True))
+    needed = pairs.select("doc_id").union(pairs.select("other")).distinct()
+    copies = _going_on(pairs, cut(held.join(needed, "doc_id", "left_semi")), kind)
+    copies = copies.unionByName(salted_join(repeats, copies.withColumnRenamed("doc_id", "as"), "as", "left_semi").select("doc_id")).distinct().withColumn("copy", F.lit(True))
     out = salted_join(texts.select("doc_id", "source", "verdict", "last"), loose, "last", "left").join(copies, "doc_id", "left")
     evidence = F.when(~F.col("verdict").isin("whole", "ends"), F.col("verdict")).when(F.col("copy"), "copy").when(F.col("loose"), "word")
     return out.select("doc_id", "source", evidence.alias("evidence"))

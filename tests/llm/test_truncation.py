@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import truncation as tr
 from tests.conftest import SMALL
@@ -88,3 +89,16 @@ def test_small_tables(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     got = tr.find_truncated(docs, "doc_id", "source", "text").collect()
     assert len(got) == docs.count() and 0 < sum(bool(r["evidence"]) for r in got) < len(got) / 4
+
+
+def test_copies_that_are_not_the_longest_of_their_bucket(spark):
+    rnd = random.Random(15)
+    vocab = [f"w{i}" for i in range(4000)]
+    words = [rnd.choice(vocab) for _ in range(200)]
+    # longer versions with other endings lead every bucket; only the shorter full copy goes on where the first was cut
+    rows = [(1, " ".join(words[:192]) + "."), (2, " ".join(words) + ".")]
+    rows += [(10 + i, " ".join(words[:191] + [rnd.choice(vocab) for _ in range(20)]) + ".") for i in range(30)]
+    rows += [(4, rows[0][1]), (5, " ".join(rnd.choice(vocab) for _ in range(100)) + ".")]
+    df = spark.createDataFrame(rows, "id long, text string").withColumn("src", F.lit("a"))
+    got = {r["doc_id"] for r in tr.find_truncated(df, "id", "src", "text").where("evidence = 'copy'").collect()}
+    assert got == {1, 4}
