@@ -2,9 +2,10 @@ r"""Texts cut off by field limits or in transfer (problem 8).
 
 Two kinds of evidence, for whole texts:
 
-* Near-copies. Distinct texts are banded by min-hash over five-word shingles; a text is compared with every longer text
-  that it shares a bucket with, likeliest first and in growing batches, until one goes on or none is left. Pairs are
-  verified by their shingles (0.8 or more of the shorter text's shingles are the other's), and the shorter text's ending
+* Near-copies. Of every eight shingles (five words) in a row the one with the least hash is a print of the text, so texts
+  that share twelve words in a row share a print wherever those stand, and a cut text shares its prints with its copy
+  however early it was cut. A text is compared with every longer text that has as many of its prints as the check below
+  implies, likeliest first and in growing batches, until one goes on or none is left. Pairs are verified by their shingles (0.8 or more of the shorter text's shingles are the other's), and the shorter text's ending
   is aligned in the longer one. If the longer text goes on in the middle of a word, sentence, formula, environment or
   entry where the shorter one stops, the shorter one was cut.
 * Closing-word terminality. Each text's ending is scored: an article that is opened must be closed; environments,
@@ -29,15 +30,18 @@ from plumbline.operators.lastknown import hot_keys
 from plumbline.operators.skew import salted_join
 from plumbline.session import cut
 
-#: Words of a shingle, least share of shingles for near-copies, and the min-hash banding (0.8 meets with 0.9999).
+#: Words of a shingle, least share of shingles for near-copies, and a min-hash banding of whole texts.
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 BINS = 128
 #: A closing word counts as not terminal if it was seen so often and went on in more than half of the cases.
 SEEN = 5
+#: Shingles in a row of which one is a print; texts with fewer than so many shingles have all of them as prints.
+WINDOW, SHORT = 8, 20
 #: Candidates of a text in the first round of comparisons; each later round takes so many times as many as all before.
-FIRST, GROWTH = 1, 4
+#: A round shuffles the texts once more, so there are few.
+FIRST, GROWTH = 8, 256
 
 #: Marks that tools append after a cut.
 MARKS = ["…", "...", "[...]", "[…]", "[truncated]", "[cut]", "(truncated)", "\ufffd"]
@@ -118,13 +122,11 @@ def _open(text: str) -> bool:
 _P = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
-def _bands(words: list[str], known: dict):
-    """The band hashes of a text (one-permutation min-hash over its shingles); None for a text without words."""
+def _hashes(words: list[str], known: dict):
+    """The hash of each shingle of a text, in order; a text shorter than a shingle is filled up."""
     import numpy as np
     import xxhash
 
-    if not words:
-        return None
     if len(known) > 1_000_000:
         known.clear()
     w = np.empty(max(len(words), SHINGLE), np.uint64)
@@ -142,6 +144,39 @@ def _bands(words: list[str], known: dict):
     h *= np.uint64(_P[1])
     h ^= h >> np.uint64(32)
     h *= np.uint64(_P[2])
+    return h
+
+
+def _prints(words: list[str], known: dict):
+    """``(least, prints)``: the distinct prints of a text and how many of them a copy shares at least; None for a text without words."""
+    import numpy as np
+
+    if not words:
+        return 0, None
+    h = _hashes(words, known)
+    least = _least_shared(len(np.unique(h)))
+    if len(h) >= SHORT:
+        rows = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
+        h = h[np.unique(rows.argmin(axis=1) + np.arange(len(rows)))]
+    return least, np.unique(h).view(np.int64)
+
+
+def _least_shared(n: int) -> int:
+    """Prints that a text of so many distinct shingles shares at least with one that has SIMILARITY of its shingles.
+
+    A changed place takes four shingles or more, so the 0.2 n that may be missing lie in 0.05 n places and leave
+    0.05 n + 1 runs, and a run of r shingles has at least (r - 7) / 8 prints: (0.8 n - 7 (0.05 n + 1)) / 8 in all.
+    """
+    return max(1, -int(-(0.45 * n - 7) // WINDOW))
+
+
+def _bands(words: list[str], known: dict):
+    """The band hashes of a text (one-permutation min-hash over its shingles), which meet for texts alike as a whole; None for a text without words."""
+    import numpy as np
+
+    if not words:
+        return None
+    h = _hashes(words, known)
     h.sort()
     b = (h >> np.uint64(57)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
@@ -157,11 +192,11 @@ def _bands(words: list[str], known: dict):
 
 
 def _first_pass(batches: Iterator):
-    """One row per text with its verdict and bands, and one per closing word with how often it ended or went on."""
+    """One row per text with its verdict and prints, and one per closing word with how often it ended or went on."""
     import pandas as pd
     import xxhash
 
-    columns = ["doc_id", "source", "verdict", "last", "n_words", "digest", "bands", "ended", "went_on"]
+    columns = ["doc_id", "source", "verdict", "last", "n_words", "digest", "least", "prints", "ended", "went_on"]
     known: dict = {}
     ended: dict = {}
     for pdf in batches:
@@ -170,27 +205,30 @@ def _first_pass(batches: Iterator):
             verdict, last = closing(text)
             words = text.split() if isinstance(text, str) else []
             digest = xxhash.xxh3_128_hexdigest(text) if words else None
-            rows.append((doc, source, verdict, last, len(words), digest, _bands(words, known), 0, 0))
+            rows.append((doc, source, verdict, last, len(words), digest, *_prints(words, known), 0, 0))
             for m in _SENTENCE.finditer(text or ""):
                 w = m.group(1)[-40:]
                 s = ended.setdefault(w, [0, 0])
                 # a lower-case word on the same line shows that the sentence went on
                 s[m.group(3).islower() and "\n" not in m.group(2)] += 1
         if len(ended) > 200_000:
-            rows += [(None, None, "word", w, 0, None, None, a, b) for w, (a, b) in ended.items()]
+            rows += [(None, None, "word", w, 0, None, 0, None, a, b) for w, (a, b) in ended.items()]
             ended = {}
         yield pd.DataFrame(rows, columns=columns)
-    yield pd.DataFrame([(None, None, "word", w, 0, None, None, a, b) for w, (a, b) in ended.items()], columns=columns)
+    yield pd.DataFrame([(None, None, "word", w, 0, None, 0, None, a, b) for w, (a, b) in ended.items()], columns=columns)
+
+
+def _near(a: list[str], b: list[str]) -> bool:
+    """Whether SIMILARITY of the shingles of ``a`` are shingles of ``b``."""
+    grams = lambda w: {tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)}
+    mine = grams(a)
+    return len(mine & grams(b)) >= SIMILARITY * len(mine)
 
 
 def goes_on(short: str, long: str) -> bool:
     """Whether ``long`` is a near-copy of ``short`` that continues in the middle of something where ``short`` ends."""
     a, b = short.split(), long.split()
-    if len(a) < 2 * SHINGLE or len(b) <= len(a):
-        return False
-    grams = lambda w: {tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)}
-    mine = grams(a)
-    if len(mine & grams(b)) < SIMILARITY * len(mine):
+    if len(a) < 2 * SHINGLE or len(b) <= len(a) or not _near(a, b):
         return False
     last = a[-1].rstrip(".…!?")
     tail = a[-SHINGLE:-1]
@@ -209,12 +247,22 @@ def _second_pass(batches: Iterator):
 
 
 def _candidates(texts: DataFrame) -> DataFrame:
-    """``doc_id, other, place``: every longer text that shares a bucket with one whose ending alone can't tell, likeliest first."""
-    banded = texts.where("bands is not null and doc_id is not null").select("doc_id", "verdict", "n_words", F.posexplode("bands").alias("band", "hash")).withColumn("bucket", F.xxhash64("band", "hash")).drop("band", "hash")
-    others = banded.select("bucket", F.col("doc_id").alias("other"), F.col("n_words").alias("m"))
-    met = salted_join(banded.where("verdict = 'ends'"), others, "bucket").where("m > n_words").groupBy("doc_id", "other").agg(F.count(F.lit(1)).alias("shared"), F.max("m").alias("m"))
+    """``doc_id, other, place``: the longer texts that share enough prints with one whose ending alone can't tell, likeliest first.
+
+    A text has to share ``least`` of its prints. So half as many, the most frequent ones, can be left out, as the rest of
+    ``least`` must be shared among the others: prints of what everybody writes make no pairs unless the text has no others.
+    """
+    ends = F.col("verdict") == "ends"
+    prints = texts.where("prints is not null and doc_id is not null").select("doc_id", "n_words", "least", ends.alias("ends"), F.explode("prints").alias("print")).repartition("print")
+    same = Window.partitionBy("print")
+    met = prints.withColumns({"n": F.count(F.lit(1)).over(same), "short": F.max("ends").over(same)}).where("n > 1 and short").drop("short")
+    met = cut(met)
+    frequent = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "print"))
+    shorts = met.where("ends").withColumn("r", frequent).where("r > least div 2").select("doc_id", "n_words", "least", "print")
+    others = met.select("print", F.col("doc_id").alias("other"), F.col("n_words").alias("m"))
+    pairs = salted_join(shorts, others, "print").where("m > n_words").groupBy("doc_id", "other").agg(F.countDistinct("print").alias("shared"), F.max("m").alias("m"), F.max("least").alias("least"))
     likeliest = Window.partitionBy("doc_id").orderBy(F.col("shared").desc(), F.col("m").desc(), "other")
-    return cut(met.select("doc_id", "other", F.row_number().over(likeliest).alias("place")))
+    return cut(pairs.where("shared >= least - least div 2").select("doc_id", "other", F.row_number().over(likeliest).alias("place")))
 
 
 def _going_on(pairs: DataFrame, held: DataFrame, kind: str) -> DataFrame:
@@ -241,7 +289,7 @@ def find_truncated(docs: DataFrame, doc_id: str, source: str, text: str) -> Data
     """
     kind = dict(docs.dtypes)[doc_id]
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
-    both = cut(base.mapInPandas(_first_pass, f"doc_id {kind}, source string, verdict string, last string, n_words int, digest string, bands array<long>, ended long, went_on long"))
+    both = cut(base.mapInPandas(_first_pass, f"doc_id {kind}, source string, verdict string, last string, n_words int, digest string, least int, prints array<long>, ended long, went_on long"))
     texts = both.where("verdict <> 'word'")
     words = both.where("verdict = 'word'").groupBy("last").agg(F.sum("ended").alias("ended"), F.sum("went_on").alias("went_on"))
     loose = words.where((F.col("ended") + F.col("went_on") >= SEEN) & (F.col("went_on") > F.col("ended"))).select("last", F.lit(True).alias("loose"))

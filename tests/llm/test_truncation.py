@@ -102,3 +102,30 @@ def test_copies_that_are_not_the_longest_of_their_bucket(spark):
     df = spark.createDataFrame(rows, "id long, text string").withColumn("src", F.lit("a"))
     got = {r["doc_id"] for r in tr.find_truncated(df, "id", "src", "text").where("evidence = 'copy'").collect()}
     assert got == {1, 4}
+
+
+@pytest.mark.parametrize("share", [0.6, 0.5, 0.3, 0.1])
+def test_copies_of_early_cuts(spark, share):
+    rnd = random.Random(16)
+    vocab = [f"w{i}" for i in range(4000)]
+    rows, opening = [], " ".join(f"common{i}" for i in range(15))
+    for i in range(40):
+        words = [rnd.choice(vocab) for _ in range(400)]
+        edited = [rnd.choice(vocab) if k % 50 == 20 else w for k, w in enumerate(words)]
+        rows += [(2 * i, f"{opening} {' '.join(words[: int(400 * share)])}."), (2 * i + 1, f"{opening} {' '.join(edited)}.")]
+    df = spark.createDataFrame(rows, "id long, text string").withColumn("src", F.lit("a"))
+    got = {r["doc_id"] for r in tr.find_truncated(df, "id", "src", "text").where("evidence = 'copy'").collect()}
+    assert got == {2 * i for i in range(40)}
+
+
+def test_prints_shared_by_what_the_check_accepts():
+    rnd = random.Random(17)
+    for n in [*range(10, 60), 100, 187, 500]:
+        a = [f"w{rnd.randrange(5000)}" for _ in range(n)]
+        b = list(a)
+        for k in range(15, n - 5, 27):  # edits as evenly spread as the check lets pass
+            b[k] = "new"
+        b += ["more"] * 10
+        if tr._near(a, b):
+            (least, mine), (_, other) = tr._prints(a, {}), tr._prints(b, {})
+            assert len(set(mine.tolist()) & set(other.tolist())) >= (least if n >= tr.SHORT + 4 else 0)
