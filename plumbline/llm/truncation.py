@@ -39,6 +39,10 @@ BINS = 128
 SEEN = 5
 #: Shingles in a row of which one is a print; texts with fewer than so many shingles have all of them as prints.
 WINDOW, SHORT = 8, 20
+#: Words before the last one that are aligned with the longer text and the largest share of them that may be edited; of
+#: them the nearest ones, and how many of those may be edited.
+TAIL, EDITS = 64, 0.25
+CLOSE, CLOSE_EDITS = 8, 2
 #: Candidates of a text in the first round of comparisons; each later round takes so many times as many as all before.
 #: A round shuffles the texts once more, so there are few.
 FIRST, GROWTH = 8, 256
@@ -231,14 +235,38 @@ def goes_on(short: str, long: str) -> bool:
     if len(a) < 2 * SHINGLE or len(b) <= len(a) or not _near(a, b):
         return False
     last = a[-1].rstrip(".…!?")
-    tail = a[-SHINGLE:-1]
-    for i in range(len(b) - 1, SHINGLE - 2, -1):
-        if b[i - SHINGLE + 1 : i] == tail and last and b[i].startswith(last):
-            if b[i] == a[-1]:
-                return False  # the longer text has the same last word: it may simply have one more passage
-            rest = b[i][len(last) :]
-            return not re.match(r"[.!?:;]", rest) and (bool(rest) or i + 1 < len(b))
-    return False
+    if not last:
+        return False
+    # the last word may be cut, so what stands before it is aligned, and the word is looked for where that ends
+    far, close = _alignment(a[-TAIL - 1 : -1], b), _alignment(a[-CLOSE - 1 : -1], b)
+    cost = [f + (j == len(b) or not b[j].startswith(last)) for j, f in enumerate(far)]
+    least = min(cost)
+    if least > EDITS * min(TAIL, len(a) - 1):
+        return False
+    return all(close[j] <= CLOSE_EDITS and _open_at(a[-1], last, b, j) for j, c in enumerate(cost) if c == least)
+
+
+def _open_at(word: str, last: str, b: list[str], j: int) -> bool:
+    """Whether ``b`` goes on at its word ``j``, where the other text stops with ``word`` (``last`` without its marks)."""
+    if j == len(b) or not b[j].startswith(last) or b[j] == word:
+        return False  # the same last word: the longer text may simply have one more passage
+    rest = b[j][len(last) :]
+    return not re.match(r"[.!?:;]", rest) and (bool(rest) or j + 1 < len(b))
+
+
+def _alignment(tail: list[str], b: list[str]) -> list[int]:
+    """The fewest edits (words added, left out or replaced) between ``tail`` and a passage of ``b`` that ends before its word j, for each j."""
+    import numpy as np
+
+    number = {w: i for i, w in enumerate(dict.fromkeys(tail))}
+    other = np.array([number.get(w, -1) for w in b])
+    at = np.arange(len(b) + 1)
+    d = np.zeros(len(b) + 1, np.int64)
+    for w in tail:
+        e = d + 1
+        e[1:] = np.minimum(e[1:], d[:-1] + (other != number[w]))
+        d = np.minimum.accumulate(e - at) + at
+    return d.tolist()
 
 
 def _second_pass(batches: Iterator):

@@ -129,3 +129,18 @@ def test_prints_shared_by_what_the_check_accepts():
         if tr._near(a, b):
             (least, mine), (_, other) = tr._prints(a, {}), tr._prints(b, {})
             assert len(set(mine.tolist()) & set(other.tolist())) >= (least if n >= tr.SHORT + 4 else 0)
+
+
+def test_endings_are_aligned_with_edits():
+    words = [f"w{i}" for i in range(120)]
+    cut = " ".join(words[:100]) + "."
+    for k in (95, 96, 97, 98):  # one of the last words is edited in the copy: replaced, left out, or one is added
+        assert tr.goes_on(cut, " ".join(words[:k] + ["new"] + words[k + 1 :]))
+        assert tr.goes_on(cut, " ".join(words[:k] + words[k + 1 :]))
+        assert tr.goes_on(cut, " ".join(words[:k] + ["new"] + words[k:]))
+    # the last words occur again at the end of the copy
+    assert tr.goes_on(cut, " ".join(words + words[95:100]) + ".")
+    # the passage ends there in the copy too, another ending, and the same ending with a passage after it
+    assert not tr.goes_on(cut, cut + " And more.")
+    assert not tr.goes_on(cut, " ".join(words[:99] + ["other", "end", "of", "it."]))
+    assert not tr.goes_on(cut, " ".join(words[:90] + [f"x{i}" for i in range(30)]))
