@@ -44,12 +44,13 @@ SALE_FIELDS = ["sale_price", "sale_date", "deed_book", "deed_page", "valid_sale"
 PARCEL_FIELDS = ["address", "bldg_area_finished_sqft", "land_area_sqft", "neighborhood"]
 
 
-def _grouped_sales(spark: SparkSession, d: str) -> DataFrame:
+def _grouped_sales(spark: SparkSession, d: str, values: bool = False) -> DataFrame:
+    """Sales with the group of their transaction; with ``values`` the fields themselves, else only whether they are there."""
     sales = sv.trusted(table(spark, d, "sales").select("row_id", "key_sale", "key", "feed", "recorded_at", *SALE_FIELDS), table(spark, d, "feeds"))
     deed, whole = sv.deed_identity(F.col("key"), F.col("deed_book"), F.col("deed_page"))
     # identifiers and what is missing are worked out once; the values themselves are not needed to choose rows
     present = [F.when(~sv.is_missing(sales, f), F.lit(1)).alias(f) for f in SALE_FIELDS]
-    named = cut(sales.select("row_id", sv.sale_identity(F.col("key_sale")).alias("s"), F.when(whole, deed).alias("d"), "recorded_at", "trust_rank", *present))
+    named = cut(sales.select("row_id", sv.sale_identity(F.col("key_sale")).alias("s"), F.when(whole, deed).alias("d"), "recorded_at", "trust_rank", *(["key_sale", *SALE_FIELDS] if values else present)))
     return sv.linked_groups(named, "s", "d")
 
 
@@ -64,10 +65,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_consensus(spark: SparkSession, d: str) -> DataFrame:
-    """Token-level consensus of the parcels' text fields; a record's weight falls with its feed's trust rank."""
-    parcels = sv.trusted(table(spark, d, "universe").select("record_id", "key", "feed", "address", "neighborhood"), table(spark, d, "feeds"))
+    """Token-level consensus of the fields of sales and parcels; a record's weight falls with its feed's trust rank."""
+    parcels = sv.trusted(table(spark, d, "universe").select("record_id", "key", "feed", *PARCEL_FIELDS), table(spark, d, "feeds"))
     weight = F.lit(1.0) / F.coalesce(F.col("trust_rank"), F.lit(10))
-    return sv.surviving_values(parcels, "key", "record_id", ["address", "neighborhood"], weight)
+    sales = sv.surviving_values(_grouped_sales(spark, d, values=True), "group", "row_id", ["key_sale", *SALE_FIELDS], weight).select(F.lit("sale").alias("record_type"), "*")
+    return sales.unionByName(sv.surviving_values(parcels, "key", "record_id", PARCEL_FIELDS, weight).select(F.lit("parcel").alias("record_type"), "*"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -90,3 +90,13 @@ def test_consensus_elects_tokens_and_returns_existing_values(spark):
     many = spark.createDataFrame([(i, "g", f"1 Elm Street unit {i}", 1.0) for i in range(300)] + [(1000 + i, "g", "1 Elm Street", 1.0) for i in range(400)], "id long, g string, a string, w double")
     assert [r["value"] for r in sv.surviving_values(many, "g", "id", ["a"], F.col("w")).collect()] == ["1 Elm Street"]
     assert sv.surviving_values(df.limit(0), "g", "id", ["a"], F.col("w")).count() == 0
+
+
+def test_consensus_covers_sales_and_parcels(spark):
+    found = {(r["record_type"], r["group_id"], r["field"]) for r in queries.p4_found(spark, SMALL).collect()}
+    got = queries.p4_consensus(spark, SMALL).collect()
+    voted = {(r["record_type"], r["group_id"], r["field"]) for r in got}
+    assert len(voted) == len(got) and all(r["value"] and r["row_id"] >= r["group_id"] for r in got)
+    # every group and field that has a survivor has a vote, and sales vote on their key too
+    assert {v for v in voted if v[2] != "key_sale"} == found
+    assert any(v[2] == "key_sale" for v in voted)
