@@ -108,7 +108,9 @@ class Compiler:
         found = filters.resolve_name(self.df, name, self.renames)
         if found is None:
             raise ValueError(f"no column {name!r}; write 'str:{name}' for the text")
-        return F.col(f"`{found}`")
+        c = F.col(f"`{found}`")
+        # NaN counts as null, in every operator alike
+        return F.nanvl(c, F.lit(None)) if isinstance(self.df.schema[found].dataType, (T.DoubleType, T.FloatType)) else c
 
     def operand(self, v):
         """A Column, or the plain value if it is a literal."""

@@ -29,10 +29,10 @@ def calc_div_zero(spark, d):
     return calc.calculate(df, {"per_area": ["/", "total_value", "bldg_area_finished_sqft"], "per_area_safe": ["/0", "total_value", "bldg_area_finished_sqft"]}).drop("total_value", "bldg_area_finished_sqft")
 
 
-@query("""SELECT row_id, floor(p) AS fl, ceil(p) AS ce, round_even(p, 0) AS ro, abs(p) AS ab, CASE WHEN NOT isnan(p) THEN trunc(p)::BIGINT END AS ai, round_even(p / 250.0, 0) * 250.0 AS near
-FROM (SELECT row_id, sale_price AS p FROM sales) WHERE p IS NULL OR abs(p) < 1e15 OR isnan(p)""")
+@query("""SELECT row_id, floor(p) AS fl, ceil(p) AS ce, round_even(p, 0) AS ro, abs(p) AS ab, TRY_CAST(trunc(p) AS BIGINT) AS ai, round_even(p / 250.0, 0) * 250.0 AS near
+FROM (SELECT row_id, CASE WHEN NOT isnan(sale_price) THEN sale_price END AS p FROM sales)""")
 def calc_round_family(spark, d):
-    df = table(spark, d, "sales").select("row_id", F.col("sale_price").alias("p")).where("p is null or abs(p) < 1e15 or isnan(p)")
+    df = table(spark, d, "sales").select("row_id", F.col("sale_price").alias("p"))
     return calc.calculate(df, {"fl": ["floor", "p"], "ce": ["ceil", "p"], "ro": ["round", "p"], "ab": ["abs", "p"], "ai": ["asint", "p"], "near": ["round_nearest", "p", 250.0]}).drop("p")
 
 
@@ -42,8 +42,8 @@ def calc_floor_div(spark, d):
     return calc.calculate(df, {"whole": ["//", "c_acctbal", 37.5], "by_key": ["//", "c_acctbal", "c_nationkey"]}).drop("c_acctbal", "c_nationkey")
 
 
-@query("""SELECT record_id, CASE WHEN land_value IS NULL OR bldg_value IS NULL THEN NULL WHEN isnan(land_value) OR isnan(bldg_value) THEN 'nan'::DOUBLE ELSE least(land_value, bldg_value) END AS lo,
-CASE WHEN land_value IS NULL OR bldg_value IS NULL THEN NULL WHEN isnan(land_value) OR isnan(bldg_value) THEN 'nan'::DOUBLE ELSE greatest(land_value, bldg_value) END AS hi FROM universe""")
+@query("""SELECT record_id, CASE WHEN land_value IS NOT NULL AND bldg_value IS NOT NULL AND NOT isnan(land_value) AND NOT isnan(bldg_value) THEN least(land_value, bldg_value) END AS lo,
+CASE WHEN land_value IS NOT NULL AND bldg_value IS NOT NULL AND NOT isnan(land_value) AND NOT isnan(bldg_value) THEN greatest(land_value, bldg_value) END AS hi FROM universe""")
 def calc_minmax_null(spark, d):
     df = table(spark, d, "universe").select("record_id", "land_value", "bldg_value")
     return calc.calculate(df, {"lo": ["min", "land_value", "bldg_value"], "hi": ["max", "land_value", "bldg_value"]}).drop("land_value", "bldg_value")

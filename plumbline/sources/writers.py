@@ -7,7 +7,7 @@ import json
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,21 +58,46 @@ def memoised(spark: SparkSession, folder: str, name: str, make: Callable[[], Dat
     return spark.read.parquet(path)
 
 
+def _content(df: DataFrame, columns: list[str]) -> list[Column]:
+    """Three order-free sums over the rows' values in ``columns``."""
+    kinds = dict(df.dtypes)
+    h = F.xxhash64(*[F.to_json(F.map_entries(F.col(f"`{c}`"))) if kinds[c].startswith("map") else F.col(f"`{c}`") for c in columns])
+    return [F.count(F.lit(1)), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))]
+
+
 def signature(df: DataFrame, key: str, extra: dict | None = None) -> str:
-    """A hash of the columns, the row count, the set of keys and further settings; one aggregation."""
-    r = df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(key)), F.sum(F.xxhash64(key).cast("decimal(38,0)"))).first()
+    """A hash of the columns, the rows with all their values, and further settings; one aggregation. Rows may come in any order."""
+    r = df.agg(*_content(df, [key, *sorted(c for c in df.columns if c != key)])).first()
     return hashlib.sha256(json.dumps([sorted(df.dtypes), [str(x) for x in r], extra or {}], sort_keys=True, default=str).encode()).hexdigest()
 
 
 def cached_columns(df: DataFrame, folder: str, name: str, key: str, enrich: Callable[[DataFrame], DataFrame], extra: dict | None = None) -> DataFrame:
-    """``enrich(df)``, but only the columns it adds or changes are stored, under the input's signature; a later call with the
-    same rows, columns and settings joins them back instead of computing."""
+    """``enrich(df)``, of which only the columns it adds or changes are stored, under the input's signature; a later call
+    with the same rows, values and settings joins them back instead of computing.
+
+    Rows that ``enrich`` leaves out stay out. Where it repeats keys or adds rows, or ``df`` repeats or lacks keys, the
+    whole result is stored.
+    """
     spark, path = df.sparkSession, f"{folder}/{name}-{signature(df, key, extra)[:24]}"
-    if not exists(spark, path):
-        made = enrich(df)
-        added = [c for c in made.columns if c not in df.columns]
-        made.select(key, *added).write.mode("overwrite").parquet(path)
-    return df.join(spark.read.parquet(path), key, "left")
+    if not exists(spark, f"{path}/_SUCCESS"):
+        whole = f"{path}.whole"
+        enrich(df).write.mode("overwrite").parquet(whole)
+        made = spark.read.parquet(whole)
+        n = made.agg(F.count(F.lit(1)), F.count_distinct(key)).first()
+        m = df.agg(F.count(F.lit(1)), F.count_distinct(key)).first()
+        plain = n[0] == n[1] and m[0] == m[1] and made.join(df, key, "left_anti").isEmpty()
+        same = [c for c in df.columns if c in made.columns and c != key]
+        if plain and same:
+            kept = df.join(made.select(key), key, "left_semi")
+            sums = [x for c in same for x in _content(df, [key, c])]
+            a, b = kept.agg(*sums).first(), made.agg(*sums).first()
+            same = [c for i, c in enumerate(same) if a[3 * i : 3 * i + 3] == b[3 * i : 3 * i + 3] and dict(df.dtypes)[c] == dict(made.dtypes)[c]]
+        how = {"columns": made.columns, "joined": same if plain else []}
+        spark.createDataFrame([(json.dumps(how),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.how")
+        made.drop(*how["joined"]).write.mode("overwrite").parquet(path)
+        delete(spark, whole)
+    stored, how = spark.read.parquet(path), json.loads(spark.read.text(f"{path}.how").first()[0])
+    return (stored.join(df.select(key, *how["joined"]), key) if how["joined"] else stored).select(*how["columns"])
 
 
 def changed_rows(old: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

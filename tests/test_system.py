@@ -62,6 +62,18 @@ def test_writers(spark, tmp_path):
     assert len(calls) == 2
     writers.cached_columns(df.where("id = 1"), str(tmp_path), "e", "id", enrich)
     assert len(calls) == 3
+    # changed values are stored too, and new values under the same keys miss the cache
+    more = lambda d: d.withColumns({"lon": F.col("lon") + 1, "up": F.upper("s")})
+    for base in (df, df, df.withColumn("lon", F.col("lon") * 2)):
+        want = rows(more(base))
+        for _ in range(2):
+            got = writers.cached_columns(base, str(tmp_path), "m", "id", more)
+            assert got.columns == more(base).columns and rows(got) == want
+    # left-out rows stay out, added rows are there
+    less = lambda d: d.where("id = 2").withColumn("z", F.lit(1))
+    assert rows(writers.cached_columns(df, str(tmp_path), "l", "id", less)) == rows(less(df))
+    both = lambda d: d.unionByName(d.withColumn("id", F.col("id") + 10))
+    assert rows(writers.cached_columns(df, str(tmp_path), "b", "id", both)) == rows(both(df))
     added, gone = writers.changed_rows(df.where("id = 1"), df.where("id = 2"), "id")
     assert rows(added) == [(2,)] and rows(gone) == [(1,)]
 
