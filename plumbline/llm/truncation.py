@@ -1,20 +1,23 @@
 r"""Texts cut off by field limits or in transfer (problem 8).
 
-Two kinds of evidence, for whole texts:
-
-* Near-copies. Of every eight shingles (five words) in a row the one with the least hash is a print of the text, so texts
-  that share twelve words in a row share a print wherever those stand, and a cut text shares its prints with its copy
-  however early it was cut. A text is compared with every longer text that has as many of its prints as the check below
-  implies, likeliest first and in growing batches, until one goes on or none is left. Pairs are verified by their shingles (0.8 or more of the shorter text's shingles are the other's), and the shorter text's ending
-  is aligned in the longer one. If the longer text goes on in the middle of a word, sentence, formula, environment or
-  entry where the shorter one stops, the shorter one was cut.
-* Closing-word terminality. Each text's ending is scored: an article that is opened must be closed; environments,
-  groups and formulas must be balanced; what follows the last of them must end a sentence or be a command that stands
+Two kinds of evidence, for whole texts, in this order:
+
+* Near-copies, for every text whose article isn't closed. Min-hash banding by windows: of every WINDOW shingles (five
+  words) in a row the least hash is a band key of the text, so texts that share 20 words in a row share a key wherever
+  those stand, and a cut text shares its keys with its copy however early it was cut. A text is compared with every
+  longer text that shares SHARED of its keys, likeliest first and in growing batches, until one goes on or none is left.
+  Pairs are verified by their shingles (0.8 or more of the shorter text's shingles are the other's), and the shorter
+  text's ending is aligned in the longer one. If the longer text goes on in the middle of a word, sentence, formula,
+  environment or entry where the shorter one stops, the shorter one was cut.
+* Closing-word terminality, for the texts that no alignment shows to be cut. Each text's ending is scored: an article that is opened must be closed; environments,
+  groups and formulas must be balanced; what follows the last of them must end a sentence (of any script) or be a command that stands
   alone; and the closing word must be one that ends sentences elsewhere in the corpus. Marks that tools append after a
   cut (dots, ``[truncated]``, replacement characters) are taken off first, and whatever comes after an article's close
   is ignored.
 
-The terminality of closing words is counted over the whole corpus (a table of words, added up per word).
+The terminality of closing words is counted over the whole corpus (a table of words, added up per word). The corpus is
+read twice: for keys and endings, and for the texts of candidate pairs, which a Bloom filter of fixed size picks out
+before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -22,23 +25,25 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.operators.lastknown import hot_keys
-from plumbline.operators.skew import salted_join
+from plumbline.operators.skew import maybe_known, salted_join
 from plumbline.session import cut
 
-#: Words of a shingle, least share of shingles for near-copies, and a min-hash banding of whole texts.
+#: Words of a shingle, and least share of the shorter text's shingles for near-copies.
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 24, 5
-BINS = 128
 #: A closing word counts as not terminal if it was seen so often and went on in more than half of the cases.
 SEEN = 5
-#: Shingles in a row of which one is a print; texts with fewer than so many shingles have all of them as prints.
-WINDOW, SHORT = 8, 20
+#: Shingles in a row of which one is a key; texts with fewer shingles have all of them as keys and must share one.
+WINDOW = 16
+#: Least share of a text's keys that its copy has. A shingle of a near-copy is shared with 0.8 or more, and a window's
+#: least one is the same in both texts if none of the shingles that differ has a lower hash: 0.8 / 1.2 on average.
+SHARED = 0.4
 #: Words before the last one that are aligned with the longer text and the largest share of them that may be edited; of
 #: them the nearest ones, and how many of those may be edited.
 TAIL, EDITS = 64, 0.25
@@ -55,10 +60,10 @@ _CLOSED = re.compile(r"^[^%\n]*?\\end\s*\{document\}", re.M)
 _OPENED = re.compile(r"^[^%\n]*?\\(?:begin\s*\{document\}|documentclass\b)", re.M)
 _STRUCTURE = re.compile(r"\\(begin|end)\s*\{([^{}]*)\}|\\(iffalse|fi)\b|\\([\[\]()])|\\[A-Za-z]+|\\.|(\$\$?)|([{}])", re.S)
 #: Ends that stand: sentence marks with closing quotes, brackets or formulas after them; a display; a command with its arguments.
-_ENDS = re.compile(r"(?:[.!?:][\"'”’»)\]}$]*|[.!?][\"'”’»)\]}$]*|\\\]|\\\)|\$\$|\\(?:end|input|include|bibliography|bibliographystyle|label|maketitle|tableofcontents|appendix|printbibliography|fi|newpage|clearpage|cleardoublepage|noindent|par|vfill|hfill|protect)(?:\s*(?:\[[^\]]*\]|\{[^{}]*\}))*)\Z")
+_ENDS = regex.compile(r"(?:[\p{Sentence_Terminal}:][\"'$\p{Pe}\p{Pf}\p{Pi}]*|\\\]|\\\)|\$\$|\\(?:end|input|include|bibliography|bibliographystyle|label|maketitle|tableofcontents|appendix|printbibliography|fi|newpage|clearpage|cleardoublepage|noindent|par|vfill|hfill|protect)(?:\s*(?:\[[^\]]*\]|\{[^{}]*\}))*)\Z")
 #: A heading or an empty entry with nothing after it.
 _HEADING = re.compile(r"\\(?:(?:section|subsection|subsubsection|chapter|paragraph|part|title|author)\*?\s*(?:\[[^\]]*\]\s*)?\{(?:[^{}]|\{[^{}]*\})*\}(?:\s*\\label\s*\{[^{}]*\})?|(?:item|bibitem)\s*(?:\[[^\]]*\]\s*)?(?:\{[^{}]*\})?)\Z")
-_SENTENCE = re.compile(r"(\S+[.!?])(\s+)(?=(\S))")
+_SENTENCE = regex.compile(r"(\S+\p{Sentence_Terminal})(\s+)(?=(\S))")
 
 
 def closing(text: str | None) -> tuple[str, str | None]:
@@ -78,8 +83,7 @@ def closing(text: str | None) -> tuple[str, str | None]:
         return "mark", None
     if _HEADING.search(bare) or not _ENDS.search(bare):
         return "sentence", None
-    last = bare[-60:].split()[-1] if bare.split() else ""
-    return "ends", last[-40:]
+    return "ends", bare.rsplit(None, 1)[-1]
 
 
 def _open(text: str) -> bool:
@@ -151,75 +155,48 @@ def _hashes(words: list[str], known: dict):
     return h
 
 
-def _prints(words: list[str], known: dict):
-    """``(least, prints)``: the distinct prints of a text and how many of them a copy shares at least; None for a text without words."""
+def _keys(words: list[str], known: dict):
+    """``(least, keys)``: the distinct band keys of a text and how many of them a copy shares at least; None for a text without words."""
     import numpy as np
 
     if not words:
         return 0, None
     h = _hashes(words, known)
-    least = _least_shared(len(np.unique(h)))
-    if len(h) >= SHORT:
-        rows = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
-        h = h[np.unique(rows.argmin(axis=1) + np.arange(len(rows)))]
-    return least, np.unique(h).view(np.int64)
-
-
-def _least_shared(n: int) -> int:
-    """Prints that a text of so many distinct shingles shares at least with one that has SIMILARITY of its shingles.
-
-    A changed place takes four shingles or more, so the 0.2 n that may be missing lie in 0.05 n places and leave
-    0.05 n + 1 runs, and a run of r shingles has at least (r - 7) / 8 prints: (0.8 n - 7 (0.05 n + 1)) / 8 in all.
-    """
-    return max(1, -int(-(0.45 * n - 7) // WINDOW))
-
-
-def _bands(words: list[str], known: dict):
-    """The band hashes of a text (one-permutation min-hash over its shingles), which meet for texts alike as a whole; None for a text without words."""
-    import numpy as np
-
-    if not words:
-        return None
-    h = _hashes(words, known)
-    h.sort()
-    b = (h >> np.uint64(57)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-    have = b[first]
-    # an empty bin borrows from the next one that isn't, as far as that is away
-    at = np.searchsorted(have, np.arange(BINS)) % len(have)
-    sig = h[first][at] + (have[at] - np.arange(BINS)).astype(np.uint64) * np.uint64(_P[3])
-    out = np.zeros(BANDS, np.uint64)
-    for r in range(ROWS):
-        out = (out ^ sig[r : r + BANDS * ROWS : ROWS]) * np.uint64(_P[4])
-        out ^= out >> np.uint64(31)
-    return out.view(np.int64)
+    if len(h) < WINDOW:
+        return 1, np.unique(h).view(np.int64)
+    # the least of each window by doubling: after k steps the least of 2^k in a row
+    low, k = h, 1
+    while 2 * k <= WINDOW:
+        low, k = np.minimum(low[:-k], low[k:]), 2 * k
+    keys = np.unique(low).view(np.int64)
+    return max(1, -int(-SHARED * len(keys) // 1)), keys
 
 
 def _first_pass(batches: Iterator):
-    """One row per text with its verdict and prints, and one per closing word with how often it ended or went on."""
+    """One row per text with its verdict and keys, and one per closing word with how often it ended or went on."""
     import pandas as pd
     import xxhash
 
-    columns = ["doc_id", "source", "verdict", "last", "n_words", "digest", "least", "prints", "ended", "went_on"]
+    columns = ["doc_id", "source", "verdict", "last", "n_words", "digest", "least", "keys", "ended", "went_on"]
     known: dict = {}
     ended: dict = {}
+    name = xxhash.xxh3_64_digest
     for pdf in batches:
         rows = []
         for doc, source, text in zip(pdf["doc_id"], pdf["source"], pdf["text"], strict=True):
             verdict, last = closing(text)
             words = text.split() if isinstance(text, str) else []
-            digest = xxhash.xxh3_128_hexdigest(text) if words else None
-            rows.append((doc, source, verdict, last, len(words), digest, *_prints(words, known), 0, 0))
-            for m in _SENTENCE.finditer(text or ""):
-                w = m.group(1)[-40:]
+            digest = xxhash.xxh3_128_digest(text) if words else None
+            rows.append((doc, source, verdict, None if last is None else name(last), len(words), digest, *_keys(words, known), 0, 0))
+            for w, gap, after in _SENTENCE.findall(text or ""):
                 s = ended.setdefault(w, [0, 0])
                 # a lower-case word on the same line shows that the sentence went on
-                s[m.group(3).islower() and "\n" not in m.group(2)] += 1
+                s[after.islower() and "\n" not in gap] += 1
         if len(ended) > 200_000:
-            rows += [(None, None, "word", w, 0, None, 0, None, a, b) for w, (a, b) in ended.items()]
+            rows += [(None, None, "word", name(w), 0, None, 0, None, a, b) for w, (a, b) in ended.items()]
             ended = {}
         yield pd.DataFrame(rows, columns=columns)
-    yield pd.DataFrame([(None, None, "word", w, 0, None, 0, None, a, b) for w, (a, b) in ended.items()], columns=columns)
+    yield pd.DataFrame([(None, None, "word", name(w), 0, None, 0, None, a, b) for w, (a, b) in ended.items()], columns=columns)
 
 
 def _near(a: list[str], b: list[str]) -> bool:
@@ -231,7 +208,7 @@ def _near(a: list[str], b: list[str]) -> bool:
 
 def goes_on(short: str, long: str) -> bool:
     """Whether ``long`` is a near-copy of ``short`` that continues in the middle of something where ``short`` ends."""
-    a, b = short.split(), long.split()
+    a, b = _MARK.sub("", short).split(), long.split()
     if len(a) < 2 * SHINGLE or len(b) <= len(a) or not _near(a, b):
         return False
     last = a[-1].rstrip(".…!?")
@@ -275,18 +252,18 @@ def _second_pass(batches: Iterator):
 
 
 def _candidates(texts: DataFrame) -> DataFrame:
-    """``doc_id, other, place``: the longer texts that share enough prints with one whose ending alone can't tell, likeliest first.
+    """``doc_id, other, place``: the longer texts that share enough keys with one whose article isn't closed, likeliest first.
 
-    A text has to share ``least`` of its prints. So half as many, the most frequent ones, can be left out, as the rest of
-    ``least`` must be shared among the others: prints of what everybody writes make no pairs unless the text has no others.
+    A text has to share ``least`` of its keys. So half as many, the most frequent ones, can be left out, as the rest of
+    ``least`` must be shared among the others: keys of what everybody writes make no pairs unless the text has no others.
     """
-    ends = F.col("verdict") == "ends"
-    prints = texts.where("prints is not null and doc_id is not null").select("doc_id", "n_words", "least", ends.alias("ends"), F.explode("prints").alias("print")).repartition("print")
+    short = (F.col("verdict") != "whole") & (F.col("n_words") >= 2 * SHINGLE)
+    keys = texts.where("keys is not null and doc_id is not null").select("doc_id", "n_words", "least", short.alias("short"), F.explode("keys").alias("print")).repartition("print")
     same = Window.partitionBy("print")
-    met = prints.withColumns({"n": F.count(F.lit(1)).over(same), "short": F.max("ends").over(same)}).where("n > 1 and short").drop("short")
+    met = keys.withColumns({"n": F.count(F.lit(1)).over(same), "any": F.max("short").over(same)}).where("n > 1 and any").drop("any")
     met = cut(met)
     frequent = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "print"))
-    shorts = met.where("ends").withColumn("r", frequent).where("r > least div 2").select("doc_id", "n_words", "least", "print")
+    shorts = met.where("short").withColumn("r", frequent).where("r > least div 2").select("doc_id", "n_words", "least", "print")
     others = met.select("print", F.col("doc_id").alias("other"), F.col("n_words").alias("m"))
     pairs = salted_join(shorts, others, "print").where("m > n_words").groupBy("doc_id", "other").agg(F.countDistinct("print").alias("shared"), F.max("m").alias("m"), F.max("least").alias("least"))
     likeliest = Window.partitionBy("doc_id").orderBy(F.col("shared").desc(), F.col("m").desc(), "other")
@@ -310,28 +287,29 @@ def _going_on(pairs: DataFrame, held: DataFrame, kind: str) -> DataFrame:
 def find_truncated(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
     """Every row of ``docs`` as ``doc_id, source, evidence``: null, or why the text counts as cut.
 
-    Evidence: ``article`` (opened, never closed), ``structure``, ``mark``, ``sentence``, ``word`` (the closing word
-    goes on elsewhere), ``copy`` (a near-copy goes on). Null and blank texts are not cut; exact copies get the same
+    Evidence: ``copy`` (a near-copy goes on), else ``article`` (opened, never closed), ``structure``, ``mark``,
+    ``sentence``, ``word`` (the closing word goes on elsewhere). Null and blank texts are not cut; exact copies get the same
     evidence; rows with null ids stay (without the evidence of copies), repeated rows too. Texts of any length are read
     whole. An empty table gives no rows; further columns are not looked at.
     """
     kind = dict(docs.dtypes)[doc_id]
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
-    both = cut(base.mapInPandas(_first_pass, f"doc_id {kind}, source string, verdict string, last string, n_words int, digest string, least int, prints array<long>, ended long, went_on long"))
+    both = cut(base.mapInPandas(_first_pass, f"doc_id {kind}, source string, verdict string, last binary, n_words int, digest binary, least int, keys array<long>, ended long, went_on long"))
     texts = both.where("verdict <> 'word'")
-    words = both.where("verdict = 'word'").groupBy("last").agg(F.sum("ended").alias("ended"), F.sum("went_on").alias("went_on"))
-    loose = words.where((F.col("ended") + F.col("went_on") >= SEEN) & (F.col("went_on") > F.col("ended"))).select("last", F.lit(True).alias("loose"))
-    # near-copies: exact copies stand for each other; each text whose ending alone can't tell has candidates
+    # near-copies: exact copies stand for each other
     first = texts.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("as"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     repeats = cut(salted_join(texts.where("doc_id is not null").select("digest", "doc_id"), first, "digest").where(F.col("doc_id") != F.col("as")).select("doc_id", "as"))
     pairs = _candidates(texts.join(repeats, "doc_id", "left_anti"))
-    held = base.select("doc_id", "text")
     needed = pairs.select("doc_id").union(pairs.select("other")).distinct()
-    copies = _going_on(pairs, cut(held.join(needed, "doc_id", "left_semi")), kind)
+    held = maybe_known(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", needed).join(needed, "doc_id", "left_semi")
+    copies = _going_on(pairs, cut(held), kind)
     copies = copies.unionByName(salted_join(repeats, copies.withColumnRenamed("doc_id", "as"), "as", "left_semi").select("doc_id")).distinct().withColumn("copy", F.lit(True))
+    # what no alignment shows to be cut is scored by its ending
+    words = both.where("verdict = 'word'").groupBy("last").agg(F.sum("ended").alias("ended"), F.sum("went_on").alias("went_on"))
+    loose = words.where((F.col("ended") + F.col("went_on") >= SEEN) & (F.col("went_on") > F.col("ended"))).select("last", F.lit(True).alias("loose"))
     out = salted_join(texts.select("doc_id", "source", "verdict", "last"), loose, "last", "left").join(copies, "doc_id", "left")
-    evidence = F.when(~F.col("verdict").isin("whole", "ends"), F.col("verdict")).when(F.col("copy"), "copy").when(F.col("loose"), "word")
-    return out.select("doc_id", "source", evidence.alias("evidence"))
+    scored = F.when(~F.col("verdict").isin("whole", "ends"), F.col("verdict")).when(F.col("loose"), "word")
+    return out.select("doc_id", "source", F.when(F.col("copy"), "copy").otherwise(scored).alias("evidence"))
 
 
 def truncation_rates(found: DataFrame) -> DataFrame:

@@ -32,6 +32,42 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(r, same, how).drop(*[f"__key_{i}" for i in range(len(keys))])
 
 
+#: Bits of the filter of known keys: 4 MB, whatever the number of keys.
+FILTER_BITS = 1 << 25
+FILTER_HASHES = 3
+
+
+def maybe_known(df: DataFrame, key: str, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be in the first column of ``keys``: no such row is lost, some others stay.
+
+    A Bloom filter of fixed size, so what is collected and broadcast (``bits / 64`` numbers) does not grow with the
+    keys; it thins out wide rows before they are shuffled for an exact join. Null keys don't stay.
+    """
+    import numpy as np
+
+    name = keys.columns[0]
+    places = lambda c: F.array(*[F.xxhash64(c.cast(dict(df.dtypes)[key]), F.lit(i)).bitwiseAND(F.lit(bits - 1)) for i in range(FILTER_HASHES)])
+    at = keys.where(F.col(name).isNotNull()).select(F.explode(places(F.col(name))).alias("p"))
+    words = at.select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    held = np.zeros(bits // 64, np.int64)
+    held[words["w"].to_numpy()] = words["b"].to_numpy()
+    sent = df.sparkSession.sparkContext.broadcast(held.view(np.uint64))
+
+    @F.pandas_udf("boolean")
+    def known(*columns):
+        import numpy as np
+        import pandas as pd
+
+        out = np.ones(len(columns[0]), bool)
+        for c in columns:
+            p = c.to_numpy()
+            out &= ((sent.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+        return pd.Series(out)
+
+    p = places(F.col(f"`{key}`"))
+    return df.where(F.col(f"`{key}`").isNotNull() & known(*[p[i] for i in range(FILTER_HASHES)]))
+
+
 #: Rows ranked in one task.
 RANK_ROWS = 100_000
 
