@@ -3,9 +3,9 @@ r"""Texts cut off by field limits or in transfer (problem 8).
 Two kinds of evidence, for whole texts, in this order:
 
 * Near-copies, for every text whose article isn't closed. Min-hash banding by windows: of every WINDOW shingles (five
-  words) in a row the least hash is a band key of the text, so texts that share 20 words in a row share a key wherever
-  those stand, and a cut text shares its keys with its copy however early it was cut. A text is compared with every
-  longer text that shares SHARED of its keys, likeliest first and in growing batches, until one goes on or none is left.
+  words) in a row the least hash is taken, and two of them that follow each other make a band, so texts that share 20 words in a row share a band wherever
+  those stand, and a cut text shares its bands with its copy however early it was cut. A text is compared with every
+  longer text that shares SHARED of its bands, likeliest first and in growing batches, until one goes on or none is left.
   Pairs are verified by their shingles (0.8 or more of the shorter text's shingles are the other's), and the shorter
   text's ending is aligned in the longer one. If the longer text goes on in the middle of a word, sentence, formula,
   environment or entry where the shorter one stops, the shorter one was cut.
@@ -39,11 +39,11 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: A closing word counts as not terminal if it was seen so often and went on in more than half of the cases.
 SEEN = 5
-#: Shingles in a row of which one is a key; texts with fewer shingles have all of them as keys and must share one.
-WINDOW = 16
-#: Least share of a text's keys that its copy has. A shingle of a near-copy is shared with 0.8 or more, and a window's
-#: least one is the same in both texts if none of the shingles that differ has a lower hash: 0.8 / 1.2 on average.
-SHARED = 0.4
+#: Shingles in a row of which the least one counts.
+WINDOW = 8
+#: Least share of a text's bands that its copy has. A shingle of a near-copy is shared with 0.8 or more, a window's least
+#: one is the same in both texts if none of the shingles that differ has a lower hash (0.8 / 1.2), a band takes two.
+SHARED = 0.2
 #: Words before the last one that are aligned with the longer text and the largest share of them that may be edited; of
 #: them the nearest ones, and how many of those may be edited.
 TAIL, EDITS = 64, 0.25
@@ -63,7 +63,7 @@ _STRUCTURE = re.compile(r"\\(begin|end)\s*\{([^{}]*)\}|\\(iffalse|fi)\b|\\([\[\]
 _ENDS = regex.compile(r"(?:[\p{Sentence_Terminal}:][\"'$\p{Pe}\p{Pf}\p{Pi}]*|\\\]|\\\)|\$\$|\\(?:end|input|include|bibliography|bibliographystyle|label|maketitle|tableofcontents|appendix|printbibliography|fi|newpage|clearpage|cleardoublepage|noindent|par|vfill|hfill|protect)(?:\s*(?:\[[^\]]*\]|\{[^{}]*\}))*)\Z")
 #: A heading or an empty entry with nothing after it.
 _HEADING = re.compile(r"\\(?:(?:section|subsection|subsubsection|chapter|paragraph|part|title|author)\*?\s*(?:\[[^\]]*\]\s*)?\{(?:[^{}]|\{[^{}]*\})*\}(?:\s*\\label\s*\{[^{}]*\})?|(?:item|bibitem)\s*(?:\[[^\]]*\]\s*)?(?:\{[^{}]*\})?)\Z")
-_SENTENCE = regex.compile(r"(\S+\p{Sentence_Terminal})(\s+)(?=(\S))")
+_STOPS = frozenset(regex.findall(r"\p{Sentence_Terminal}", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))))
 
 
 def closing(text: str | None) -> tuple[str, str | None]:
@@ -130,20 +130,24 @@ def _open(text: str) -> bool:
 _P = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
-def _hashes(words: list[str], known: dict):
+class _Known(dict):
+    """The hash of each word, computed once."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def _hashes(words: list[str], known: _Known):
     """The hash of each shingle of a text, in order; a text shorter than a shingle is filled up."""
     import numpy as np
-    import xxhash
 
-    if len(known) > 1_000_000:
-        known.clear()
-    w = np.empty(max(len(words), SHINGLE), np.uint64)
-    for i, x in enumerate(words):
-        v = known.get(x)
-        if v is None:
-            v = known[x] = xxhash.xxh3_64_intdigest(x)
-        w[i] = v
-    w[len(words) :] = 0
+    w = np.zeros(max(len(words), SHINGLE), np.uint64)
+    w[: len(words)] = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = len(w) - SHINGLE + 1
     h = np.zeros(n, np.uint64)
     for k in range(SHINGLE):
@@ -155,48 +159,52 @@ def _hashes(words: list[str], known: dict):
     return h
 
 
-def _keys(words: list[str], known: dict):
-    """``(least, keys)``: the distinct band keys of a text and how many of them a copy shares at least; None for a text without words."""
+def _bands(words: list[str], known: _Known):
+    """The distinct bands of a text, which has some if it has 20 words or more; None for a text without words."""
     import numpy as np
 
     if not words:
-        return 0, None
-    h = _hashes(words, known)
-    if len(h) < WINDOW:
-        return 1, np.unique(h).view(np.int64)
-    # the least of each window by doubling: after k steps the least of 2^k in a row
-    low, k = h, 1
-    while 2 * k <= WINDOW:
+        return None
+    low, k = _hashes(words, known), 1
+    if len(low) < WINDOW:
+        return np.zeros(0, np.int64)
+    while k < WINDOW:  # after each step the least of twice as many in a row
         low, k = np.minimum(low[:-k], low[k:]), 2 * k
-    keys = np.unique(low).view(np.int64)
-    return max(1, -int(-SHARED * len(keys) // 1)), keys
+    low = low[np.concatenate([[True], low[1:] != low[:-1]])]
+    bands = low[:-1] * np.uint64(_P[3]) ^ low[1:] * np.uint64(_P[4])
+    return np.unique(bands ^ (bands >> np.uint64(29))).view(np.int64)
 
 
 def _first_pass(batches: Iterator):
-    """One row per text with its verdict and keys, and one per closing word with how often it ended or went on."""
+    """One row per text with its verdict and bands, and one per closing word with how often it ended or went on."""
     import pandas as pd
     import xxhash
 
-    columns = ["doc_id", "source", "verdict", "last", "n_words", "digest", "least", "keys", "ended", "went_on"]
-    known: dict = {}
+    columns = ["doc_id", "source", "verdict", "last", "n_words", "digest", "bands", "ended", "went_on"]
+    known = _Known()
     ended: dict = {}
     name = xxhash.xxh3_64_digest
     for pdf in batches:
         rows = []
         for doc, source, text in zip(pdf["doc_id"], pdf["source"], pdf["text"], strict=True):
             verdict, last = closing(text)
-            words = text.split() if isinstance(text, str) else []
-            digest = xxhash.xxh3_128_digest(text) if words else None
-            rows.append((doc, source, verdict, None if last is None else name(last), len(words), digest, *_keys(words, known), 0, 0))
-            for w, gap, after in _SENTENCE.findall(text or ""):
-                s = ended.setdefault(w, [0, 0])
+            words: list[str] = []
+            for line in text.split("\n") if isinstance(text, str) else ():
+                here = line.split()
+                words += here
                 # a lower-case word on the same line shows that the sentence went on
-                s[after.islower() and "\n" not in gap] += 1
+                for w, after in zip(here, here[1:], strict=False):
+                    if w[-1] in _STOPS and len(w) > 1:
+                        ended.setdefault(w, [0, 0])[after[0].islower()] += 1
+                if here and here[-1][-1] in _STOPS and len(here[-1]) > 1:
+                    ended.setdefault(here[-1], [0, 0])[0] += 1
+            digest = xxhash.xxh3_128_digest(text) if words else None
+            rows.append((doc, source, verdict, None if last is None else name(last), len(words), digest, _bands(words, known), 0, 0))
         if len(ended) > 200_000:
-            rows += [(None, None, "word", name(w), 0, None, 0, None, a, b) for w, (a, b) in ended.items()]
+            rows += [(None, None, "word", name(w), 0, None, None, a, b) for w, (a, b) in ended.items()]
             ended = {}
         yield pd.DataFrame(rows, columns=columns)
-    yield pd.DataFrame([(None, None, "word", name(w), 0, None, 0, None, a, b) for w, (a, b) in ended.items()], columns=columns)
+    yield pd.DataFrame([(None, None, "word", name(w), 0, None, None, a, b) for w, (a, b) in ended.items()], columns=columns)
 
 
 def _near(a: list[str], b: list[str]) -> bool:
@@ -252,15 +260,16 @@ def _second_pass(batches: Iterator):
 
 
 def _candidates(texts: DataFrame) -> DataFrame:
-    """``doc_id, other, place``: the longer texts that share enough keys with one whose article isn't closed, likeliest first.
+    """``doc_id, other, place``: the longer texts that share enough bands with one whose article isn't closed, likeliest first.
 
-    A text has to share ``least`` of its keys. So half as many, the most frequent ones, can be left out, as the rest of
-    ``least`` must be shared among the others: keys of what everybody writes make no pairs unless the text has no others.
+    A text has to share ``least`` of its bands. So half as many, the most frequent ones, can be left out, as the rest of
+    ``least`` must be shared among the others: bands of what everybody writes make no pairs unless the text has no others.
     """
     short = (F.col("verdict") != "whole") & (F.col("n_words") >= 2 * SHINGLE)
-    keys = texts.where("keys is not null and doc_id is not null").select("doc_id", "n_words", "least", short.alias("short"), F.explode("keys").alias("print")).repartition("print")
+    least = F.ceil(F.lit(SHARED) * F.size("bands")).cast("int")
+    bands = texts.where("bands is not null and doc_id is not null").select("doc_id", "n_words", least.alias("least"), short.alias("short"), F.explode("bands").alias("print")).repartition("print")
     same = Window.partitionBy("print")
-    met = keys.withColumns({"n": F.count(F.lit(1)).over(same), "any": F.max("short").over(same)}).where("n > 1 and any").drop("any")
+    met = bands.withColumns({"n": F.count(F.lit(1)).over(same), "any": F.max("short").over(same)}).where("n > 1 and any").drop("any")
     met = cut(met)
     frequent = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "print"))
     shorts = met.where("short").withColumn("r", frequent).where("r > least div 2").select("doc_id", "n_words", "least", "print")
@@ -294,14 +303,16 @@ def find_truncated(docs: DataFrame, doc_id: str, source: str, text: str) -> Data
     """
     kind = dict(docs.dtypes)[doc_id]
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
-    both = cut(base.mapInPandas(_first_pass, f"doc_id {kind}, source string, verdict string, last binary, n_words int, digest binary, least int, keys array<long>, ended long, went_on long"))
+    both = cut(base.mapInPandas(_first_pass, f"doc_id {kind}, source string, verdict string, last binary, n_words int, digest binary, bands array<long>, ended long, went_on long"))
     texts = both.where("verdict <> 'word'")
     # near-copies: exact copies stand for each other
     first = texts.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("as"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     repeats = cut(salted_join(texts.where("doc_id is not null").select("digest", "doc_id"), first, "digest").where(F.col("doc_id") != F.col("as")).select("doc_id", "as"))
-    pairs = _candidates(texts.join(repeats, "doc_id", "left_anti"))
+    repeated = maybe_known(texts, "doc_id", repeats)
+    pairs = _candidates(texts.where(~repeated).unionByName(texts.where(repeated).join(repeats, "doc_id", "left_anti")))
     needed = pairs.select("doc_id").union(pairs.select("other")).distinct()
-    held = maybe_known(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", needed).join(needed, "doc_id", "left_semi")
+    held = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    held = held.where(maybe_known(held, "doc_id", needed)).join(needed, "doc_id", "left_semi")
     copies = _going_on(pairs, cut(held), kind)
     copies = copies.unionByName(salted_join(repeats, copies.withColumnRenamed("doc_id", "as"), "as", "left_semi").select("doc_id")).distinct().withColumn("copy", F.lit(True))
     # what no alignment shows to be cut is scored by its ending

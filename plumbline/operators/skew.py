@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,11 +37,11 @@ FILTER_BITS = 1 << 25
 FILTER_HASHES = 3
 
 
-def maybe_known(df: DataFrame, key: str, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """The rows of ``df`` whose ``key`` may be in the first column of ``keys``: no such row is lost, some others stay.
+def maybe_known(df: DataFrame, key: str, keys: DataFrame, bits: int = FILTER_BITS) -> Column:
+    """A condition on rows of ``df``: whether ``key`` may be in the first column of ``keys``. True for all that are, and for some others.
 
     A Bloom filter of fixed size, so what is collected and broadcast (``bits / 64`` numbers) does not grow with the
-    keys; it thins out wide rows before they are shuffled for an exact join. Null keys don't stay.
+    keys; it thins out wide rows before they are shuffled for an exact join. False for null keys.
     """
     import numpy as np
 
@@ -65,7 +65,7 @@ def maybe_known(df: DataFrame, key: str, keys: DataFrame, bits: int = FILTER_BIT
         return pd.Series(out)
 
     p = places(F.col(f"`{key}`"))
-    return df.where(F.col(f"`{key}`").isNotNull() & known(*[p[i] for i in range(FILTER_HASHES)]))
+    return F.col(f"`{key}`").isNotNull() & known(*[p[i] for i in range(FILTER_HASHES)])
 
 
 #: Rows ranked in one task.
