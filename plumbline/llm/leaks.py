@@ -4,12 +4,13 @@ A document leaks an item if both share a run of at least ``run`` consecutive wor
 digits without regard to case; names of TeX commands, and the arguments of ``\cite, \ref, \eqref, \label, \input,
 \include``, are no words.
 
-Every partition of the corpus is indexed in shards: the shard's words become a Burrows-Wheeler transform with a
-wavelet matrix, all test phrases (each item's windows of ``run`` words) are searched backward at once through its
-ranks, and occurrences are located from sampled suffix positions. Words that occur in no item can't be part of an
-occurrence, so they and the stretches between them that are shorter than ``run`` words stay out of the index; nothing
-else does, whatever the length of a text. The corpus is neither shuffled nor collected: only the items, a stated
-query set, are sent to the tasks, in blocks of at most BLOCK_WORDS words, one pass over the corpus for each block.
+Every partition of the corpus is indexed in shards, with all its words, so an index answers any item set: the shard's
+words become a Burrows-Wheeler transform with a wavelet matrix. All test phrases (each item's windows of ``run`` words)
+are searched backward at once through its ranks, and occurrences are located from sampled suffix positions. A shard is
+indexed once and searched by one block of items after the other; what all blocks found in a document is merged before
+it comes out, so blocks and shards don't show in the result. A text longer than a shard is indexed in pieces that
+overlap by ``run - 1`` words. The corpus is neither shuffled nor collected, and is read once: only the items, a stated
+query set, are sent to the tasks, in blocks of at most BLOCK_WORDS words, of which driver and tasks hold one at a time.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of items searched in one pass: what is sent to the tasks is at most some tens of MB.
+#: Words of items searched at once: a block is at most some tens of MB.
 BLOCK_WORDS = 500_000
 #: A shard ends at so many indexed words, or so many characters of text.
 SHARD_WORDS = 1 << 20
@@ -40,12 +41,13 @@ def words_of(text: str | None) -> list:
     bare = _COMMAND.sub(" ", text) if "\\" in text else text
     if bare.isascii():
         return bare.encode("ascii").translate(_OTHER).split()
-    return [w.encode() for w in _WORD.findall(bare.lower())]
+    # lower case may change a word's length, so it is applied to whole words
+    return [w.lower().encode() for w in _WORD.findall(bare)]
 
 
 def word_spans(text: str) -> list[tuple[int, int]]:
     """The character offsets of each word of ``words_of``."""
-    # a command is replaced by as many blanks, so offsets stay; lower case may change lengths, so it isn't applied here
+    # a command is replaced by as many blanks, so offsets stay
     return [m.span() for m in _WORD.finditer(_COMMAND.sub(lambda m: " " * len(m.group()), text))]
 
 
@@ -66,20 +68,8 @@ class ShardIndex:
         n_ends = int(ends.sum())
         rank = text + n_ends - 1
         rank[ends] = np.arange(n_ends)  # terminators differ, so no comparison goes past the end of a run
-        k, longest = 1, int(lens.max(initial=0)) + 1
-        order = np.argsort(rank, kind="stable")
-        while k < longest:
-            nxt = np.zeros(n, np.int64)
-            nxt[:-k] = rank[k:] + 1
-            both = rank * (n + n_ends + top + 2) + nxt
-            order = np.argsort(both, kind="stable")
-            s = both[order]
-            new = np.empty(n, np.int64)
-            new[order] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
-            rank, k = new, 2 * k
-            if rank[order[-1]] == n - 1:
-                break
-        self.n, sa = n, order
+        sa = self._suffixes(rank, n_ends + top + 1)
+        self.n = n
         bwt = text[sa - 1]
         counts = np.bincount(text, minlength=top + 2)
         self.before = np.concatenate([[0], np.cumsum(counts)])  # how many symbols are smaller
@@ -99,6 +89,36 @@ class ShardIndex:
         self.kept = np.cumsum(keep) - 1
         self.is_kept, self.positions = keep, sa[keep]
 
+    def _suffixes(self, rank, base: int):
+        """The suffix order by prefix doubling: after the first few symbols only suffixes that are still tied are sorted."""
+        np = self.np
+        n = len(rank)
+        k = 3 if base < 1 << 20 else 1
+        first = rank
+        for j in range(1, k):
+            first = first * base
+            first[:-j] += rank[j:]
+        sa = np.argsort(first)
+        new = np.concatenate([[True], first[sa[1:]] != first[sa[:-1]]])
+        at = np.arange(n)
+        # the rank of a suffix is the place where its group of equals starts
+        start = np.maximum.accumulate(np.where(new, at, 0))
+        rank = np.empty(n, np.int64)
+        rank[sa] = start
+        tied = np.flatnonzero(~(new & np.concatenate([new[1:], [True]])))
+        while len(tied):
+            pos = sa[tied]
+            after = np.where(pos + k < n, rank[np.minimum(pos + k, n - 1)] + 1, 0)
+            both = rank[pos] * (n + 1) + after
+            order = np.argsort(both)
+            both, pos = both[order], pos[order]
+            sa[tied] = pos
+            new = np.concatenate([[True], both[1:] != both[:-1]])
+            rank[pos] = np.maximum.accumulate(np.where(new, tied, 0))
+            tied = tied[~(new & np.concatenate([new[1:], [True]]))]
+            k *= 2
+        return sa
+
     def _ones(self, level: int, i):
         w = i >> 6
         mask = (self.np.uint64(1) << (i & 63).astype(self.np.uint64)) - self.np.uint64(1)
@@ -145,88 +165,112 @@ class ShardIndex:
         return self.positions[self.kept[rows]] + steps
 
 
-def _hits(batches: Iterator, vocab: dict, phrases, items: list[list[int]], run: int, emit):
-    """Cuts the partition into shards and yields what ``emit`` makes of each shard's hits."""
-    import numpy as np
+class _Words(dict):
+    """Numbers from 1 for the words of a shard."""
+
+    def __missing__(self, word):
+        self[word] = n = len(self) + 1
+        return n
+
+
+class _Shards:
+    """Cuts a partition into shards, indexes each once, searches all blocks of items, and gives each document's hits together."""
 
-    runs, owner, offset, docs, n_words, n_chars = [], [], [], [], 0, 0
-    get = vocab.get
-
-    def flush():
-        if not runs:
-            return None
-        index = ShardIndex(runs, len(vocab))
-        low, high = index.search(phrases)
-        count = high - low
-        which = np.repeat(np.arange(len(phrases)), count)
-        if not len(which):
-            return None
-        rows = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-        at = index.locate(rows)
-        seg = np.searchsorted(index.starts, at, side="right") - 1
-        first = np.asarray(offset)[seg] + at - index.starts[seg]
-        return emit(docs, np.asarray(owner)[seg], first, which, items, run)
-
-    for ids, texts in batches:
-        for doc, text in zip(ids, texts, strict=True):
-            found = words_of(text)
-            if len(found) < run:
-                continue
-            w = np.fromiter((get(x, 0) for x in found), np.int32, len(found))
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], (w > 0).view(np.int8), [0]])))
-            begin, end = edge[::2], edge[1::2]
-            long = end - begin >= run
-            if not long.any():
-                continue
-            for b, e in zip(begin[long].tolist(), end[long].tolist(), strict=True):
-                runs.append(w[b:e])
-                owner.append(len(docs))
-                offset.append(b)
-                n_words += e - b + 1
-            docs.append((doc, text))
-            n_chars += len(text)
-            if n_words >= SHARD_WORDS or n_chars >= SHARD_CHARS:
-                if (out := flush()) is not None:
-                    yield out
-                runs, owner, offset, docs, n_words, n_chars = [], [], [], [], 0, 0
-    if (out := flush()) is not None:
-        yield out
-
-
-def _pairs(docs, owner, first, which, items, run):
+    def __init__(self, blocks: list, run: int, emit):
+        self.blocks, self.run, self.emit = blocks, run, emit
+        self.docs: dict[int, tuple] = {}
+        self.hits: dict[int, list] = {}
+        self.seen = 0
+        self._clear()
+
+    def _clear(self):
+        self.vocab, self.runs, self.owner, self.offset, self.n_words, self.n_chars = _Words(), [], [], [], 0, 0
+
+    def add(self, doc, text) -> Iterator:
+        import numpy as np
+
+        found = words_of(text)
+        if len(found) < self.run:
+            return
+        at, self.seen = self.seen, self.seen + 1
+        self.docs[at] = (doc, text)
+        self.n_chars += len(text)
+        for b in range(0, len(found) - self.run + 1, SHARD_WORDS):
+            piece = found[b : b + SHARD_WORDS + self.run - 1]
+            self.runs.append(np.fromiter(map(self.vocab.__getitem__, piece), np.int64, len(piece)))
+            self.owner.append(at)
+            self.offset.append(b)
+            self.n_words += len(piece) + 1
+            if self.n_words >= SHARD_WORDS or self.n_chars >= SHARD_CHARS:
+                last = b + SHARD_WORDS > len(found) - self.run
+                self._search()
+                if last:
+                    yield from self.finish()
+        # documents whose pieces are all searched come out with the shard
+
+    def _search(self):
+        import numpy as np
+
+        index = ShardIndex(self.runs, len(self.vocab))
+        owner, offset, get = np.asarray(self.owner), np.asarray(self.offset), self.vocab.get
+        for block in self.blocks:
+            words, phrases, owners = block.value
+            own = np.fromiter((get(w, 0) for w in words), np.int64, len(words))[phrases]
+            known = np.flatnonzero((own > 0).all(1))
+            low, high = index.search(own[known])
+            count = high - low
+            which = known[np.repeat(np.arange(len(known)), count)]
+            if len(which):
+                rows = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+                at = index.locate(rows)
+                seg = np.searchsorted(index.starts, at, side="right") - 1
+                for o, f, p in zip(owner[seg].tolist(), (offset[seg] + at - index.starts[seg]).tolist(), which.tolist(), strict=True):
+                    self.hits.setdefault(o, []).append((f, owners[p]))
+            if len(self.blocks) > 1:
+                block.__dict__.pop("_value", None)  # read again for the next shard, so that one block is held at a time
+        self._clear()
+
+    def finish(self) -> Iterator:
+        """What ``emit`` makes of the documents that have hits."""
+        if self.runs:
+            self._search()
+        if self.hits:
+            yield self.emit([(*self.docs[o], h) for o, h in sorted(self.hits.items())], self.run)
+        self.docs, self.hits = {}, {}
+
+
+def _pairs(found: list[tuple], run: int):
     import pandas as pd
 
-    seen = {(docs[o][0], i) for o, p in set(zip(owner.tolist(), which.tolist(), strict=True)) for i in items[p]}
-    return pd.DataFrame(sorted(seen), columns=["doc_id", "item_id"])
+    return pd.DataFrame(sorted({(doc, i) for doc, _, hits in found for _, items in hits for i in items}), columns=["doc_id", "item_id"])
 
 
-def _spans(docs, owner, first, which, items, run):
+def _spans(found: list[tuple], run: int):
     """Merged character spans of each document, with the items found in them."""
     import pandas as pd
 
-    by: dict[int, list] = {}
-    for o, f, p in sorted(set(zip(owner.tolist(), first.tolist(), which.tolist(), strict=True))):
-        by.setdefault(o, []).append((f, f + run, p))
     out = []
-    for o, hits in by.items():
-        doc, text = docs[o]
+    for doc, text, hits in found:
         at = word_spans(text)
         merged: list[list] = []
-        for b, e, p in hits:
+        for b, items in sorted(hits):
             if merged and b <= merged[-1][1]:
-                merged[-1][1] = max(e, merged[-1][1])
+                merged[-1][1] = max(b + run, merged[-1][1])
             else:
-                merged.append([b, e, set()])
-            merged[-1][2].update(items[p])
+                merged.append([b, b + run, set()])
+            merged[-1][2].update(items)
         out += [(doc, at[b][0], at[e - 1][1], e - b, sorted(s)) for b, e, s in merged]
     return pd.DataFrame(out, columns=["doc_id", "start_char", "end_char", "n_words", "item_ids"])
 
 
 def _blocks(items: DataFrame, item_id: str, text: str, run: int) -> Iterator[tuple]:
-    """(vocabulary, phrases, items of each phrase) of one block of items after the other."""
+    """(words, phrases as rows of word numbers, items of each phrase) of one block of items after the other."""
     import numpy as np
 
-    vocab: dict = {}
+    def block():
+        return list(words), np.array(list(phrases), np.int32), [sorted(v) for v in phrases.values()]
+
+    words: dict = {}
     phrases: dict = {}
     size = 0
     rows = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(item_id, text).toLocalIterator()
@@ -234,31 +278,32 @@ def _blocks(items: DataFrame, item_id: str, text: str, run: int) -> Iterator[tup
         w = words_of(r[1])
         if len(w) < run:
             continue
-        ids = [vocab.setdefault(x, len(vocab) + 1) for x in w]
-        for i in range(len(ids) - run + 1):
-            phrases.setdefault(tuple(ids[i : i + run]), set()).add(r[0])
-        size += len(w)
-        if size >= BLOCK_WORDS:
-            yield vocab, np.array(list(phrases), np.int64), [sorted(v) for v in phrases.values()]
-            vocab, phrases, size = {}, {}, 0
+        for b in range(0, len(w) - run + 1, BLOCK_WORDS):
+            ids = [words.setdefault(x, len(words)) for x in w[b : b + BLOCK_WORDS + run - 1]]
+            for i in range(len(ids) - run + 1):
+                phrases.setdefault(tuple(ids[i : i + run]), set()).add(r[0])
+            size += len(ids)
+            if size >= BLOCK_WORDS:
+                yield block()
+                words, phrases, size = {}, {}, 0
     if phrases:
-        yield vocab, np.array(list(phrases), np.int64), [sorted(v) for v in phrases.values()]
+        yield block()
 
 
 def _search(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, run: int, emit, schema: str) -> DataFrame:
-    spark = corpus.sparkSession
     src = corpus.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    out = None
-    for vocab, phrases, owners in _blocks(items, item_id, item_text, run):
-        sent = spark.sparkContext.broadcast((vocab, phrases, owners))
+    blocks = [corpus.sparkSession.sparkContext.broadcast(b) for b in _blocks(items, item_id, item_text, run)]
+    if not blocks:
+        return corpus.sparkSession.createDataFrame([], schema)
 
-        def task(batches, sent=sent):
-            v, p, o = sent.value
-            yield from _hits(((pdf["doc_id"].tolist(), pdf["text"].tolist()) for pdf in batches), v, p, o, run, emit)
+    def task(batches):
+        shards = _Shards(blocks, run, emit)
+        for pdf in batches:
+            for doc, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
+                yield from shards.add(doc, t)
+        yield from shards.finish()
 
-        found = src.mapInPandas(task, schema)
-        out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], schema) if out is None else out
+    return src.mapInPandas(task, schema)
 
 
 def leaks(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, run: int = 12) -> DataFrame:
@@ -275,7 +320,7 @@ def leaks(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id:
 def removal_spans(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, run: int = 12) -> DataFrame:
     """Per document the merged character spans [``start_char``, ``end_char``) to remove, with ``n_words`` and the ``item_ids``.
 
-    One row per document row and span; with several blocks of items, spans of different blocks are not merged.
+    One row per document row and span. Spans that overlap or touch are one, whichever items and blocks they come from.
     """
     kinds = f"doc_id {dict(corpus.dtypes)[doc_id]}, start_char int, end_char int, n_words int, item_ids array<{dict(items.dtypes)[item_id]}>"
     return _search(corpus, doc_id, text, items, item_id, item_text, run, _spans, kinds)

@@ -163,7 +163,7 @@ g AS (SELECT t3.*, coalesce(lab.label, dlab.label, 'x' || s, 'y' || d) AS g FROM
 gs AS (SELECT * FROM g WHERE g IS NOT NULL), u AS (SELECT u.*, f.trust_rank FROM universe u LEFT JOIN feeds f ON f.feed = u.feed WHERE key IS NOT NULL)
 {_survivor_sql('sale', 'gs', 'g', 'row_id', SALE_FIELDS)} UNION ALL {_survivor_sql('parcel', 'u', 'key', 'record_id', PARCEL_FIELDS)}"""
 
-_WORDS = r"""list_filter(regexp_extract_all(lower(regexp_replace(text, '\\(?:(?:cite|ref|eqref|label|input|include)\b\*?\s*(?:\[[^\]]*\]\s*)*\{[^{}]*\}|[A-Za-z]+\*?|(?s:.))', ' ', 'g')), '[\pL\pN]+'), lambda w: w <> '')"""
+_WORDS = r"""list_transform(regexp_extract_all(regexp_replace(text, '\\(?:(?:cite|ref|eqref|label|input|include)\b\*?\s*(?:\[[^\]]*\]\s*)*\{[^{}]*\}|[A-Za-z]+\*?|(?s:.))', ' ', 'g'), '[\pL\pN]+'), lambda w: lower(w))"""
 SQL["p6_found"] = f"""WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), iw AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
 ig AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM iw WHERE len(w) >= 12)),
 dg AS (SELECT doc_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM dw WHERE len(w) >= 12))

@@ -67,3 +67,41 @@ def test_small_tables_and_spans(spark):
     for r in spans:
         cut = docs[r["doc_id"]][r["start_char"] : r["end_char"]]
         assert r["n_words"] >= 12 and brute([(0, cut)], items, 12)
+
+
+def test_spans_do_not_depend_on_blocks_or_shards(monkeypatch):
+    rnd = random.Random(10)
+    vocab = "ab cd ef gh ij kl İb".split()
+    docs = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randrange(300)))) for i in range(40)] + [(50, "ab cd " * 400)]
+    items = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randrange(3, 12)))) for i in range(200)] + [(300, "ab cd " * 4)]
+
+    def run(block_words, shard_words, emit):
+        monkeypatch.setattr(leaks, "SHARD_WORDS", shard_words)
+        grams: dict = {}
+        blocks = []
+        for lo in range(0, len(items), block_words):
+            words, grams = {}, {}
+            for n, t in items[lo : lo + block_words]:
+                ids = [words.setdefault(x, len(words)) for x in leaks.words_of(t)]
+                for i in range(len(ids) - 4):
+                    grams.setdefault(tuple(ids[i : i + 5]), set()).add(n)
+            if grams:
+                blocks.append(type("B", (), {"value": (list(words), np.array(list(grams)), [sorted(v) for v in grams.values()])})())
+        shards = leaks._Shards(blocks, 5, emit)
+        out = [r for d, t in docs for df in shards.add(d, t) for r in df.itertuples(index=False, name=None)]
+        return sorted(out + [r for df in shards.finish() for r in df.itertuples(index=False, name=None)])
+
+    want = brute(docs, items, 5)
+    one = run(10_000, 1 << 20, leaks._spans)
+    assert len(one) > 40 and {(r[0], i) for r in one for i in r[4]} == want
+    for blocks, shards in ((7, 1 << 20), (10_000, 37), (20, 150), (3, 6)):
+        assert run(blocks, shards, leaks._spans) == one
+        assert set(run(blocks, shards, leaks._pairs)) == want
+
+
+def test_letters_that_change_length_in_lower_case(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    text = "İb İb İb " + item.upper()
+    d, e = spark.createDataFrame([(1, text)], "id int, text string"), spark.createDataFrame([(7, item)], "n int, t string")
+    got = leaks.removal_spans(d, "id", "text", e, "n", "t").collect()
+    assert [(text[r["start_char"] : r["end_char"]], r["n_words"], r["item_ids"]) for r in got] == [(item.upper(), 12, [7])]
