@@ -4,17 +4,24 @@ Lines are cut into slots (house number, unit, city, street name, street type, di
 built in: which words introduce units, which stand before a ZIP code, which are directions and types, and how each is
 abbreviated or misspelt, is mined from the lines themselves:
 
-1. Words are told apart by where they stand (a direction stands first or last, a type last or before the direction).
+1. Words are told apart by where they stand (a direction stands first or last, a type last or before the direction, a
+   unit word before a second number): a word counts if it stands there more often than words of its lines do by chance
+   (Z deviations), whatever share of the table it has.
 2. Lines that agree in everything else but differ in one token give rewrite pairs: abbreviations of types and
    directions from streets of one city and name, spellings of street names from names of one city that are one edit
-   apart. A pair is kept if it is seen far more often than chance allows, or if the rarer spelling is outweighed by
-   the other, or both stand at one house number.
+   apart. An abbreviation is kept if it meets its long form in more streets than chance allows (Z deviations). A spelling
+   is kept if its types and directions are those of the other name and either the other has OUTWEIGH times its houses
+   and such an agreement would be a rare chance (at most AGREE of the city's names have them) or the spelling is as rare
+   as slips of the pen are (at most SLIPS houses and SLIP_RATE of the other's), or the two share more house numbers than
+   chance allows (Poisson tail at most CHANCE).
 3. Kept pairs rewrite the lines, and the mining is repeated until no new pair appears.
 4. A part that a line leaves out is filled in where the city, street or building leaves only one choice.
 
 Scale: statistics are counted per distinct token, name or street, never over pairs of lines; spellings are found
-through names with one letter left out, not by comparing all names; only dictionaries whose size is checked come to
-the driver (words with a minimum share of the lines, and one city per ZIP code).
+through names with one letter left out, of which no more names can share one than there are letters and places; the
+lexicons (words, cities with their writings, ZIP codes, rewrites) are tables that are joined to the lines, broadcast
+only where a count shows that they are small. Only the two-letter words before ZIP codes (at most 26 x 26) come to the
+driver.
 """
 
 from __future__ import annotations
@@ -26,244 +33,263 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.operators.skew import null_safe_join
+from plumbline.operators.skew import checked_join, salted_join
 from plumbline.session import cut
 
-#: Most entries of a dictionary that is sent to the tasks; more are an error, never cut off.
-MAX_DICTIONARY = 500_000
-#: Least share of the lines for a word to count as a direction or type, and least number of lines.
-WORD_SHARE, WORD_LINES = 0.0002, 3
-#: A spelling is outweighed by one that is so many times as frequent.
+#: Standard deviations above chance for a word's place and for an abbreviation.
+Z = 3.0
+#: Houses that a slip of the pen may have, and the share of the right name's houses on top of that.
+SLIPS, SLIP_RATE = 2, 0.02
+#: A rare spelling is outweighed by a name with so many times its houses.
 OUTWEIGH = 3
+#: Greatest share of the city's street names with the same type and direction for their agreement to count.
+AGREE = 0.1
+#: Greatest probability of as many shared house numbers by chance.
+CHANCE = 0.002
 
-_TOKEN = re.compile(r"#|,|\d{5}(?:-\d{4})?(?!\w)|\d+(?:st|nd|rd|th)(?!\w)|\d+-?[a-z](?!\w)|\d+|[^\W\d_]+", re.I)
+_TOKEN = r"(?U)#|,|\d{5}(?:-\d{4})?(?!\w)|\d+(?:st|nd|rd|th)(?!\w)|\d+-?[a-z](?!\w)|\d+|[^\W\d_]+"
+_NO_TEXT = "array<string>"
 
 
-def tokens(line: str | None) -> list[str]:
+def tokens(line: Column) -> Column:
     """Lower-case words, numbers (with a letter right behind), ordinals, ZIP codes, ``#`` and commas; everything else separates."""
-    if not line:
-        return []
-    found = _TOKEN.findall(line.lower().replace("'", ""))
-    return [t.replace("-", "") if t[0].isdigit() and t[-1].isalpha() else t for t in found]
+    found = F.regexp_extract_all(F.lower(F.replace(line, F.lit("'"))), F.lit(_TOKEN), F.lit(0))
+    return F.transform(F.coalesce(found, F.array().cast(_NO_TEXT)), lambda t: F.when(t.rlike(r"^\d+-[a-z]$"), F.replace(t, F.lit("-"))).otherwise(t))
 
 
-def is_zip(t: str) -> bool:
-    return len(t) >= 5 and t[:5].isdigit() and (len(t) == 5 or t[5] == "-")
+def is_zip(t: Column) -> Column:
+    return t.rlike(r"^\d{5}(-\d{4})?$")
 
 
-def is_number(t: str) -> bool:
-    return t[0].isdigit() and not is_zip(t) and not t.endswith(("st", "nd", "rd", "th"))
+def is_number(t: Column) -> Column:
+    return t.rlike(r"^\d+[a-z]?$") & ~is_zip(t)
 
 
-def shorter(word: str) -> set[str]:
+def squeezed(c: Column) -> Column:
+    """Lower case, single blanks; null if nothing is left."""
+    return F.nullif(F.trim(F.regexp_replace(F.lower(c), r"\s+", " ")), F.lit(""))
+
+
+def shorter(word: Column) -> Column:
     """The word and the word with each one letter left out."""
-    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+    return F.array_distinct(F.concat(F.array(word), F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))))
 
 
-def one_edit(a: str, b: str) -> bool:
+def one_edit(a: Column, b: Column) -> Column:
     """Whether one letter was added, left out, replaced or swapped with its neighbour (or none)."""
-    if a == b:
-        return True
-    if abs(len(a) - len(b)) > 1:
-        return False
-    i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
-    return a[i + 1 :] == b[i + 1 :] or a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
-
-
-def _statistics(batches: Iterator):
-    import pandas as pd
-
-    for pdf in batches:
-        n: dict = {}
-        for line, city in zip(pdf["line"], pdf["city"], strict=True):
-            t = tokens(line)
-            for a, b in zip(t, t[1:], strict=False):
-                if is_zip(b) and a.isalpha() and len(a) <= 3:
-                    n["before", a, ""] = n.get(("before", a, ""), 0) + 1
-            for x in t:
-                if is_zip(x):
-                    n["zips", "", ""] = n.get(("zips", "", ""), 0) + 1
-                    if isinstance(city, str) and city.strip():
-                        k = ("zip", x[:5], " ".join(city.lower().split()))
-                        n[k] = n.get(k, 0) + 1
-            if isinstance(city, str) and city.strip():
-                k = ("city", " ".join(city.lower().split()), "")
-                n[k] = n.get(k, 0) + 1
-            at = [i for i, x in enumerate(t) if is_number(x)]
-            if len(at) > 1 and at[0] == 0 and at[1] > 1:
-                n["unit", t[at[1] - 1], ""] = n.get(("unit", t[at[1] - 1], ""), 0) + 1
-                n["units", "", ""] = n.get(("units", "", ""), 0) + 1
-        yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["kind", "a", "b", "n"])
-
-
-class Lexicon:
-    """What a line is read with: states, unit words, the city of each ZIP code, and all cities with their misspellings."""
-
-    def __init__(self, rows: list):
-        counts: dict = {}
-        for kind, a, b, n in rows:
-            counts.setdefault(kind, {})[a, b] = n
-        zips = max(1, sum(counts.get("zips", {}).values()))
-        units = max(1, sum(counts.get("units", {}).values()))
-        self.states = {a for (a, _), n in counts.get("before", {}).items() if len(a) == 2 and n >= max(2, 0.01 * zips)}
-        self.units = {a for (a, _), n in counts.get("unit", {}).items() if a != "," and n >= max(2, 0.02 * units)} | {"#"}
-        self.city_of = {z: c for z, c in counts.get("zip", {})}
-        self.cities = {c.replace(" ", ""): c for c in [*self.city_of.values(), *(a for a, _ in counts.get("city", {}))]}
-        self.near: dict = {}
-        for c in self.cities:
-            for s in shorter(c) if len(c) > 5 else [c]:
-                self.near.setdefault(s, set()).add(c)
-
-    def city_like(self, word: str) -> tuple[int, str] | None:
-        """The city that a word (written together) is, or is one edit from; the latter only if there is just one."""
-        if word in self.cities:
-            return 0, word
-        if len(word) <= 5:
-            return None
-        found = {c for s in shorter(word) for c in self.near.get(s, ()) if one_edit(word, c)}
-        return (1, found.pop()) if len(found) == 1 else None
-
-    def read(self, line: str, column_city: str | None) -> tuple | None:
-        """(number, unit, city, street words); None if the line has no house number."""
-        t = tokens(line)
-        number = unit = zip_code = None
-        words: list[str] = []
-        i = 0
-        while i < len(t):
-            x = t[i]
-            if x in self.units and i + 1 < len(t) and (is_number(t[i + 1]) or (len(t[i + 1]) == 1 and t[i + 1].isalpha() and x == "#")):
-                unit = t[i + 1].lstrip("0") or "0"
-                i += 2
-                continue
-            if is_zip(x):
-                zip_code = x[:5]
-            elif is_number(x) and number is None:
-                number = x.lstrip("0")
-            elif x != "," and x != "#" and x not in self.states:
-                words.append(x)
-            i += 1
-        if not number or not number[0].isdigit():
-            return None
-        known = self.city_of.get(zip_code)
-        best = None
-        for k in (3, 2, 1):
-            for lo in {0, len(words) - k}:
-                if lo >= 0 and len(words) > k:
-                    got = self.city_like("".join(words[lo : lo + k]))
-                    if got and (known is None or self.cities[got[1]] == known):
-                        rank = (got[0], lo == 0, -k)
-                        if best is None or rank < best[0]:
-                            best = (rank, lo, k, self.cities[got[1]])
-        city = known
-        if best:
-            words = words[: best[1]] + words[best[1] + best[2] :]
-            city = best[3]
-        elif known:
-            # badly misspelt: what the ZIP code says is left out where a word or two come close to it
-            size = len(known.split())
-            for lo in (len(words) - size, 0):
-                if lo >= 0 and len(words) > size and sum(not one_edit(a, b) for a, b in zip(words[lo : lo + size], known.split(), strict=True)) == 0:
-                    words = words[:lo] + words[lo + size :]
-                    break
-        if city is None and isinstance(column_city, str) and column_city.strip():
-            city = " ".join(column_city.lower().split())
-        return number, unit, city, words
-
-
-def _lexicon(lines: DataFrame) -> Lexicon:
-    stats = lines.mapInPandas(_statistics, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("kind", "a").orderBy(F.col("n").desc(), "b")
-    kept = stats.where("n > 1 or kind in ('zip', 'city')").withColumn("r", F.when(F.col("kind") == "zip", F.row_number().over(top)).otherwise(1)).where("r = 1").drop("r")
-    rows = [tuple(r) for r in kept.limit(MAX_DICTIONARY + 1).collect()]
-    if len(rows) > MAX_DICTIONARY:
-        raise ValueError(f"more than {MAX_DICTIONARY} ZIP codes, cities and unit words")
-    return Lexicon(rows)
-
-
-def _word_classes(parsed: DataFrame) -> tuple[list[str], list[str]]:
-    """Directions and types, by where words stand in streets of several words. At most 1 / WORD_SHARE words come back."""
+    d = F.levenshtein(a, b)
+    swapped = lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a))) == b
+    return (d <= 1) | ((d == 2) & (F.length(a) == F.length(b)) & F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(a) - 1)), swapped))
+
+
+def _above_chance(seen: str, chance: Column, spread: Column) -> Column:
+    return F.col(seen) - chance >= Z * F.sqrt(spread)
+
+
+def _states(lines: DataFrame) -> list[str]:
+    """Two-letter words that stand before ZIP codes in most cases (at most 26 x 26)."""
+    pairs = F.explode(F.expr("zip_with(t, concat(slice(t, 2, size(t)), array('')), (a, b) -> struct(a, b))"))
+    n = lines.select(pairs.alias("p")).where(F.col("p.a").rlike("^[a-z]{2}$")).groupBy("p.a").agg(F.count(F.lit(1)).alias("n"), F.sum(is_zip(F.col("p.b")).cast("int")).alias("k"))
+    return sorted(r["a"] for r in n.where(_above_chance("k", F.col("n") / 2, F.col("n") / 4)).collect())
+
+
+def _with_units(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``u``: the words of the line that introduce units; such a word stands before a number that isn't the first in most cases."""
+    number = F.transform("t", is_number)
+    first = F.array_position(number, F.lit(True))  # from 1, 0 if there is none
+    # words before a number; it counts for a word if the number is not the first and something stands between
+    before = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("t") - 1)), lambda i: F.when(F.coalesce(F.get(number, i), F.lit(False)), F.struct(F.get(F.col("t"), i - 1).alias("w"), (i > first + 1).alias("late")))), lambda x: x.isNotNull() & x["w"].rlike(r"^[^\d,#]"))
+    lines = lines.withColumn("c", F.when(first > 0, F.array_distinct(before)).otherwise(F.array().cast("array<struct<w:string,late:boolean>>")))
+    lines = cut(lines.withColumn("id", F.monotonically_increasing_id()))
+    cand = lines.select("id", F.explode("c").alias("x")).select("id", "x.w", "x.late")
+    often = cut(cand.where("late").groupBy("w").agg(F.count(F.lit(1)).alias("k")))
+    every = checked_join(lines.select(F.explode(F.array_distinct("t")).alias("w")), often.select("w"), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    units = cut(often.join(every, "w").where(_above_chance("k", F.col("n") / 2, F.col("n") / 4)).select("w"))
+    got = checked_join(cand, units, "w", "left_semi").groupBy("id").agg(F.collect_set("w").alias("u"))
+    none = F.array().cast(_NO_TEXT)
+    some = lines.where(F.size("c") > 0).join(got, "id", "left").withColumn("u", F.coalesce("u", none))
+    return lines.where(F.size("c") == 0).withColumn("u", none).unionByName(some).drop("c")
+
+
+def _read(lines: DataFrame) -> DataFrame:
+    """``key, number, unit, zip, own (the record's city), words`` of each line that has a house number other than 0."""
+    states = _states(lines)
+    lines = _with_units(lines)
+    known = frozenset(states)
+
+    def split(batches: Iterator):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = [(k, own, *got) for k, own, t, u in zip(pdf["key"], pdf["own"], pdf["t"], pdf["u"], strict=True) if (got := _parts(t.tolist(), set(u.tolist()), known))]
+            yield pd.DataFrame(rows, columns=["key", "own", "number", "unit", "zip", "words"])
+
+    return lines.select("key", "own", "t", "u").mapInPandas(split, f"key {dict(lines.dtypes)['key']}, own string, number string, unit string, zip string, words array<string>")
+
+
+_ZIP, _NUMBER = re.compile(r"\d{5}(-\d{4})?\Z"), re.compile(r"\d+[a-z]?\Z")
+
+
+def _parts(t: list[str], units: set[str], states: frozenset) -> tuple | None:
+    """(number, unit, ZIP code, words) of a line's tokens; None if it has no house number, or 0."""
+    zips = [bool(_ZIP.match(x)) for x in t]
+    number = [bool(_NUMBER.match(x)) and not z for x, z in zip(t, zips, strict=True)]
+    unit, left, skip = None, [], -1
+    for i, x in enumerate(t):
+        if i == skip or x == ",":
+            continue
+        if i + 1 < len(t) and (((x in units or x == "#") and number[i + 1]) or (x == "#" and len(t[i + 1]) == 1 and t[i + 1].isalpha())):
+            unit, skip = t[i + 1].lstrip("0") or "0", i + 1
+        elif x != "#":
+            left.append(i)
+    at = next((i for i in left if number[i]), None)
+    if at is None and left and zips[left[0]] and "-" not in t[left[0]] and sum(zips[i] for i in left) > 1:
+        at = left[0]  # a house number of five digits, as another ZIP code follows
+    house = t[at].lstrip("0") if at is not None else ""
+    if not house or not house[0].isdigit():
+        return None
+    code = [t[i][:5] for i in left if zips[i] and i != at]
+    return house, unit, code[-1] if code else None, [t[i] for i in left if i != at and not zips[i] and t[i] not in states]
+
+
+def _with_city(read: DataFrame) -> DataFrame:
+    """``key, number, unit, city, street`` (words): the city is taken from the words that spell it, at either end of the line, else from the ZIP code, else from the record."""
+    # the city of a ZIP code: the one that most of its lines' records name
+    of_zip = read.where("zip is not null and own is not null").groupBy("zip", "own").agg(F.count(F.lit(1)).alias("n")).groupBy("zip").agg(F.min(F.struct((-F.col("n")).alias("n"), "own")).alias("b")).select("zip", F.col("b.own").alias("known"))
+    read = cut(checked_join(read, cut(of_zip), "zip", "left").withColumn("id", F.monotonically_increasing_id()))
+    cities = read.where("own is not null").select("own").distinct().select(F.replace("own", F.lit(" ")).alias("c"), F.col("own").alias("city")).groupBy("c").agg(F.min("city").alias("city"))
+    cities = cut(cities)
+    k = F.size("words")
+    ends = F.array(*[F.struct(F.lit(n).alias("k"), F.lit(front).alias("front"), F.when(k > n, F.array_join(F.slice("words", F.lit(1) if front else F.greatest(F.lit(1), k - n + 1), n), "")).alias("w")) for n in (3, 2, 1) for front in (True, False)])
+    cand = read.select("id", "known", F.explode(ends).alias("e")).select("id", "known", "e.*").where("w is not null")
+    # each distinct writing is looked up once: a city, or one edit from just one city
+    writings = cut(cand.select("w").distinct())
+    exact = writings.join(cities, writings["w"] == cities["c"]).select("w", F.lit(0).alias("d"), "city")
+    rest = writings.join(cities, writings["w"] == cities["c"], "left_anti").where("length(w) > 5")
+    near_city = cut(cities.where("length(c) > 5").select("c", "city", F.explode(shorter(F.col("c"))).alias("part")))
+    near = checked_join(rest.select("w", F.explode(shorter(F.col("w"))).alias("part")), near_city, "part").where(one_edit(F.col("w"), F.col("c")))
+    near = near.groupBy("w").agg(F.min(F.struct("c", "city")).alias("a"), F.max("c").alias("z")).where("a.c = z").select("w", F.lit(1).alias("d"), "a.city")
+    found = cut(exact.unionByName(near))
+    best = checked_join(cand, found, "w").where("known is null or city = known")
+    best = best.groupBy("id").agg(F.min(F.struct("d", "front", (-F.col("k")).alias("k"), "city")).alias("b"))
+    d = read.join(best, "id", "left")
+    without = lambda front, n: F.when(front, F.slice("words", n + 1, F.greatest(F.lit(0), k - n))).otherwise(F.slice("words", F.lit(1), F.greatest(F.lit(0), k - n)))
+    # badly misspelt: what the ZIP code says is left out where words come close to it, one by one
+    spelt = F.split("known", " ")
+    size = F.size(spelt)
+    close = lambda at: (k > size) & F.forall(F.zip_with(F.slice("words", at, size), spelt, lambda a, b: F.coalesce(one_edit(a, b), F.lit(False))), lambda x: x)
+    street = F.when(F.col("b").isNotNull(), without(F.col("b.front"), -F.col("b.k")))
+    street = street.when(F.col("known").isNull(), F.col("words")).when(close(F.greatest(F.lit(1), k - size + 1)), without(F.lit(False), size)).when(close(F.lit(1)), without(F.lit(True), size)).otherwise(F.col("words"))
+    return d.select("key", "number", "unit", F.coalesce("b.city", "known", "own").alias("city"), street.alias("street"))
+
+
+def _word_classes(parsed: DataFrame) -> DataFrame:
+    """``w, class``: directions (``d``) and types (``t``), by where words stand in streets of three words or more (two for types)."""
     s = parsed.where(F.size("street") > 1)
-    total = s.count()
     at = F.posexplode("street").alias("i", "w")
-    w = s.select(F.size("street").alias("k"), at).groupBy("w").agg(
-        F.count(F.lit(1)).alias("n"), F.sum((F.col("i") == 0).cast("int")).alias("first"), F.sum((F.col("i") == F.col("k") - 1).cast("int")).alias("last"), F.sum(((F.col("i") == F.col("k") - 2) & (F.col("i") > 0)).cast("int")).alias("before_last")
+    one = s.select(F.size("street").alias("k"), at).withColumn("p", 1 / F.col("k"))
+    sure = F.col("k") > 2
+    w = one.groupBy("w").agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col("i") == 0).cast("int")).alias("first"), F.sum((F.col("i") == F.col("k") - 1).cast("int")).alias("last"), F.sum(((F.col("i") == F.col("k") - 2) & (F.col("i") > 0)).cast("int")).alias("before_last"),
+        F.sum(F.when(sure & ((F.col("i") == 0) | (F.col("i") == F.col("k") - 1)), 1).otherwise(0)).alias("outer"), F.sum(F.when(sure, 2 * F.col("p"))).alias("eo"), F.sum(F.when(sure, 2 * F.col("p") * (1 - 2 * F.col("p")))).alias("vo"), F.sum("p").alias("el"), F.sum(F.col("p") * (1 - F.col("p"))).alias("vl"),
     )
-    rows = w.where(F.col("n") >= max(WORD_LINES, WORD_SHARE * total)).where("(first + last) >= 0.5 * n or (last + before_last) >= 0.5 * n").collect()
-    dirs = sorted(r["w"] for r in rows if r["first"] >= 0.3 * r["n"] and r["last"] >= 0.03 * r["n"] and r["first"] + r["last"] >= 0.85 * r["n"])
-    types = sorted(r["w"] for r in rows if r["last"] >= 0.5 * r["n"] and r["last"] + r["before_last"] >= 0.85 * r["n"] and r["w"] not in dirs)
-    return dirs, types
+    d = (F.col("first") >= 0.3 * F.col("n")) & (F.col("last") >= 0.03 * F.col("n")) & (F.col("first") + F.col("last") >= 0.85 * F.col("n")) & _above_chance("outer", F.col("eo"), F.col("vo"))
+    t = (F.col("last") >= 0.5 * F.col("n")) & (F.col("last") + F.col("before_last") >= 0.85 * F.col("n")) & _above_chance("last", F.col("el"), F.col("vl"))
+    return w.select("w", F.when(d, "d").when(t, "t").alias("class")).where("class is not null")
 
 
-def _slots(parsed: DataFrame, dirs: list[str], types: list[str]) -> DataFrame:
+def _slots(parsed: DataFrame, classes: DataFrame) -> DataFrame:
     """``dir, type, name`` of each line's street; the name is written together, so lost blanks don't matter."""
+    one = parsed
+    # the class of the first word and of the last two: what else a street has in it belongs to the name
+    for name, i in (("c1", 1), ("c8", -2), ("c9", -1)):
+        word = F.when(F.size("street") >= abs(i), F.element_at("street", i))
+        one = checked_join(one.withColumn("w", word), classes.withColumnRenamed("class", name), "w", "left").drop("w")
     many = F.size("street") > 1
-    one = parsed.withColumn("lead", many & F.element_at("street", 1).isin(dirs)).withColumn("tail", many & ~F.col("lead") & F.element_at("street", -1).isin(dirs))
-    one = one.withColumn("dir", F.when(F.col("lead"), F.element_at("street", 1)).when(F.col("tail"), F.element_at("street", -1)))
-    one = one.withColumn("street", F.when(F.col("lead"), F.slice("street", 2, F.size("street"))).when(F.col("tail"), F.slice("street", 1, F.greatest(F.lit(0), F.size("street") - 1))).otherwise(F.col("street")))
-    typed = (F.size("street") > 1) & F.element_at("street", -1).isin(types)
+    lead = many & F.coalesce(F.col("c1") == "d", F.lit(False))
+    tail = many & ~lead & F.coalesce(F.col("c9") == "d", F.lit(False))
+    one = one.withColumns({"dir": F.when(lead, F.element_at("street", 1)).when(tail, F.element_at("street", -1)), "ct": F.when(tail, F.col("c8")).otherwise(F.col("c9"))})
+    one = one.withColumn("street", F.when(lead, F.slice("street", 2, F.size("street"))).when(tail, F.slice("street", 1, F.greatest(F.lit(0), F.size("street") - 1))).otherwise(F.col("street")))
+    typed = (F.size("street") > 1) & F.coalesce(F.col("ct") == "t", F.lit(False))
     one = one.withColumn("type", F.when(typed, F.element_at("street", -1)))
     one = one.withColumn("name", F.array_join(F.when(typed, F.slice("street", 1, F.greatest(F.lit(0), F.size("street") - 1))).otherwise(F.col("street")), ""))
     return one.select("key", "number", "unit", "city", "name", "type", "dir").where("name <> ''")
 
 
-def _abbreviations(streets: DataFrame) -> dict[str, dict[str, str]]:
-    """Rewrites of types and of directions: a token that abbreviates another and stands with it in streets of one city and
-    name at least twice and three times as often as chance would have it.
+def _abbreviations(streets: DataFrame) -> DataFrame:
+    """``slot, short, long``: rewrites of types and of directions, tokens that abbreviate another and stand with it in streets
+    of one city and name twice or more and Z deviations more often than chance would have it.
 
-    One job: per city and name the slot's tokens (few) are paired with themselves, with what they abbreviate, and with
-    nothing, which counts tokens, pairs and streets at once. What comes back grows with the tokens, not the lines.
+    Per city and name the slot's tokens (few) are paired with themselves, with what they abbreviate, and with nothing,
+    which counts tokens, pairs and streets at once; everything after that is as large as the tokens are many.
     """
     slots = F.explode(F.array(*[F.struct(F.lit(s).alias("slot"), F.col(s).alias("t")) for s in ("type", "dir")])).alias("x")
     seen = streets.select("city", "name", slots).where("x.t is not null").groupBy("city", "name", "x.slot").agg(F.array_union(F.collect_set("x.t"), F.array(F.lit(""))).alias("ts"))
     pairs = "flatten(transform(ts, s -> transform(filter(ts, l -> l = s or (s <> '' and length(s) < length(l) and l rlike concat('^', array_join(split(s, ''), '.*')))), l -> struct(s as s, l as l))))"
-    n = {(r["slot"], r["s"], r["l"]): r["n"] for r in seen.select("slot", F.explode(F.expr(pairs)).alias("p")).groupBy("slot", "p.s", "p.l").agg(F.count(F.lit(1)).alias("n")).collect()}
-    out: dict[str, dict[str, str]] = {"type": {}, "dir": {}}
-    for slot, found in out.items():
-        kept: dict[str, list] = {}
-        for (sl, short, long), k in n.items():
-            if sl == slot and short != long:
-                one, other = n[slot, short, short], n[slot, long, long]
-                chance = one * other / n[slot, "", ""]
-                if k >= 2 and k >= min(3 * chance, 0.5 * min(one, other)):
-                    kept.setdefault(short, []).append((len(long), k, long))
-        found.update({short: max(v)[2] for short, v in kept.items()})
-        for short in found:
-            while found[short] in found:
-                found[short] = found[found[short]]
-    return out
-
-
-def _rewritten(c: Column, rewrites: dict[str, str]) -> Column:
-    if not rewrites:
-        return c
-    table = F.create_map(*[F.lit(x) for kv in sorted(rewrites.items()) for x in kv])
-    return F.coalesce(F.try_element_at(table, c), c)
+    n = cut(seen.select("slot", F.explode(F.expr(pairs)).alias("p")).groupBy("slot", F.col("p.s").alias("short"), F.col("p.l").alias("long")).agg(F.count(F.lit(1)).alias("k")))
+    own = n.where("short = long")
+    total = own.where("short = ''").select("slot", F.col("k").alias("total"))
+    both = n.where("short <> long").join(own.select("slot", "short", F.col("k").alias("one")), ["slot", "short"]).join(own.select("slot", "long", F.col("k").alias("other")), ["slot", "long"]).join(total, "slot")
+    chance = F.col("one") * F.col("other") / F.col("total")
+    # the spread of a hypergeometric distribution: streets with both tokens, given how many have each
+    spread = chance * (F.col("total") - F.col("one")) * (F.col("total") - F.col("other")) / (F.col("total") * F.greatest(F.lit(1), F.col("total") - 1))
+    kept = both.where("k >= 2").where(_above_chance("k", chance, spread))
+    return kept.groupBy("slot", "short").agg(F.max(F.struct(F.length("long").alias("n"), "k", "long")).alias("b")).select("slot", "short", F.col("b.long").alias("long"))
+
+
+def _rewritten(df: DataFrame, rewrites: DataFrame) -> DataFrame:
+    """``df`` with types and directions rewritten, and the long forms once more where they are short forms themselves."""
+    for slot in ("type", "dir"):
+        r = rewrites.where(F.col("slot") == slot)
+        r = r.select(F.col("short").alias(slot), F.col("long").alias("__l")).join(r.select(F.col("short").alias("__l"), F.col("long").alias("__m")), "__l", "left").select(slot, F.coalesce("__m", "__l").alias("__better"))
+        df = checked_join(df, r, slot, "left").withColumn(slot, F.coalesce("__better", slot)).drop("__better")
+    return df
 
 
 def _spellings(streets: DataFrame, lines: DataFrame) -> DataFrame:
     """``city, name, better``: spellings to replace, found among names of one city that are one edit apart."""
-    names = streets.where("length(name) > 3").groupBy("city", "name").agg(F.sum("n").alias("n"))
-    cuts = F.explode(F.expr("array_union(array(name), transform(sequence(1, length(name)), i -> concat(substring(name, 1, i - 1), substring(name, i + 1))))")).alias("part")
-    parts = names.select("city", "name", "n", cuts)
-    # of the names that share a part, each is set against the most frequent one only: no pairs within a part
-    best = parts.groupBy("city", "part").agg(F.max(F.struct("n", F.col("name").alias("name"))).alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    pairs = parts.join(best, ["city", "part"]).where(F.col("b.name") != F.col("name")).select("city", "name", "n", F.col("b.name").alias("better"), F.col("b.n").alias("m")).distinct()
-    pairs = cut(pairs.where(F.levenshtein("name", "better") <= 2))
-    clear = pairs.where(F.col("m") >= OUTWEIGH * F.col("n")).select("city", "name", "better", "m")
-    rare = pairs.where((F.col("m") < OUTWEIGH * F.col("n")) & (F.col("n") < OUTWEIGH))
-    every = clear
-    if not rare.isEmpty():
-        now = streets.select("city", F.col("name0").alias("name0"), "name").distinct()
-        mine = now.join(rare.select("city", "name").union(rare.select("city", "better")).distinct(), ["city", "name"], "left_semi")
-        at = cut(lines.select("city", F.col("name").alias("name0"), "number").join(mine, ["city", "name0"]).select("city", "name", "number").distinct())
-        every = every.unionByName(rare.join(at, ["city", "name"]).join(at.withColumnRenamed("name", "better"), ["city", "better", "number"], "left_semi").select("city", "name", "better", "m").distinct())
-    one = every.groupBy("city", "name").agg(F.max(F.struct("m", "better")).alias("x")).select("city", "name", F.col("x.better").alias("better"))
+    agree = F.collect_set(F.when(F.col("type").isNotNull(), F.struct("type", F.coalesce("dir", F.lit("")).alias("dir"))))
+    names = streets.where("length(name) > 3").groupBy("city", "name").agg(F.sum("n").alias("n"), agree.alias("ways"))
+    names = cut(names)
+    parts = names.select("city", "name", "n", F.explode(shorter(F.col("name"))).alias("part"))
+    other = parts.select("city", "part", F.col("name").alias("better"), F.col("n").alias("m"))
+    # names that share a part differ in one letter of an alphabet at one place: they are few, however many lines they have
+    pairs = parts.join(other, ["city", "part"]).where("m > n or (m = n and better < name)").select("city", "name", "n", "better", "m").distinct()
+    pairs = pairs.where(F.levenshtein("name", "better") <= 2)
+    pairs = pairs.join(names.select("city", "name", F.col("ways").alias("mine")), ["city", "name"]).join(names.select("city", F.col("name").alias("better"), "ways"), ["city", "better"])
+    # a line that leaves its direction out goes with any
+    same = F.forall("mine", lambda a: F.exists("ways", lambda b: (a["type"] == b["type"]) & ((a["dir"] == "") | (b["dir"] == "") | (a["dir"] == b["dir"]))))
+    pairs = cut(pairs.where(same | (F.size("ways") == 0)).drop("mine", "ways"))
+    # how likely it is that another street of the city would agree in type and direction
+    each = names.select("city", "name", F.explode("ways").alias("way"))
+    share = each.groupBy("city", "way").agg(F.count(F.lit(1)).alias("k")).join(names.groupBy("city").agg(F.count(F.lit(1)).alias("all")), "city").select("city", "way", (F.col("k") / F.col("all")).alias("q"))
+    q = each.join(pairs.select("city", "name").distinct(), ["city", "name"], "left_semi").join(share, ["city", "way"]).groupBy("city", "name").agg(F.min("q").alias("q"))
+    pairs = cut(pairs.join(q, ["city", "name"], "left").withColumn("q", F.coalesce("q", F.lit(1.0))))
+    slip = (F.col("m") >= OUTWEIGH * F.col("n")) & ((F.col("q") <= AGREE) | (F.col("n") <= SLIPS + SLIP_RATE * F.col("m")))
+    every = pairs.where(slip)
+    doubtful = pairs.where(~slip)
+    if not doubtful.isEmpty():
+        asked = doubtful.select("city", "name").union(doubtful.select("city", "better")).distinct()
+        now = streets.select("city", "name0", "name").distinct().join(asked, ["city", "name"], "left_semi")
+        at = cut(lines.select("city", F.col("name").alias("name0"), "number").distinct().join(now, ["city", "name0"]).select("city", "name", "number").distinct())
+        size = at.groupBy("city", "name").agg(F.count(F.lit(1)).alias("size"))
+        room = lines.where("city is not null").groupBy("city").agg(F.count_distinct("number").alias("room"))
+        shared = doubtful.join(at, ["city", "name"]).join(at.withColumnRenamed("name", "better"), ["city", "better", "number"]).groupBy("city", "name", "n", "better", "m").agg(F.count(F.lit(1)).alias("k"))
+        shared = shared.join(size, ["city", "name"]).join(size.select("city", F.col("name").alias("better"), F.col("size").alias("size2")), ["city", "better"]).join(room, "city")
+        e = F.col("size") * F.col("size2") / F.col("room")
+        # the tail of a Poisson distribution is at most (e / k)^k exp(k - e) above its mean
+        tail = F.when(F.col("k") > e, F.exp(F.col("k") * F.log(e / F.col("k")) + F.col("k") - e)).otherwise(1.0)
+        every = every.select("city", "name", "better", "m").unionByName(shared.where(tail <= CHANCE).select("city", "name", "better", "m"))
+    one = every.select("city", "name", "better", "m").groupBy("city", "name").agg(F.max(F.struct("m", "better")).alias("x")).select("city", "name", F.col("x.better").alias("better"))
     # a spelling that is itself replaced is no target in this round
     return one.join(one.select("city", F.col("name").alias("better")), ["city", "better"], "left_anti")
 
 
+def _street(*slots: str) -> Column:
+    """One text for a street's slots; a null is told from every text."""
+    return F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(s)), F.lit("-")) for s in slots])
+
+
 def normalised(records: DataFrame, key: str, address: str, city: str | None = None) -> DataFrame:
     """``key, number, unit, city, name, type, dir`` of each distinct line that has a house number other than 0.
 
@@ -271,68 +297,59 @@ def normalised(records: DataFrame, key: str, address: str, city: str | None = No
     neither city nor ZIP code. Rows with a null key or a line without number don't come out.
     """
     lines = records.where(F.col(key).isNotNull() & F.col(address).isNotNull()).select(F.col(key).alias("key"), F.col(address).alias("line"), (F.col(city) if city else F.lit(None).cast("string")).alias("city")).distinct()
-    lexicon = _lexicon(lines.select("line", "city"))
-    sent = records.sparkSession.sparkContext.broadcast(lexicon)
-
-    def parse(batches: Iterator):
-        import pandas as pd
-
-        lex = sent.value
-        for pdf in batches:
-            got = [(k, *r) for k, line, c in zip(pdf["key"], pdf["line"], pdf["city"], strict=True) if (r := lex.read(line, c))]
-            yield pd.DataFrame(got, columns=["key", "number", "unit", "city", "street"])
-
-    kind = dict(records.dtypes)[key]
-    parsed = cut(lines.mapInPandas(parse, f"key {kind}, number string, unit string, city string, street array<string>"))
-    dirs, types = _word_classes(parsed)
-    lines = cut(_slots(parsed, dirs, types).distinct())
-    # the mining runs over distinct streets with their numbers of lines, not over lines
+    read = _read(cut(lines.select("key", tokens(F.col("line")).alias("t"), squeezed(F.col("city")).alias("own"))))
+    parsed = cut(_with_city(cut(read)))
+    lines = cut(_slots(parsed, cut(_word_classes(parsed))).distinct().withColumn("at", _street("city", "name", "type", "dir")))
+    # the mining runs over distinct streets, not over lines; a slip that was delivered again is one slip, so houses are counted
     slots = ["city", "name", "type", "dir"]
-    streets = cut(lines.where("city is not null").groupBy(*slots).agg(F.count(F.lit(1)).alias("n")).withColumns({f"{s}0": F.col(s) for s in ("name", "type", "dir")}))
-    every: dict[str, dict] = {"type": {}, "dir": {}}
+    streets = cut(lines.where("city is not null").groupBy(*slots).agg(F.count_distinct("number").alias("n")).withColumns({f"{s}0": F.col(s) for s in ("name", "type", "dir")}))
+    rounds = []
     while True:
-        rewrites = _abbreviations(streets)
-        for slot, r in rewrites.items():
-            every[slot].update(r)
+        rewrites = cut(_abbreviations(streets))
         spelt = cut(_spellings(streets, lines))
-        if not rewrites["type"] and not rewrites["dir"] and spelt.isEmpty():
+        if rewrites.isEmpty() and spelt.isEmpty():
             break
-        streets = streets.withColumns({s: _rewritten(F.col(s), r) for s, r in rewrites.items()})
+        rounds.append(rewrites)
+        streets = _rewritten(streets, rewrites)
         streets = cut(streets.join(spelt, ["city", "name"], "left").withColumn("name", F.coalesce("better", "name")).drop("better"))
-    final = streets.select(F.col("city"), F.col("name0").alias("name"), F.col("type0").alias("type"), F.col("dir0").alias("dir"), F.col("name").alias("__name"), F.col("type").alias("__type"), F.col("dir").alias("__dir"))
-    got = null_safe_join(lines, final, slots, "left")
-    known = F.col("__name").isNotNull()
+    final = streets.select(_street("city", "name0", "type0", "dir0").alias("at"), F.col("name").alias("__name"), F.col("type").alias("__type"), F.col("dir").alias("__dir"))
+    known = salted_join(lines.where("city is not null").drop("name", "type", "dir"), final, "at").select("key", "number", "unit", "city", F.col("__name").alias("name"), F.col("__type").alias("type"), F.col("__dir").alias("dir"))
     # lines whose city isn't known yet have their tokens rewritten all the same
-    out = got.withColumns({s: F.when(known, F.col(f"__{s}")).otherwise(_rewritten(F.col(s), every.get(s, {}))) for s in ("name", "type", "dir")}).drop("__name", "__type", "__dir")
-    return cut(out.distinct())
+    rest = lines.where("city is null").drop("at")
+    for r in rounds:
+        rest = _rewritten(rest, r)
+    return cut(known.unionByName(rest.select(*known.columns)).distinct())
 
 
 def places(lines: DataFrame) -> DataFrame:
     """``key, place``: each line's place with left-out parts filled in; lines that could mean several places don't come out."""
     # cities left out: the only city with such a street
     with_city = lines.where("city is not null")
-    of_street = with_city.groupBy("name").agg(F.min("city").alias("c0"), F.max("city").alias("c1")).where("c0 = c1").select("name", "c0")
-    lines = lines.join(of_street, "name", "left").withColumn("city", F.coalesce("city", "c0")).drop("c0").where("city is not null")
-    lines = cut(lines)
-    combos = lines.groupBy("city", "name", "type", "dir").agg(F.count(F.lit(1)).alias("n"))
-    whole = Window.partitionBy("city", "name")
-    full = combos.withColumn("all", F.sum("n").over(whole)).where("type is not null and n * 20 >= all")
+    of_street = with_city.groupBy("name").agg(F.min("city").alias("c0"), F.max("city").alias("c1")).where("c0 = c1").select("name", F.col("c0").alias("city"))
+    lines = cut(with_city.unionByName(salted_join(lines.where("city is null").drop("city"), of_street, "name").select(*with_city.columns)))
+    # a street counts as a choice if it has two house numbers or more, however large the others of its name are
+    combos = lines.where("type is not null").groupBy("city", "name", "type", "dir").agg((F.min("number") < F.max("number")).alias("real"))
     # a street whose type goes with directions has one on every line; without is left out
-    full = full.withColumn("dirs", F.count("dir").over(Window.partitionBy("city", "name", "type"))).where("dir is not null or dirs = 0")
-    streets = full.groupBy("city", "name").agg(F.collect_list(F.struct(F.col("type").alias("t"), F.col("dir").alias("d"))).alias("known"))
+    full = combos.withColumn("dirs", F.count("dir").over(Window.partitionBy("city", "name", "type"))).where("dir is not null or dirs = 0")
+    streets = full.groupBy("city", "name").agg(F.collect_list(F.struct(F.col("type").alias("t"), F.col("dir").alias("d"), "real")).alias("known"))
+    # those with one house number count only where there is no other
+    streets = streets.withColumn("known", F.when(F.exists("known", lambda k: k["real"]), F.filter("known", lambda k: k["real"])).otherwise(F.col("known")))
+    streets = streets.select(_street("city", "name").alias("at"), F.transform("known", lambda k: F.struct(k["t"].alias("t"), k["d"].alias("d"))).alias("known"))
     fits = F.filter("known", lambda k: (F.col("type").isNull() | (F.col("type") == k["t"])) & (F.col("dir").isNull() | F.coalesce(F.col("dir") == k["d"], F.lit(False))))
     # a name has few streets per city: types x directions
-    at = lines.join(streets, ["city", "name"], "left").withColumn("fit", F.coalesce(fits, F.array().cast("array<struct<t:string,d:string>>")))
+    at = salted_join(lines.withColumn("at", _street("city", "name")), streets, "at", "left").drop("at").withColumn("fit", F.coalesce(fits, F.array().cast("array<struct<t:string,d:string>>")))
     at = cut(at.drop("known"))
     sure = at.where(F.size("fit") == 1)
-    houses = sure.groupBy("city", "name", "number").agg(F.collect_set(F.element_at("fit", 1)).alias("here"))
-    unsure = at.where(F.size("fit") > 1).join(houses, ["city", "name", "number"], "left").withColumn("fit", F.array_intersect("fit", F.coalesce("here", F.array().cast("array<struct<t:string,d:string>>")))).drop("here").where(F.size("fit") == 1)
+    unsure = at.where(F.size("fit") > 1).withColumn("at", _street("city", "name", "number"))
+    houses = sure.withColumn("at", _street("city", "name", "number")).groupBy("at").agg(F.collect_set(F.element_at("fit", 1)).alias("here"))
+    unsure = salted_join(unsure, houses, "at").withColumn("fit", F.array_intersect("fit", "here")).drop("here", "at").where(F.size("fit") == 1)
     odd = at.where(F.size("fit") == 0).withColumn("fit", F.array(F.struct(F.col("type").alias("t"), F.col("dir").alias("d"))))
-    street = sure.unionByName(unsure).unionByName(odd).withColumns({"type": F.element_at("fit", 1)["t"], "dir": F.element_at("fit", 1)["d"]}).drop("fit")
-    street = cut(street.withColumn("house", F.concat_ws("|", "city", "name", F.coalesce("type", F.lit("")), F.coalesce("dir", F.lit("")), "number")))
-    units = street.where("unit is not null").groupBy("house").agg(F.min("unit").alias("u0"), F.max("unit").alias("u1")).where("u0 = u1").select("house", "u0")
-    filled = street.join(units, "house", "left").withColumn("unit", F.coalesce("unit", "u0"))
-    return filled.select("key", F.concat_ws("#", "house", F.coalesce("unit", F.lit(""))).alias("place")).distinct()
+    street = sure.unionByName(unsure.select(*sure.columns)).unionByName(odd).withColumns({"type": F.element_at("fit", 1)["t"], "dir": F.element_at("fit", 1)["d"]}).drop("fit")
+    street = cut(street.select("key", "unit", _street("city", "name", "type", "dir", "number").alias("house")))
+    units = street.where("unit is not null").groupBy("house").agg(F.min("unit").alias("u0"), F.max("unit").alias("u1")).where("u0 = u1").select("house", F.col("u0").alias("unit"))
+    filled = salted_join(street.where("unit is null").drop("unit"), units, "house", "left").select("key", "unit", "house")
+    every = street.where("unit is not null").select("key", "unit", "house").unionByName(filled)
+    return every.select("key", F.concat_ws("#", "house", F.coalesce("unit", F.lit(""))).alias("place")).distinct()
 
 
 def same_place_pairs(records: DataFrame, key: str, address: str, city: str | None = None) -> DataFrame:

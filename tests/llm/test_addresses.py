@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from plumbline.llm import addresses as ad
 from tests.conftest import SMALL
 
@@ -9,13 +11,24 @@ STREETS = [("mill run", "road", None), ("old harbor", "street", "north"), ("old
 CITIES = [("elmton", "00101"), ("oak springs", "00102"), ("oak mills", "00103")]
 
 
-def test_tokens_and_edits():
-    assert ad.tokens("Unit 1B, 4931 No. O'Neil 10th Pl., #3-c 00281-1234") == ["unit", "1b", ",", "4931", "no", "oneil", "10th", "pl", ",", "#", "3c", "00281-1234"]
-    assert ad.tokens(None) == ad.tokens("") == []
-    assert not ad.is_number("10th") and ad.is_number("10") and ad.is_zip("00281-1234") and not ad.is_number("00281")
-    for a, b in (("mill", "mil"), ("mill", "miill"), ("mill", "mlil"), ("mill", "mull"), ("mill", "mill")):
-        assert ad.one_edit(a, b) and ad.one_edit(b, a)
-    assert not ad.one_edit("mill", "mole") and not ad.one_edit("mill", "ml")
+def test_tokens_and_edits(spark):
+    lines = spark.createDataFrame([("Unit 1B, 4931 No. O'Neil 10th Pl., #3-c 00281-1234",), (None,), ("",)], "a string").coalesce(1)
+    got = lines.select(ad.tokens(F.col("a")).alias("t"))
+    assert [r["t"] for r in got.collect()] == [["unit", "1b", ",", "4931", "no", "oneil", "10th", "pl", ",", "#", "3c", "00281-1234"], [], []]
+    words = spark.createDataFrame([("10th",), ("10",), ("00281-1234",), ("00281",), ("1b",)], "a string").coalesce(1)
+    assert [tuple(r) for r in words.select(ad.is_number(F.col("a")), ad.is_zip(F.col("a"))).collect()] == [(False, False), (True, False), (False, True), (False, True), (True, False)]
+    pairs = [("mill", x, True) for x in ("mil", "miill", "mlil", "mull", "mill")] + [("mill", x, False) for x in ("mole", "ml")]
+    df = spark.createDataFrame(pairs, "a string, b string, same boolean")
+    assert df.where((ad.one_edit(F.col("a"), F.col("b")) != F.col("same")) | (ad.one_edit(F.col("b"), F.col("a")) != F.col("same"))).count() == 0
+
+
+def test_parts_of_a_line():
+    part = lambda line, units=("apt", "unit"): ad._parts(line.split(), set(units), frozenset(["qx"]))
+    assert part("apt 2 , 1996 w rugged st , elmton , qx 00297-2260") == ("1996", "2", "00297", ["w", "rugged", "st", "elmton"])
+    assert part("elm rd 0012 # b 00101") == ("12", "b", "00101", ["elm", "rd"])
+    assert part("12345 elm rd elmton 00101") == ("12345", None, "00101", ["elm", "rd", "elmton"])
+    assert part("0 elm rd") is None and part("elm rd 00101") is None and part("") is None
+    assert part("7 county road 12") == ("7", None, None, ["county", "road", "12"])
 
 
 def write(rnd, place, omit=0.06, typo=0.08):
@@ -61,3 +74,26 @@ def test_small_tables(spark):
     u = spark.read.parquet(f"{SMALL}/universe.parquet")
     got = ad.same_place_pairs(u, "key", "address", "city").collect()
     assert got and all(r["key_a"] < r["key_b"] for r in got) and len(set(got)) == len(got)
+
+
+def test_copies_of_the_table_change_nothing(spark):
+    rnd = random.Random(15)
+    places = [(n, s, None, c) for c in CITIES for s in STREETS for n in range(101, 120)]
+    rows = [(f"k{i}", write(rnd, p), p[3][0]) for i, p in enumerate(rnd.choice(places) for _ in range(700))]
+    df = spark.createDataFrame(rows, "key string, address string, city string")
+    one = {tuple(r) for r in ad.same_place_pairs(df, "key", "address", "city").collect()}
+    more = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(20))))
+    assert one and {tuple(r) for r in ad.same_place_pairs(more, "key", "address", "city").collect()} == one
+
+
+def test_joins_beyond_the_broadcast_size(spark, monkeypatch):
+    from plumbline.operators import skew
+
+    rnd = random.Random(16)
+    places = [(n, s, None, c) for c in CITIES for s in STREETS for n in range(101, 120)]
+    rows = [(f"k{i}", write(rnd, p), p[3][0]) for i, p in enumerate(rnd.choice(places) for _ in range(500))]
+    df = spark.createDataFrame(rows, "key string, address string, city string")
+    one = {tuple(r) for r in ad.same_place_pairs(df, "key", "address", "city").collect()}
+    real = skew.checked_join
+    monkeypatch.setattr(ad, "checked_join", lambda left, right, key, how="inner", rows=0: real(left, right, key, how, 0))
+    assert one and {tuple(r) for r in ad.same_place_pairs(df, "key", "address", "city").collect()} == one
