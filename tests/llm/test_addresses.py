@@ -84,16 +84,3 @@ def test_copies_of_the_table_change_nothing(spark):
     one = {tuple(r) for r in ad.same_place_pairs(df, "key", "address", "city").collect()}
     more = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(20))))
     assert one and {tuple(r) for r in ad.same_place_pairs(more, "key", "address", "city").collect()} == one
-
-
-def test_joins_beyond_the_broadcast_size(spark, monkeypatch):
-    from plumbline.operators import skew
-
-    rnd = random.Random(16)
-    places = [(n, s, None, c) for c in CITIES for s in STREETS for n in range(101, 120)]
-    rows = [(f"k{i}", write(rnd, p), p[3][0]) for i, p in enumerate(rnd.choice(places) for _ in range(500))]
-    df = spark.createDataFrame(rows, "key string, address string, city string")
-    one = {tuple(r) for r in ad.same_place_pairs(df, "key", "address", "city").collect()}
-    real = skew.checked_join
-    monkeypatch.setattr(ad, "checked_join", lambda left, right, key, how="inner", rows=0: real(left, right, key, how, 0))
-    assert one and {tuple(r) for r in ad.same_place_pairs(df, "key", "address", "city").collect()} == one
