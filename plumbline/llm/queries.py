@@ -9,7 +9,7 @@ from plumbline.llm import addresses, leaks, mixture
 from plumbline.llm import percentiles as pct
 from plumbline.llm import survivors as sv
 from plumbline.llm import truncation
-from plumbline.operators.skew import salted_join
+from plumbline.operators.skew import maybe_known, salted_join
 from plumbline.plans.tables import table
 from plumbline.session import cut
 
@@ -44,14 +44,16 @@ SALE_FIELDS = ["sale_price", "sale_date", "deed_book", "deed_page", "valid_sale"
 PARCEL_FIELDS = ["address", "bldg_area_finished_sqft", "land_area_sqft", "neighborhood"]
 
 
-def _grouped_sales(spark: SparkSession, d: str, values: bool = False) -> DataFrame:
-    """Sales with the group of their transaction; with ``values`` the fields themselves, else only whether they are there."""
-    sales = sv.trusted(table(spark, d, "sales").select("row_id", "key_sale", "key", "feed", "recorded_at", *SALE_FIELDS), table(spark, d, "feeds"))
+def _grouped_sales(spark: SparkSession, d: str) -> DataFrame:
+    """Sales that belong to a transaction with other sales, with its ``group``; the rest is left in the scan by a filter of row ids."""
+    sales = table(spark, d, "sales").select("row_id", "key_sale", "key", "feed", "recorded_at", *SALE_FIELDS)
     deed, whole = sv.deed_identity(F.col("key"), F.col("deed_book"), F.col("deed_page"))
-    # identifiers and what is missing are worked out once; the values themselves are not needed to choose rows
-    present = [F.when(~sv.is_missing(sales, f), F.lit(1)).alias(f) for f in SALE_FIELDS]
-    named = cut(sales.select("row_id", sv.sale_identity(F.col("key_sale")).alias("s"), F.when(whole, deed).alias("d"), "recorded_at", "trust_rank", *(["key_sale", *SALE_FIELDS] if values else present)))
-    return sv.linked_groups(named, "s", "d")
+    named = cut(sales.select("row_id", sv.sale_identity(F.col("key_sale")).alias("s"), F.when(whole, deed).alias("d")))
+    grouped = sv.linked_groups(named, "s", "d").where(F.col("group").isNotNull())
+    grouped = cut(grouped.select("row_id", "group"))
+    members = cut(salted_join(grouped, sv.repeated(grouped, "group", "row_id").select(F.col("g").alias("group")), "group", "left_semi"))
+    some = sales.where(maybe_known(sales, "row_id", members.select("row_id"))).join(members, "row_id")
+    return sv.trusted(cut(some.drop("key")), table(spark, d, "feeds"))
 
 
 def _rank() -> list:
@@ -68,7 +70,7 @@ def p4_consensus(spark: SparkSession, d: str) -> DataFrame:
     """Token-level consensus of the fields of sales and parcels; a record's weight falls with its feed's trust rank."""
     parcels = sv.trusted(table(spark, d, "universe").select("record_id", "key", "feed", *PARCEL_FIELDS), table(spark, d, "feeds"))
     weight = F.lit(1.0) / F.coalesce(F.col("trust_rank"), F.lit(10))
-    sales = sv.surviving_values(_grouped_sales(spark, d, values=True), "group", "row_id", ["key_sale", *SALE_FIELDS], weight).select(F.lit("sale").alias("record_type"), "*")
+    sales = sv.surviving_values(_grouped_sales(spark, d), "group", "row_id", ["key_sale", *SALE_FIELDS], weight).select(F.lit("sale").alias("record_type"), "*")
     return sales.unionByName(sv.surviving_values(parcels, "key", "record_id", PARCEL_FIELDS, weight).select(F.lit("parcel").alias("record_type"), "*"))
 
 

@@ -10,9 +10,10 @@ the elected tokens survives. Two weightings:
 
 * ``vote``: every record has a finite weight; values are first added up by (group, field, value), so a copy repeated a
   million times is one row, and large groups are aligned in blocks whose profiles are aligned again.
-* ``order``: records are ranked and each outweighs all later ones together. Then every column is won by the first
-  record that has the field, so the consensus is that record's value, no alignment can change it, and the election is
-  a partially aggregated maximum over the rank. TESTDATA's rule for p4_found is this weighting.
+* ``order``: records are ranked and each outweighs all later ones together (a value counts by the first record that
+  has it, with half the weight of the one before it). TESTDATA's rule for p4_found is this weighting.
+
+Values that are the only one of their group and field are their own consensus; only the others are aligned.
 """
 
 from __future__ import annotations
@@ -117,19 +118,23 @@ def linked_groups(records: DataFrame, first: str, second: str) -> DataFrame:
     return got.select(*[F.col("__r").getField(c).alias(c) for c in kept], F.coalesce("label", "group").alias("group"))
 
 
+def repeated(records: DataFrame, group: str, row_id: str) -> DataFrame:
+    """``g, group_id``: the groups of two or more records, with their smallest row id; null groups are no groups."""
+    n = records.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("g")).agg(F.min(row_id).alias("group_id"), F.count(F.lit(1)).alias("n"))
+    return n.where("n > 1").drop("n")
+
+
 def surviving_rows(records: DataFrame, group: str, row_id: str, fields: list[str], rank: list[Column], record_type: str) -> DataFrame:
     """The ``order`` consensus: ``record_type, group_id, field, row_id`` for groups of two or more records.
 
     ``rank``: columns of which the largest wins, nulls last, compared one after the other; the largest ``row_id``
     decides in the end. Fields that no record of the group has give no row; null groups are no groups; an empty table
-    gives no rows; further columns don't matter. One shuffle of partial maxima, so a group that holds a third of all
-    rows costs no more than any other.
+    gives no rows; further columns don't matter. A value counts once per group however often it is repeated, and large
+    groups are aligned in blocks, so a group that holds a third of all rows is no task of its own.
     """
     place = F.struct(*[x for i, r in enumerate(rank) for x in (r.isNotNull().alias(f"h{i}"), r.alias(f"r{i}"))], F.col(row_id).alias("id"))
-    best = [F.max(F.when(~is_missing(records, f), place)).alias(f"f{i}") for i, f in enumerate(fields)]
-    got = records.where(F.col(group).isNotNull()).groupBy(group).agg(F.min(row_id).alias("group_id"), F.count(F.lit(1)).alias("n"), *best).where("n > 1")
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"f{i}.id").alias("row_id")) for i, f in enumerate(fields)])).alias("x")
-    return got.select(F.lit(record_type).alias("record_type"), "group_id", each).select("record_type", "group_id", "x.field", "x.row_id").where("row_id is not null")
+    got = _consensus(records, group, row_id, fields, place)
+    return got.select(F.lit(record_type).alias("record_type"), "group_id", "field", F.col("best.place.id").alias("row_id"))
 
 
 def surviving_values(records: DataFrame, group: str, row_id: str, fields: list[str], weight: Column) -> DataFrame:
@@ -138,27 +143,53 @@ def surviving_values(records: DataFrame, group: str, row_id: str, fields: list[s
     ``value`` is the existing value closest to the consensus (fewest edits, then most weight, then smallest text) and
     ``row_id`` the smallest row that has it. Missing values have no vote.
     """
-    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.when(~is_missing(records, f), F.trim(F.col(f).cast("string"))).alias("value")) for f in fields])
-    long = records.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(row_id).alias("id"), weight.cast("double").alias("w"), F.explode(cells).alias("c")).select("g", "id", "w", "c.field", "c.value")
-    members = records.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("g")).agg(F.min(row_id).alias("group_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    values = cut(long.where("value is not null").groupBy("g", "field", "value").agg(F.sum("w").alias("w"), F.min("id").alias("id")))
-    count = values.groupBy("g", "field").agg(F.count(F.lit(1)).alias("k"))
-    start = values.join(count, ["g", "field"]).select("g", "field", "k", F.pmod(F.xxhash64("value"), F.ceil(F.col("k") / BLOCK)).alias("block"), F.struct(F.col("w").alias("w"), F.col("value").alias("value")).alias("v"))
+    got = _consensus(records, group, row_id, fields, None, weight)
+    return got.select("group_id", "field", F.col("best.value").alias("value"), "consensus", F.col("best.id").alias("row_id"))
+
+
+def _consensus(records: DataFrame, group: str, row_id: str, fields: list[str], place: Column | None, weight: Column | None = None) -> DataFrame:
+    """``group_id, field, consensus, best`` (the closest value with its ``place``, or with its weight and smallest row)."""
+    groups = cut(repeated(records, group, row_id))
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.when(~is_missing(records, f), F.trim(F.col(f"`{f}`").cast("string"))).alias("value")) for f in fields])
+    long = records.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), (weight.cast("double") if place is None else place).alias("w"), F.col(row_id).alias("id"), cells.alias("c"))
+    long = salted_join(long, groups, "g").select("g", "group_id", "w", "id", F.explode(F.filter("c", lambda c: c["value"].isNotNull())).alias("c")).select("g", "group_id", "w", "id", "c.field", "c.value")
+    values = long.groupBy("g", "group_id", "field", "value").agg(*([F.sum("w").alias("w"), F.min("id").alias("id")] if place is None else [F.max("w").alias("w")]))
+    values = cut(values)
+    # equal values of a group and field in any writing of blanks are one sequence of tokens
+    seq = F.array_join(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+"), " ")
+    count = values.groupBy("g", "field").agg(F.count(F.lit(1)).alias("k"), F.first("value").alias("only"))
+    many = count.where("k > 1").select("g", "field", "k")
+    start = values.join(many, ["g", "field"]).select("g", "field", F.pmod(F.xxhash64("value"), F.ceil(F.col("k") / BLOCK)).alias("block"), F.struct("w", "value").alias("v"))
     first = start.groupBy("g", "field", "block").agg(F.sort_array(F.collect_list("v"), asc=False).alias("vs"))
     profile = "array<struct<tokens:array<string>,weights:array<double>>>"
-    blocks = cut(first.mapInPandas(_profiles, f"g {dict(first.dtypes)['g']}, field string, block long, w double, profile {profile}"))
+    ordered = place is not None
+    tops = first.select("g", "field", "block", F.col("vs")[0]["w"].alias("top"))
+    kinds = f"g {dict(first.dtypes)['g']}, field string, block long, w double, profile {profile}"
+    # Python sees the weights themselves, or only the order of the values
+    weights = lambda c: F.lit(None).cast("array<double>") if ordered else F.transform(c, lambda v: v["w"])
+    blocks = cut(first.select("g", "field", "block", weights("vs").alias("ws"), F.transform("vs", lambda v: v["value"]).alias("values")).mapInPandas(_profiles, kinds))
     while True:
-        most = blocks.groupBy("g", "field").agg(F.count(F.lit(1)).alias("k"))
-        if most.where("k > 1").isEmpty():
+        most = blocks.groupBy("g", "field").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+        if most.isEmpty():
             break
-        again = blocks.join(most, ["g", "field"]).withColumn("block", F.pmod(F.xxhash64("block"), F.ceil(F.col("k") / BLOCK)))
-        again = again.groupBy("g", "field", "block").agg(F.sort_array(F.collect_list(F.struct("w", "profile")), asc=False).alias("vs"))
-        blocks = cut(again.mapInPandas(_merge, blocks.schema))
+        again = blocks.join(most, ["g", "field"]).join(tops, ["g", "field", "block"]).withColumn("block", F.pmod(F.xxhash64("block", F.lit(1)), F.ceil(F.col("k") / BLOCK)))
+        order = F.struct("top", "w", "block0", "profile") if ordered else F.struct("w", "block0", "profile")
+        again = again.withColumn("block0", F.hash("profile.tokens")).groupBy("g", "field", "block").agg(F.sort_array(F.collect_list(order), asc=False).alias("vs"), F.max("top").alias("top"))
+        tops = cut(again.select("g", "field", "block", "top"))
+        merged = again.select("g", "field", "block", weights("vs").alias("ws"), F.transform("vs", lambda v: v["profile"]).alias("values")).mapInPandas(_merge, kinds)
+        blocks = cut(blocks.join(most, ["g", "field"], "left_anti").unionByName(merged))
     top = lambda c: F.array_max(F.arrays_zip(c["weights"], c["tokens"]))["tokens"]
-    consensus = blocks.select("g", "field", F.array_join(F.filter(F.transform("profile", top), lambda t: t != ""), " ").alias("consensus"))
-    near = values.join(consensus, ["g", "field"]).withColumn("d", F.levenshtein("value", "consensus"))
-    best = near.groupBy("g", "field").agg(F.min(F.struct("d", (-F.col("w")).alias("w"), "value", "id")).alias("b"), F.first("consensus").alias("consensus"))
-    return best.join(members, "g").select("group_id", "field", F.col("b.value").alias("value"), "consensus", F.col("b.id").alias("row_id"))
+    elected = blocks.select("g", "field", F.array_join(F.filter(F.transform("profile", top), lambda t: t != ""), " ").alias("consensus"))
+    near = values.join(elected, ["g", "field"], "left").withColumn("consensus", F.coalesce("consensus", seq))
+    near = near.withColumn("d", F.when(seq == F.col("consensus"), 0).otherwise(F.levenshtein(seq, F.col("consensus"))))
+    # the fewest edits, then the largest place; or the fewest edits, the most weight, the smallest text
+    best = F.max(F.struct((-F.col("d")).alias("d"), F.col("w").alias("place"))) if ordered else F.min(F.struct("d", (-F.col("w")).alias("w"), "value", "id"))
+    return near.groupBy("g", "group_id", "field").agg(best.alias("best"), F.first("consensus").alias("consensus"))
+
+
+def _weights(ws, n: int) -> list[float]:
+    """The weights of the values; without any, each value outweighs all later ones together."""
+    return [2.0**-i for i in range(n)] if ws is None else [float(w) for w in ws]
 
 
 def _profiles(batches: Iterator):
@@ -166,12 +197,12 @@ def _profiles(batches: Iterator):
 
     for pdf in batches:
         out = []
-        for g, f, b, vs in pdf.itertuples(index=False):
-            prof = None
-            for v in vs:
-                new = [{t: v["w"]} for t in v["value"].split()]
-                prof = new if prof is None else align(prof, new, sum(x["w"] for x in vs))
-            out.append((g, f, b, float(sum(v["w"] for v in vs)), _pack(prof)))
+        for g, f, b, ws, values in pdf.itertuples(index=False):
+            prof, weights = None, _weights(ws, len(values))
+            for w, v in zip(weights, values, strict=True):
+                new = [{t: w} for t in v.split()]
+                prof = new if prof is None else align(prof, new, sum(weights))
+            out.append((g, f, b, float(sum(weights)), _pack(prof)))
         yield pd.DataFrame(out, columns=["g", "field", "block", "w", "profile"])
 
 
@@ -180,12 +211,14 @@ def _merge(batches: Iterator):
 
     for pdf in batches:
         out = []
-        for g, f, b, vs in pdf.itertuples(index=False):
-            total, prof = float(sum(v["w"] for v in vs)), None
-            for v in vs:
-                new = [dict(zip(c["tokens"], c["weights"], strict=True)) for c in v["profile"]]
-                prof = new if prof is None else align(prof, new, total)
-            out.append((g, f, b, total, _pack(prof)))
+        for g, f, b, ws, values in pdf.itertuples(index=False):
+            prof = None
+            for i, v in enumerate(values):
+                new = [dict(zip(c["tokens"], c["weights"], strict=True)) for c in v]
+                if ws is None:  # the first value of a block outweighs the rest of it by 2**-31, so later blocks must weigh less than that
+                    new = [{t: w * 2.0 ** (-40 * i) for t, w in c.items()} for c in new]
+                prof = new if prof is None else align(prof, new, 0.0)
+            out.append((g, f, b, float(sum(ws)) if ws is not None else 1.0, _pack(prof)))
         yield pd.DataFrame(out, columns=["g", "field", "block", "w", "profile"])
 
 

@@ -100,3 +100,12 @@ def test_consensus_covers_sales_and_parcels(spark):
     # every group and field that has a survivor has a vote, and sales vote on their key too
     assert {v for v in voted if v[2] != "key_sale"} == found
     assert any(v[2] == "key_sale" for v in voted)
+
+
+def test_order_consensus_over_many_values(spark):
+    # more distinct values than a block and a merge of blocks hold; the first record's value survives
+    n = 1500
+    rows = [(i, "g", f"{'x ' * (i % 3)}Elm {i} Street {i % 7}", float(-((i * 37) % n))) for i in range(n)] + [(n + 1, "h", "a", 1.0), (n + 2, "h", None, 5.0), (n + 3, "k", "alone", 1.0)]
+    df = spark.createDataFrame(rows, "id long, g string, a string, r double")
+    got = {(r["group_id"], r["field"], r["row_id"]) for r in sv.surviving_rows(df, "g", "id", ["a"], [F.col("r")], "t").collect()}
+    assert got == {(0, "a", 0), (n + 1, "a", n + 1)}
