@@ -1,7 +1,8 @@
 """Points near points, and points in regions, over space-filling-curve cells.
 
-Both searches turn locations into sorted Morton codes. Discs are covered by cells of one level just larger than the
-disc, so the join is an equality on a cell that holds a bounded area; regions are covered by quadtree cells, that is,
+Both searches turn locations into sorted Morton codes. A disc is covered by one range of codes in each of the few cells,
+some discs wide, that it meets (between the codes of the corners of its box in the cell), and the ranges are joined to
+the sorted codes of the cell. Regions are covered by quadtree cells, that is,
 ranges of codes, which are matched to the sorted codes by one merge (``lastknown.scan``), and only cells on a region's
 edge need the exact test, against the few edges that cross the cell's rows.
 """
@@ -29,41 +30,48 @@ def near_pairs(points: DataFrame, id_col: str, lat: str, lon: str, radius_m: flo
     """Distinct pairs (``id_a`` < ``id_b``) of different ids that have locations at most ``radius_m`` apart.
 
     An id may have several locations and locations may repeat; rows with a null id or a null, NaN or impossible
-    location pair with nothing. The cell level is the finest whose cells are no smaller than the radius at the
-    row's latitude, so a disc meets at most nine cells and a candidate pair lies within a few radii. A pair is
-    looked up once, from the location whose cell code (then id, then coordinates) is the smaller one. Cells with
-    a large share of all locations are salted.
+    location pair with nothing. The cell level is the finest whose cells are four radii high or more, so most discs
+    meet one to four cells; in each of them a disc is a range of Morton codes, which is joined to the cell's codes, and
+    what lies in the range is measured. A pair is looked up once, from the location whose code (then id, then
+    coordinates) is the smaller one, so ranges start no earlier than the own code. Cells with a large share of all
+    locations are salted.
     """
     ok = F.col(lat).between(-90, 90) & F.col(lon).between(-180, 180) & ~F.isnan(lat) & ~F.isnan(lon)
     p = points.where(F.col(id_col).isNotNull() & ok).select(F.col(id_col).alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")).distinct()
     r_deg = math.degrees(radius_m / geo.EARTH_RADIUS_M)
-    # rows of cells are equally high everywhere; columns of cells narrow towards the poles, so more of them are covered there
-    level = max(1, min(geo.MAX_LEVEL, math.floor(math.log2(180.0 / max(r_deg, 1e-9)))))
-    shift = geo.MAX_LEVEL - level
+    level = max(1, min(geo.MAX_LEVEL, math.floor(math.log2(180.0 / max(4 * r_deg, 1e-9)))))
+    shift, size = geo.MAX_LEVEL - level, 1 << geo.MAX_LEVEL
     top = (1 << level) - 1
     edge = r_deg * (1 + 1e-9) + 1e-12
+    # columns of cells narrow towards the poles, so more of them are covered there
     wide = F.when(F.abs("lat") + edge >= 89.9, F.lit(360.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(edge))) / F.cos(F.radians(F.col("lat")))))) * (1 + 1e-9) + 1e-12)
-    axis = lambda v, low, span: F.shiftright(geo.cell_axis(v, low, span), shift)
-    own = geo.interleave(axis(F.col("lon"), -180.0, 360.0), axis(F.col("lat"), -90.0, 180.0))
-    p = p.withColumn("cell", own)
-    ys = F.sequence(axis(F.col("lat") - edge, -90.0, 180.0), axis(F.col("lat") + edge, -90.0, 180.0))
-    x0, x1 = F.floor((F.col("lon") - wide + 180.0) / 360.0 * (top + 1)), F.floor((F.col("lon") + wide + 180.0) / 360.0 * (top + 1))
-    # around a pole, all columns; bounds that depend on the row keep that from being folded into a literal of a million numbers
-    xs = F.when(x1 - x0 >= top, F.sequence(x0 - x0, x0 - x0 + top)).otherwise(F.transform(F.sequence(x0, x1), lambda x: F.pmod(x, F.lit(top + 1))))
+    p = p.withColumn("code", geo.point_code(F.col("lon"), F.col("lat"))).withColumn("cell", F.shiftright("code", 2 * shift))
     hot = lastknown.hot_keys(p, "cell", hot_share, hot_rows)
     is_hot = F.col("cell").isin(hot) if hot else F.lit(False)
+    column = lambda v: F.floor((v + 180.0) / 360.0 * size)  # noqa: E731  (not cut off at the ends of the map, where it goes on)
+    a = p.withColumns({"y0": geo.cell_axis(F.col("lat") - edge, -90.0, 180.0), "y1": geo.cell_axis(F.col("lat") + edge, -90.0, 180.0), "x0": column(F.col("lon") - wide), "x1": column(F.col("lon") + wide)})
+    # around a pole, all columns
+    round_ = F.col("x1") - F.col("x0") >= size
+    a = a.withColumns({"x0": F.when(round_, 0).otherwise(F.col("x0")), "x1": F.when(round_, size - 1).otherwise(F.col("x1"))})
     # rows and columns of cells are exploded one after the other, so the codes are computed in generated code
-    a = p.withColumnRenamed("cell", "own").withColumn("y", F.explode(ys)).withColumn("x", F.explode(F.array_distinct(xs))).withColumn("cell", geo.interleave(F.col("x"), F.col("y"))).where("cell >= own")
-    a = a.select("cell", "own", F.col("id").alias("id1"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
-    b = p.select("cell", F.col("id").alias("id2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    a = a.withColumn("cy", F.explode(F.sequence(F.shiftright("y0", shift), F.shiftright("y1", shift)))).withColumn("cx", F.explode(F.sequence(F.shiftright("x0", shift), F.shiftright("x1", shift))))
+    start = lambda c: F.shiftleft(c, shift)
+    last = (1 << shift) - 1
+    here = F.pmod(F.col("cx"), F.lit(top + 1))
+    # the corners of the disc's box in the cell; east and west of the map's ends the columns are counted on
+    moved = start(here) - start(F.col("cx"))
+    low = geo.interleave(F.greatest("x0", start(F.col("cx"))) + moved, F.greatest("y0", start(F.col("cy"))))
+    high = geo.interleave(F.least("x1", start(F.col("cx")) + last) + moved, F.least("y1", start(F.col("cy")) + last))
+    a = a.select(F.col("code").alias("own"), geo.interleave(here, F.col("cy")).alias("cell"), F.greatest(low, F.col("code")).alias("lo"), high.alias("hi"), F.col("id").alias("id1"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1")).where("lo <= hi")
+    b = p.select("cell", "code", F.col("id").alias("id2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
     on = ["cell"]
     if hot:
         a = a.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("id1", "lat1", "lon1"), F.lit(CELL_SALTS))).otherwise(0))
         b = b.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(CELL_SALTS - 1))).otherwise(F.array(F.lit(0)))))
         on = ["cell", "salt"]
-    once = (F.col("own") < F.col("cell")) | (F.struct("id1", "lat1", "lon1") < F.struct("id2", "lat2", "lon2"))
+    once = (F.col("own") < F.col("code")) | (F.struct("id1", "lat1", "lon1") < F.struct("id2", "lat2", "lon2"))
     near = geo.great_circle_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")) <= radius_m
-    found = a.join(b, on).where((F.col("id1") != F.col("id2")) & once & near)
+    found = a.join(b, on).where(F.col("code").between(F.col("lo"), F.col("hi")) & (F.col("id1") != F.col("id2")) & once & near)
     return found.select(F.least("id1", "id2").alias("id_a"), F.greatest("id1", "id2").alias("id_b")).distinct()
 
 
