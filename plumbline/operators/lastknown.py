@@ -119,6 +119,7 @@ def as_known_at(
     attributes: list[str],
     hot_share: float = HOT_SHARE,
     hot_rows: int = HOT_ROWS,
+    version: str | None = None,
 ) -> DataFrame:
     """Each event with every attribute's value as it was in force and already recorded at the event's time.
 
@@ -133,20 +134,33 @@ def as_known_at(
     ``greatest(effective, recorded)`` on, the match is a running maximum over that order. Events stay as they are,
     repeated ones included; those without any qualifying entry, or with a null key or time, get nulls. NaN counts as
     null. No versions: all nulls; no events: no rows. Columns of ``events`` with the name of an output are replaced.
+
+    ``version`` names a further column with the id of the version in force: of what the separate matches give, the entry
+    that comes last in that order. Versions that leave every attribute out have a history of their own for it.
     """
     types = dict(versions.dtypes)
     micros = lambda c: F.unix_micros(F.col(f"`{c}`").cast("timestamp"))
     clean = lambda c: F.when(~F.isnan(c), F.col(c)) if types[c] in ("double", "float") else F.col(c)
-    entries = F.array(*[F.struct(F.lit(i).alias("kind"), clean(a).cast("string").alias("v")) for i, a in enumerate(attributes)])
+    cells = [F.struct(F.lit(i).alias("kind"), clean(a).cast("string").alias("v")) for i, a in enumerate(attributes)]
+    if version:
+        given = [clean(a).isNotNull() for a in attributes]
+        cells.append(F.struct(F.lit(len(attributes)).alias("kind"), F.when(~reduce(lambda x, y: x | y, given, F.lit(False)), F.lit("")).alias("v")))
+    entries = F.array(*cells)
     long = (
         versions.where(F.col(key).isNotNull() & F.col(effective).isNotNull() & F.col(recorded).isNotNull())
         .select(F.col(key).alias("__k"), micros(effective).alias("__eff"), micros(recorded).alias("__rec"), F.col(version_id).alias("__id"), F.explode(F.filter(entries, lambda x: x["v"].isNotNull())).alias("__x"))
         .select(F.col("__k").alias("__k"), F.greatest("__eff", "__rec").alias("__t"), F.col("__x.kind").alias("kind"), F.struct("__eff", "__rec", "__id", F.col("__x.v").alias("v")).alias("entry"))
     )
     e = events.select(F.struct(*[F.col(f"`{c}`") for c in events.columns]).alias("__e"), F.col(f"`{key}`").alias("__k"), micros(event_time).alias("__t"))
-    out = scan(e, long, "__k", "__t", list(range(len(attributes))), hot_share, hot_rows)
-    made = {x for a in attributes for x in (f"known_{a}", f"known_{a}_id")}
+    kinds = list(range(len(cells)))
+    out = scan(e, long, "__k", "__t", kinds, hot_share, hot_rows)
+    made = {x for a in attributes for x in (f"known_{a}", f"known_{a}_id")} | {version}
+    in_force = []
+    if version:
+        order = [F.when(F.col(f"known_{k}").isNotNull(), F.struct(f"known_{k}.__eff", f"known_{k}.__rec", f"known_{k}.__id")) for k in kinds]
+        in_force = [F.array_max(F.array(*order))["__id"].alias(version)]
     return out.select(
         *[F.col("__e").getField(c).alias(c) for c in events.columns if c not in made],
         *[x for i, a in enumerate(attributes) for x in (F.col(f"known_{i}.v").cast(types[a]).alias(f"known_{a}"), F.col(f"known_{i}.__id").alias(f"known_{a}_id"))],
+        *in_force,
     )

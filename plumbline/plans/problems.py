@@ -22,8 +22,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     sales = table(spark, d, "sales").select("row_id", "key", "sale_date")
-    got = as_known_at(sales, statuses(spark, d), "key", "sale_date", "effective_date", "recorded_at", "status_id", ["status_id"])
-    return got.where(F.col("known_status_id").isNotNull()).select("row_id", F.col("known_status_id").alias("status_id"))
+    got = as_known_at(sales, statuses(spark, d), "key", "sale_date", "effective_date", "recorded_at", "status_id", STATUS_ATTRIBUTES, version="status_id")
+    return got.where(F.col("status_id").isNotNull()).select("row_id", "status_id")
 
 
 def p5_attributes(spark: SparkSession, d: str) -> DataFrame:
