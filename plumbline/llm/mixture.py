@@ -3,8 +3,8 @@
 Documents are counted by exact token length per source. Each source gets a token budget: its target share of the
 total, or all it can give (its tokens x ``max_repeats``) where that is less; what such a source can't give goes to
 the others in proportion to their targets. A budget is met by whole copies of the source, then by a subset of it: an
-even share of every length, and a bounded-knapsack search over the lengths left for the rest of the budget, so the
-sum fits to the token wherever any subset does. Which documents of a length are taken is decided by a seeded hash.
+even share of every length, and a bounded-knapsack search over the lengths left for the rest of the budget, widened
+until the sum fits to the token or the whole budget was searched. Which documents of a length are taken is decided by a seeded hash.
 
 Only lengths and counts meet in a task (per source as many rows as it has distinct lengths), only one row per target
 comes to the driver, and documents of one length are ranked in buckets of bounded size.
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from plumbline.operators.skew import salted_join
 from plumbline.session import cut
 
 #: A byte-level BPE vocabulary as ranks, and the pattern that splits text before merging (fixed values of that vocabulary).
@@ -27,8 +28,11 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Documents of one source and length ranked in one task.
 BUCKET_ROWS = 50_000
-#: The knapsack search covers the last so many tokens of a budget, or four times the longest document if that is more.
+#: The knapsack search starts with the last so many tokens of a budget, or four times the longest document if that is
+#: more, and doubles them until the budget is met to the token or the search covers all of it.
 KNAPSACK_TOKENS = 1 << 12
+#: A search over so many tokens (150 MB) is not widened any more; what is left open then stands in the shares.
+KNAPSACK_MOST = 1 << 24
 
 
 @lru_cache(maxsize=2)
@@ -79,26 +83,43 @@ def budgets(supply: dict, targets: dict, total: int) -> dict:
 
 
 def fit(lengths: list[int], counts: list[int], budget: int, knapsack: int = KNAPSACK_TOKENS, seed: int = 7) -> list[int]:
-    """How many documents of each length to take so that their sum is the largest found at or under ``budget``.
+    """How many documents of each length to take so that their sum is the largest at or under ``budget``.
 
-    Exact whenever a subset of what is left over for the search fills the rest; never above the budget. What the even
-    share leaves open is filled with lengths in a seeded order, so no length is preferred.
+    The even share of every length leaves some tokens open, and these with what the search gives back are filled with
+    lengths in a seeded order, so no length is preferred. If no subset fills them, the search gives back twice as many
+    tokens. It ends when the budget is met (or the next smaller multiple of what all lengths are multiples of), when it
+    covers the whole budget, so that no subset of the documents comes closer, or at KNAPSACK_MOST.
     """
+    import math
     import random
 
-    import numpy as np
-
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget >= total:
         return list(counts)
-    take = [c * budget // total for c in counts]
     order = [i for i in range(len(lengths)) if lengths[i] > 0]
     random.Random(seed).shuffle(order)
+    common = math.gcd(*(lengths[i] for i in order if lengths[i] <= budget)) or 1
+    window, best, best_sum = max(knapsack, 4 * max(lengths, default=0)), None, -1
+    while True:
+        got, reached = _fit_window(lengths, counts, budget, total, order, window)
+        if reached > best_sum:
+            best, best_sum = got, reached
+        if best_sum >= budget - budget % common or window >= 2 * budget or window >= KNAPSACK_MOST:
+            return best
+        window *= 2
+
+
+def _fit_window(lengths: list[int], counts: list[int], budget: int, total: int, order: list[int], window: int) -> tuple[list[int], int]:
+    """``fit`` with a search over some ``window`` tokens, and the sum it reaches."""
+    import numpy as np
+
+    # the even share of what lies outside the window
+    even = max(0, budget - window // 2)
+    take = [c * even // total for c in counts]
     rest = budget - sum(n * t for n, t in zip(lengths, take, strict=True))
-    window = max(knapsack, 4 * max(lengths, default=0))
     for i in order:
         # the even share is short of each length by less than one document
-        if take[i] < counts[i] and rest - lengths[i] >= window // 2:
+        if even and take[i] < counts[i] and rest - lengths[i] >= window // 2:
             take[i] += 1
             rest -= lengths[i]
     parent = np.full(rest + 1, -1, np.int64)
@@ -121,19 +142,20 @@ def fit(lengths: list[int], counts: list[int], budget: int, knapsack: int = KNAP
         if reached[rest]:
             break
     w = int(np.flatnonzero(reached)[-1])
+    filled = budget - rest + w
     while w:
         i, k = parts[parent[w]]
         take[i] += k
         w -= k * lengths[i]
-    return take
+    return take, filled
 
 
 def mix(docs: DataFrame, doc_id: str, source: str, size: str, targets: DataFrame, total: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(selection, shares) of ``docs``, which has a token count ``size`` per row.
 
     The selection has ``doc_id, source, n_tokens, copies`` for the rows taken. The shares have per target ``source,
-    target_share, max_repeats, n_docs, available_tokens, budget_tokens, actual_tokens, actual_share`` (share of the
-    whole selection). ``total`` defaults to the tokens of the targets' sources. Rows of a source without a target, or
+    target_share, max_repeats, n_docs, available_tokens, budget_tokens, actual_tokens, open_tokens, actual_share`` (share of the
+    whole selection; open is what no subset found fills). ``total`` defaults to the tokens of the targets' sources. Rows of a source without a target, or
     with a null source or size, are not taken; targets with a null or negative share or repeats count as zero; a
     repeated target source counts once (its largest share). Repeated rows are documents of their own. Without documents
     nothing is taken and every share is null; further columns are not looked at.
@@ -159,7 +181,9 @@ def mix(docs: DataFrame, doc_id: str, source: str, size: str, targets: DataFrame
 
     chosen = cut(hist.groupBy("source").applyInPandas(choose, "source string, n_tokens long, n long, whole long, extra long"))
     h = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
-    ranked = sized.join(chosen, ["source", "n_tokens"]).withColumn("h", h).withColumn("bucket", F.pmod(F.col("h"), F.ceil(F.col("n") / BUCKET_ROWS)))
+    # one source and length may hold a third of all rows
+    pair = F.concat_ws("|", F.col("n_tokens").cast("string"), "source")
+    ranked = salted_join(sized.withColumn("__pair", pair), chosen.withColumn("__pair", pair).drop("source", "n_tokens"), "__pair").drop("__pair").withColumn("h", h).withColumn("bucket", F.pmod(F.col("h"), F.ceil(F.col("n") / BUCKET_ROWS)))
     of = ["source", "n_tokens", "bucket"]
     by_bucket = ranked.groupBy(*of).agg(F.count(F.lit(1)).alias("here"))
     before = by_bucket.select(*of, F.coalesce(F.sum("here").over(Window.partitionBy("source", "n_tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -169,5 +193,6 @@ def mix(docs: DataFrame, doc_id: str, source: str, size: str, targets: DataFrame
     rows = [(s, float(wanted[s][0]), int(wanted[s][1]), int(have.get(s, (0, 0))[0]), int(supply[s]), int(plan[s])) for s in names]
     base = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, n_docs long, available_tokens long, budget_tokens long")
     shares = base.join(actual, "source", "left").withColumn("actual_tokens", F.coalesce("actual_tokens", F.lit(0)))
+    shares = shares.withColumn("open_tokens", F.col("budget_tokens") - F.col("actual_tokens"))
     shares = shares.crossJoin(F.broadcast(shares.agg(F.sum("actual_tokens").alias("all")))).withColumn("actual_share", F.try_divide("actual_tokens", "all")).drop("all")
     return selection, shares
