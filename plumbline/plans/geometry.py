@@ -40,28 +40,30 @@ def minmax_norm(spark, d):
     return got.select("c_custkey", "c_acctbal_norm", F.when(F.col("c_acctbal") > 0, F.round(F.ln("c_acctbal"), 10)).alias("log_bal"))
 
 
-@query(f"""WITH {_XY}, s AS (SELECT id AS sid, lat AS slat, lon AS slon, v FROM xy WHERE id % 4 = 0), j AS (SELECT id, sid, s.v, sqrt((lon - slon) ** 2 + (lat - slat) ** 2) AS d FROM xy, s WHERE id <> sid),
+@query(f"""WITH {_XY}, s AS (SELECT id AS sid, lat AS slat, lon AS slon, v FROM xy), j AS (SELECT id, sid, s.v, sqrt((lon - slon) ** 2 + (lat - slat) ** 2) AS d FROM xy, s WHERE id <> sid),
 n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, sid) AS r FROM j QUALIFY r <= 5) SELECT id, sid, round(d, 12) AS distance, r::INT AS place FROM n""")
 def knn(spark, d):
     xy = _xy(spark, d)
-    got = neighbors.k_nearest(xy, xy.where("id % 4 = 0").withColumnRenamed("id", "sid"), "id", "sid", "lon", "lat", 5, skip_same=True)
+    got = neighbors.k_nearest(xy, xy.withColumnRenamed("id", "sid"), "id", "sid", "lon", "lat", 5, skip_same=True)
     return got.withColumn("distance", F.round("distance", 12))
 
 
-@query(f"""WITH {_XY}, s AS (SELECT id AS sid, lat AS slat, lon AS slon, v FROM xy WHERE id % 4 = 0), j AS (SELECT id, sid, s.v, sqrt((lon - slon) ** 2 + (lat - slat) ** 2) AS d FROM xy, s WHERE id <> sid),
+@query(f"""WITH {_XY}, s AS (SELECT id AS sid, lat AS slat, lon AS slon, v FROM xy), j AS (SELECT id, sid, s.v, sqrt((lon - slon) ** 2 + (lat - slat) ** 2) AS d FROM xy, s WHERE id <> sid),
 n AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, sid) <= 5), m AS (SELECT id, avg(d) AS s FROM n GROUP BY 1), w AS (SELECT n.*, CASE WHEN s > 0 THEN exp(-(d ** 2) / (2 * s ** 2)) ELSE 1 END AS w FROM n JOIN m USING (id))
 SELECT id, round(sum(w * v) / sum(w), 6) AS lag_v, round(greatest(0, least(1, 1 - (5 / (0.5 / 69.0) ** 2) / sum(CASE WHEN d > 0 THEN 1 / d ** 2 ELSE 1e12 END))), 8) AS lag_confidence FROM w GROUP BY 1""")
 def knn_lag(spark, d):
     xy = _xy(spark, d)
-    got = neighbors.spatial_lag(xy.drop("v"), xy.where("id % 4 = 0").withColumnRenamed("id", "sid"), "id", "sid", "lon", "lat", ["v"], 5, skip_same=True)
+    got = neighbors.spatial_lag(xy.drop("v"), xy.withColumnRenamed("id", "sid"), "id", "sid", "lon", "lat", ["v"], 5, skip_same=True)
     return got.withColumns({"lag_v": F.round("lag_v", 6), "lag_confidence": F.round("lag_confidence", 8)})
 
 
-@query(f"""WITH {_XY}, f AS (SELECT id AS fid, lat AS flat, lon AS flon FROM xy WHERE id % 50 = 0), j AS (SELECT id, fid, sqrt((lon - flon) ** 2 + (lat - flat) ** 2) AS d FROM xy, f), n AS (SELECT * FROM j WHERE d <= 0.1 QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, fid) = 1)
+@query(f"""WITH {_XY}, f AS (SELECT s_suppkey AS fid, 29 + (s_suppkey * 53 % 1000) / 1000.0 AS flat, -95 + (s_suppkey * 71 % 997) / 1000.0 AS flon FROM supplier), j AS (SELECT id, fid, sqrt((lon - flon) ** 2 + (lat - flat) ** 2) AS d FROM xy, f), n AS (SELECT * FROM j WHERE d <= 0.1 QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, fid) = 1)
 SELECT xy.id, n.fid, round(d, 10) AS distance, d IS NOT NULL AS within, round(coalesce(0.1 - d, 0), 10) AS proximity FROM xy LEFT JOIN n ON n.id = xy.id""")
 def nearest_feature(spark, d):
     xy = _xy(spark, d)
-    got = neighbors.nearest_feature(xy, xy.where("id % 50 = 0").withColumnRenamed("id", "fid"), "id", "fid", "lon", "lat", 0.1)
+    k = F.col("s_suppkey")
+    f = table(spark, d, "supplier").select(k.alias("fid"), (29 + (k * 53 % 1000) / 1000.0).alias("lat"), (-95 + (k * 71 % 997) / 1000.0).alias("lon"))
+    got = neighbors.nearest_feature(xy, f, "id", "fid", "lon", "lat", 0.1)
     return got.withColumns({"distance": F.round("distance", 10), "proximity": F.round("proximity", 10)})
 
 
@@ -123,7 +125,7 @@ def rectangle_area(spark, d):
 @query()
 def gwr_model(spark, d):
     xy = _xy(spark, d).withColumns({"f": F.col("id") % 13 + F.lit(0.0)})
-    return neighbors.local_regression(xy, xy.where("id % 3 > 0").withColumnRenamed("id", "tid"), "id", "tid", "lon", "lat", ["f"], "v", 20)
+    return neighbors.local_regression(xy, xy.withColumnRenamed("id", "tid"), "id", "tid", "lon", "lat", ["f"], "v", 20)
 
 
 @query()
@@ -157,13 +159,13 @@ def point_in_region(spark, d):
     return spatial.regions_of(u, "latitude", "longitude", table(spark, d, "block_groups"), "std_geoid", "geometry").select("record_id", "region")
 
 
-_KERNEL = "j AS (SELECT xy.id, t.id AS tid, t.v, sqrt((xy.lon - t.lon) ** 2 + (xy.lat - t.lat) ** 2) AS d FROM xy, xy t WHERE t.id % 3 > 0)"
+_KERNEL = "j AS (SELECT xy.id, t.id AS tid, t.v, sqrt((xy.lon - t.lon) ** 2 + (xy.lat - t.lat) ** 2) AS d FROM xy, xy t)"
 
 
 @query(f"WITH {_XY}, {_KERNEL}, n AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, tid) <= 20) SELECT id, round(sum(exp(-((d / 0.05) ** 2) / 2) * v) / sum(exp(-((d / 0.05) ** 2) / 2)), 6) AS prediction FROM n GROUP BY 1")
 def kernel_model(spark, d):
     xy = _xy(spark, d)
-    got = neighbors.kernel_regression(xy, xy.where("id % 3 > 0").withColumnRenamed("id", "tid"), "id", "tid", "lon", "lat", "v", 0.05, 20)
+    got = neighbors.kernel_regression(xy, xy.withColumnRenamed("id", "tid"), "id", "tid", "lon", "lat", "v", 0.05, 20)
     return got.withColumn("prediction", F.round("prediction", 6))
 
 
