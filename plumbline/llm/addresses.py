@@ -40,6 +40,8 @@ from plumbline.session import cut
 Z = 3.0
 #: Houses that a slip of the pen may have, and the share of the right name's houses on top of that.
 SLIPS, SLIP_RATE = 2, 0.02
+#: Names of more letters are taken as they are spelt.
+LONGEST = 100
 #: A rare spelling is outweighed by a name with so many times its houses.
 OUTWEIGH = 3
 #: Greatest share of the city's street names with the same type and direction for their agreement to count.
@@ -95,11 +97,10 @@ def _states(lines: DataFrame) -> list[str]:
 
 def _with_units(lines: DataFrame) -> DataFrame:
     """``lines`` with ``u``: the words of the line that introduce units; such a word stands before a number that isn't the first in most cases."""
-    number = F.transform("t", is_number)
-    first = F.array_position(number, F.lit(True))  # from 1, 0 if there is none
     # words before a number; it counts for a word if the number is not the first and something stands between
-    before = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("t") - 1)), lambda i: F.when(F.coalesce(F.get(number, i), F.lit(False)), F.struct(F.get(F.col("t"), i - 1).alias("w"), (i > first + 1).alias("late")))), lambda x: x.isNotNull() & x["w"].rlike(r"^[^\d,#]"))
-    lines = lines.withColumn("c", F.when(first > 0, F.array_distinct(before)).otherwise(F.array().cast("array<struct<w:string,late:boolean>>")))
+    pairs = F.zip_with("t", F.concat(F.slice("t", 2, F.size("t")), F.array(F.lit(""))), lambda w, x: F.struct(w.alias("w"), x.alias("x")))
+    before = F.filter(F.transform(pairs, lambda p, i: F.when(is_number(p["x"]), F.struct(p["w"].alias("w"), (i > F.col("first")).alias("late")))), lambda x: x.isNotNull() & x["w"].rlike(r"^[^\d,#]"))
+    lines = lines.withColumn("c", F.when(F.col("first") > 0, F.array_distinct(before)).otherwise(F.array().cast("array<struct<w:string,late:boolean>>"))).drop("first")
     lines = cut(lines.withColumn("id", F.monotonically_increasing_id()))
     cand = lines.select("id", F.explode("c").alias("x")).select("id", "x.w", "x.late")
     often = cut(cand.where("late").groupBy("w").agg(F.count(F.lit(1)).alias("k")))
@@ -165,7 +166,7 @@ def _with_city(read: DataFrame) -> DataFrame:
     # each distinct writing is looked up once: a city, or one edit from just one city
     writings = cut(cand.select("w").distinct())
     exact = writings.join(cities, writings["w"] == cities["c"]).select("w", F.lit(0).alias("d"), "city")
-    rest = writings.join(cities, writings["w"] == cities["c"], "left_anti").where("length(w) > 5")
+    rest = writings.join(cities, writings["w"] == cities["c"], "left_anti").where(f"length(w) between 6 and {LONGEST}")
     near_city = cut(cities.where("length(c) > 5").select("c", "city", F.explode(shorter(F.col("c"))).alias("part")))
     near = checked_join(rest.select("w", F.explode(shorter(F.col("w"))).alias("part")), near_city, "part").where(one_edit(F.col("w"), F.col("c")))
     near = near.groupBy("w").agg(F.min(F.struct("c", "city")).alias("a"), F.max("c").alias("z")).where("a.c = z").select("w", F.lit(1).alias("d"), "a.city")
@@ -249,7 +250,7 @@ def _rewritten(df: DataFrame, rewrites: DataFrame) -> DataFrame:
 def _spellings(streets: DataFrame, lines: DataFrame) -> DataFrame:
     """``city, name, better``: spellings to replace, found among names of one city that are one edit apart."""
     agree = F.collect_set(F.when(F.col("type").isNotNull(), F.struct("type", F.coalesce("dir", F.lit("")).alias("dir"))))
-    names = streets.where("length(name) > 3").groupBy("city", "name").agg(F.sum("n").alias("n"), agree.alias("ways"))
+    names = streets.where(f"length(name) between 4 and {LONGEST}").groupBy("city", "name").agg(F.sum("n").alias("n"), agree.alias("ways"))
     names = cut(names)
     parts = names.select("city", "name", "n", F.explode(shorter(F.col("name"))).alias("part"))
     other = parts.select("city", "part", F.col("name").alias("better"), F.col("n").alias("m"))
@@ -297,7 +298,9 @@ def normalised(records: DataFrame, key: str, address: str, city: str | None = No
     neither city nor ZIP code. Rows with a null key or a line without number don't come out.
     """
     lines = records.where(F.col(key).isNotNull() & F.col(address).isNotNull()).select(F.col(key).alias("key"), F.col(address).alias("line"), (F.col(city) if city else F.lit(None).cast("string")).alias("city")).distinct()
-    read = _read(cut(lines.select("key", tokens(F.col("line")).alias("t"), squeezed(F.col("city")).alias("own"))))
+    t = tokens(F.col("line"))
+    # the place of the first number is stored, as within a lambda it would be worked out for every word
+    read = _read(cut(lines.select("key", t.alias("t"), F.array_position(F.transform(t, is_number), F.lit(True)).cast("int").alias("first"), squeezed(F.col("city")).alias("own"))))
     parsed = cut(_with_city(cut(read)))
     lines = cut(_slots(parsed, cut(_word_classes(parsed))).distinct().withColumn("at", _street("city", "name", "type", "dir")))
     # the mining runs over distinct streets, not over lines; a slip that was delivered again is one slip, so houses are counted
@@ -356,7 +359,7 @@ def same_place_pairs(records: DataFrame, key: str, address: str, city: str | Non
     """Distinct (``key_a``, ``key_b``), smaller key first: different keys with lines that denote the same place.
 
     Lines without a house number, or with number 0, and placeholder words denote no place; null keys and lines are left
-    out, repeated lines count once, a key may have several places. An empty table gives no rows; further columns are not
+    out, repeated lines count once, a key may have several places. Names of more than LONGEST letters match only as they are spelt. An empty table gives no rows; further columns are not
     looked at. Every pair of a place's keys is a row, as the result asks for; a place is found from all lines.
     """
     at = cut(places(normalised(records, key, address, city)))
