@@ -176,7 +176,7 @@ def _consensus(records: DataFrame, group: str, row_id: str, fields: list[str], p
         order = F.struct("top", "w", "block0", "profile") if ordered else F.struct("w", "block0", "profile")
         again = again.withColumn("block0", F.hash("profile.tokens")).groupBy("g", "field", "block").agg(F.sort_array(F.collect_list(order), asc=False).alias("vs"), F.max("top").alias("top"))
         tops = cut(again.select("g", "field", "block", "top"))
-        merged = again.select("g", "field", "block", weights("vs").alias("ws"), F.transform("vs", lambda v: v["profile"]).alias("values")).mapInPandas(_merge, kinds)
+        merged = again.select("g", "field", "block", weights("vs").alias("ws"), F.transform("vs", lambda v: F.struct(v["profile"].alias("profile"))).alias("values")).mapInPandas(_merge, kinds)
         blocks = cut(blocks.join(most, ["g", "field"], "left_anti").unionByName(merged))
     top = lambda c: F.array_max(F.arrays_zip(c["weights"], c["tokens"]))["tokens"]
     elected = blocks.select("g", "field", F.array_join(F.filter(F.transform("profile", top), lambda t: t != ""), " ").alias("consensus"))
@@ -214,7 +214,7 @@ def _merge(batches: Iterator):
         for g, f, b, ws, values in pdf.itertuples(index=False):
             prof = None
             for i, v in enumerate(values):
-                new = [dict(zip(c["tokens"], c["weights"], strict=True)) for c in v]
+                new = [dict(zip(c["tokens"], c["weights"], strict=True)) for c in v["profile"]]
                 if ws is None:  # the first value of a block outweighs the rest of it by 2**-31, so later blocks must weigh less than that
                     new = [{t: w * 2.0 ** (-40 * i) for t, w in c.items()} for c in new]
                 prof = new if prof is None else align(prof, new, 0.0)
