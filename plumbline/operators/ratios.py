@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.operators import bins, groups
 from plumbline.operators.skew import null_safe_join
+from plumbline.session import cut, kept
 
 
 def with_ratio(df: DataFrame, prediction: str, truth: str, out: str = "ratio") -> DataFrame:
@@ -139,18 +143,85 @@ def choose_by_correlation(corr: DataFrame, target: str, threshold: float = 0.1)
         kept.remove(worst)
 
 
-def bootstrap(df: DataFrame, prediction: str, truth: str, replicates: int = 200, seed: int = 777, confidence: float = 0.95) -> DataFrame:
-    """Percentile intervals of mean and median ratio: every row gets a Poisson(1) weight per replicate, so replicates are
-    one aggregation; ``statistic, low, high``. Random, but the same for a seed and the same partitions."""
-    r = with_ratio(df, prediction, truth).select("ratio")
-    u = F.rand(seed)
-    reps = r.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("u", u)
-    # the inverse of the Poisson distribution, cut at 6
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    w = sum(((F.col("u") > s).cast("int") for s in steps), F.lit(0))
-    s = reps.withColumn("w", w).where("w > 0").groupBy("rep").agg((F.sum(F.col("ratio") * F.col("w")) / F.sum("w")).alias("mean"), F.percentile("ratio", 0.5, F.col("w")).alias("median"))
+#: Shares of the weights 0, 1, 2, ... and less of a Poisson(1) distribution, as far as doubles tell them from 1.
+_POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(18)]
+
+
+def poisson_weights(rng, rows: int, columns: int):
+    """Poisson(1) weights, exact to the resolution of doubles: 16 random bits are looked up, and the few cells in which the
+    distribution steps are told apart by further bits."""
+    import numpy as np
+
+    cells = np.arange(65536) / 65536
+    low, high = np.searchsorted(_POISSON, cells, "right"), np.searchsorted(_POISSON, cells + 1 / 65536, "left")
+    table, steps = low.astype(np.int8), low != high
+    u = rng.integers(0, 65536, (rows, columns), np.uint16)
+    w = table[u]
+    i, j = np.nonzero(steps[u])
+    w[i, j] = np.searchsorted(_POISSON, (u[i, j] + rng.random(len(i))) / 65536, "right")
+    return w
+
+
+def bootstrap(df: DataFrame, prediction: str, truth: str, replicates: int = 200, seed: int = 777, confidence: float = 0.95, few: int = 100_000) -> DataFrame:
+    """Percentile intervals of mean and median ratio: every row gets a Poisson(1) weight per replicate; ``statistic, low,
+    high``. Random, but the same for a seed and the same partitions.
+
+    A batch's weights are drawn and summed at once. All replicates' medians lie near the median, so only values between
+    two quantiles about it (of more than ``few`` rows) are kept with their weights and sorted; of the others, the weights
+    below are summed. If a replicate's median lies outside, the quantiles are widened, in the end to all values.
+    """
+    with kept(with_ratio(df, prediction, truth).select(F.col("ratio").cast("double").alias("ratio"))) as r:
+        sides = [2.0**-i for i in range(2, 13)]
+        q = r.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("ratio", [0.5 + s * e for e in sides for s in (-1, 1)], 20_000).alias("q")).first()
+        # six deviations of the rank of a replicate's median, and the sketch's error
+        fit = [i for i, e in enumerate(sides) if e >= 3 / max(1, q["n"]) ** 0.5 + 1e-4] if q["n"] > few else []
+        i = max(fit, default=-1)
+        while True:
+            reps, held = _replicates(r, (q["q"][2 * i], q["q"][2 * i + 1]) if i >= 0 else None, replicates, seed)
+            if held or i < 0:
+                break
+            i -= 2
     tail = (1 - confidence) / 2
-    return s.agg(*[F.percentile(c, [tail, 1 - tail]).alias(c) for c in ("mean", "median")]).select(F.explode(F.array(*[F.struct(F.lit(c).alias("statistic"), F.col(c)[0].alias("low"), F.col(c)[1].alias("high")) for c in ("mean", "median")])).alias("x")).select("x.*")
+    return reps.agg(*[F.percentile(c, [tail, 1 - tail]).alias(c) for c in ("mean", "median")]).select(F.explode(F.array(*[F.struct(F.lit(c).alias("statistic"), F.col(c)[0].alias("low"), F.col(c)[1].alias("high")) for c in ("mean", "median")])).alias("x")).select("x.*")
+
+
+def _replicates(r: DataFrame, between: tuple[float, float] | None, replicates: int, seed: int) -> tuple[DataFrame, bool]:
+    """``rep, mean, median``, one row per replicate with any weight, and whether all medians lie in ``between`` (None: all values)."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+        from pyspark import TaskContext
+
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        sums, step = np.zeros((3, replicates)), max(1, 1_000_000 // replicates)
+        for pdf in batches:
+            for at in range(0, len(pdf), step):
+                v = pdf["ratio"].to_numpy()[at : at + step]
+                w = poisson_weights(rng, len(v), replicates)
+                low, near = (np.zeros(len(v), bool), np.ones(len(v), bool)) if between is None else (v < between[0], (v >= between[0]) & (v <= between[1]))
+                sums += np.stack([np.ones(len(v)), low, v]) @ w.astype(np.float64)
+                values, place = np.unique(v[near], return_inverse=True)
+                if len(values):
+                    added = np.zeros((len(values), replicates), np.int32)
+                    np.add.at(added, place, w[near])
+                    yield pd.DataFrame({"kind": 3, "ratio": values, "w": list(added.astype(np.float64))})
+        yield pd.DataFrame({"kind": range(3), "ratio": None, "w": list(sums)}).astype({"ratio": float})
+
+    # drawn once: the sums and the values must have the same weights
+    drawn = cut(r.mapInPandas(run, "kind int, ratio double, w array<double>"))
+    long = drawn.select("kind", "ratio", F.posexplode("w").alias("rep", "w")).where("w > 0 or kind < 3")
+    part = lambda k: F.sum(F.when(F.col("kind") == k, F.col("w")))
+    sums = long.where("kind < 3").groupBy("rep").agg(part(0).alias("n"), part(1).alias("below"), part(2).alias("total")).where("n > 0")
+    counts = long.where("kind = 3").groupBy("rep", "ratio").agg(F.sum("w").alias("w"))
+    upto = F.sum("w").over(Window.partitionBy("rep").orderBy("ratio").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    low, high = F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)
+    j = sums.join(counts.withColumn("upto", upto), "rep", "left").withColumn("reached", F.col("below") + F.col("upto"))
+    one = j.groupBy("rep").agg(
+        F.first(F.col("total") / F.col("n")).alias("mean"), F.min(F.when(F.col("reached") > low, F.col("ratio"))).alias("x"), F.min(F.when(F.col("reached") > high, F.col("ratio"))).alias("y"), F.first(F.col("below") <= low).alias("ok")
+    )
+    one = cut(one.select("rep", "mean", F.when(F.col("x") == F.col("y"), F.col("x")).otherwise(0.5 * F.col("x") + 0.5 * F.col("y")).alias("median"), (F.col("ok") & F.col("y").isNotNull()).alias("ok")))
+    return one.drop("ok"), one.where("not ok").isEmpty()
 
 
 def utility(metrics: Column | None = None, *, ratio: Column, cod: Column, chd: Column) -> Column:

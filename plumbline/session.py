@@ -6,8 +6,11 @@ import atexit
 import shutil
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -50,6 +53,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` with its rows on the executors' disks while the block runs, for several passes over them.
+
+    The lineage stays, so a lost executor costs time only. What is used after the block should be cut in it.
+    """
+    df = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 def ship_code(spark: SparkSession) -> None:
     """Makes this package importable in the Python workers, wherever they run; once per context."""
     sc = spark.sparkContext
