@@ -20,34 +20,54 @@ def prices(irr: Column, exit_cap: Column, entry_noi: Column, growth: Column, yea
     return entry, exit_price
 
 
-def _root(f, low: float, high: float, steps: int = 60) -> Column:
-    """Bisection of an increasing or decreasing function of one number, folded in one array expression."""
-    start = F.struct(F.lit(low).alias("a"), F.lit(high).alias("b"))
-
-    def halve(acc, _):
-        m = (acc["a"] + acc["b"]) / 2
-        same = F.signum(f(m)) == F.signum(f(acc["a"]))
-        return F.struct(F.when(same, m).otherwise(acc["a"]).alias("a"), F.when(same, acc["b"]).otherwise(m).alias("b"))
-
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)
-    return F.when(F.signum(f(F.lit(low))) != F.signum(f(F.lit(high))), (end["a"] + end["b"]) / 2)
+def _root(f, columns: list[Column], low: float, high: float, steps: int = 60) -> Column:
+    """Bisection of an increasing or decreasing function of one number, whole batches at once: ``f(x, *columns)`` works on
+    arrays. Null if the signs at both ends are the same or not known (a null or NaN among the columns)."""
+
+    @F.pandas_udf("double")
+    def run(*values):
+        import numpy as np
+        import pandas as pd
+
+        v = [x.to_numpy(np.float64) for x in values]
+        with np.errstate(all="ignore"):
+            a, b = np.full(len(v[0]), low), np.full(len(v[0]), high)
+            start, end = np.sign(f(a, *v)), np.sign(f(b, *v))
+            known = (start != end) & ~np.isnan(start) & ~np.isnan(end)
+            for _ in range(steps):
+                m = (a + b) / 2
+                same = np.sign(f(m, *v)) == start  # the sign at ``a`` never changes
+                a, b = np.where(same, m, a), np.where(same, b, m)
+            return pd.Series(np.where(known, (a + b) / 2, np.nan))
+
+    found = run(*[c.cast("double") for c in columns])
+    return F.when(~F.isnan(found), found)
+
+
+def _worth(income, growth, rate, years: int, sale):
+    """The worth at ``rate`` of ``years`` incomes that grow, and of a sale after them at ``sale`` times the next income; on numbers or arrays."""
+    step, total, power = (1 + growth) / (1 + rate), 0.0, 1.0
+    for _ in range(years):
+        total, power = total + power, power * step
+    return income * (total / (1 + rate) + sale * power)
 
 
 def irr(entry: Column, exit_: Column, entry_cap: Column, growth: Column, years: int) -> Column:
     """The rate at which income and exit are worth the entry price; null if there is none between -90 % and 1000 %."""
 
-    def gap(r: Column) -> Column:
-        total = exit_ / F.pow(1 + r, F.lit(years)) - entry
-        for t in range(years):
-            total = total + entry * entry_cap * F.pow(1 + growth, F.lit(t)) / F.pow(1 + r, F.lit(t + 1))
-        return total
+    def gap(r, entry, exit_, cap, growth):
+        return _worth(entry * cap, growth, r, years, 0.0) + exit_ / (1 + r) ** years - entry
 
-    return _root(gap, -0.9, 10.0)
+    return _root(gap, [entry, exit_, entry_cap, growth], -0.9, 10.0)
 
 
 def implied_growth(target: Column, exit_cap: Column, entry: Column, entry_cap: Column, years: int) -> Column:
     """The income growth at which the entry price gives the target return; null if there is none between -90 % and 200 %."""
-    return _root(lambda g: prices(target, exit_cap, entry * entry_cap, g, years)[0] - entry, -0.9, 2.0)
+
+    def gap(g, target, exit_cap, entry, cap):
+        return _worth(entry * cap, g, target, years, 1 / exit_cap) - entry
+
+    return _root(gap, [target, F.nullif(exit_cap.cast("double"), F.lit(0.0)), entry, entry_cap], -0.9, 2.0)
 
 
 def cap_rate_growth(price_growth: Column, noi_growth: Column) -> Column:
