@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,15 +73,44 @@ def spatial_lag(points: DataFrame, sample: DataFrame, point_id: str, sample_id:
 
 
 def nearest_feature(points: DataFrame, features: DataFrame, point_id: str, feature_id: str, x: str, y: str, limit: float) -> DataFrame:
-    """Every point with ``distance`` to the nearest feature within ``limit`` (else null), ``within`` and ``proximity`` = limit - distance (else 0)."""
-    p = _cells(points.select(point_id, F.col(x).alias("__px"), F.col(y).alias("__py")), "__px", "__py", limit)
+    """Every point with ``distance`` to the nearest feature within ``limit`` (else null; ties by ``feature_id``), ``within`` and
+    ``proximity`` = limit - distance (else 0).
+
+    Places are compared, not rows: equal coordinates are one place, and of its features the least id counts. A place looks
+    at its cell and the eight around it; if the nearest feature found is no further than a cell is wide, none outside can
+    be nearer or as near. The rest look again in cells twice as wide, the last ones ``limit`` wide. The first cells
+    are so small that a feature shares its own with few others, where the features crowd.
+    """
+    xy = lambda df, p: df.withColumns({f"__{p}x": F.col(x).cast("double") + F.lit(0.0), f"__{p}y": F.col(y).cast("double") + F.lit(0.0)})
+    known = lambda df, p: df.where(" and ".join(f"__{p}{c} is not null and not isnan(__{p}{c})" for c in "xy"))
+    p = xy(points, "p")
+    f = cut(known(xy(features, "f"), "f").where(F.col(feature_id).isNotNull()).groupBy("__fx", "__fy").agg(F.min(feature_id).alias("__fid")))
+    todo = cut(known(p, "p").select("__px", "__py").distinct())
+    # a little wider than the limit, as divisions round
+    size = limit * (1 + 1e-9)
+    rounds = 0
+    while rounds < 40:
+        n = _cells(f, "__fx", "__fy", size / 2**rounds).groupBy("__cx", "__cy").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        crowd = n.agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("c")).first()["c"] or 1.0
+        if crowd <= 4:
+            break
+        rounds += math.ceil(math.log2(crowd) / 2)
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    f = _cells(features.select(feature_id, F.col(x).alias("__fx"), F.col(y).alias("__fy")), "__fx", "__fy", limit).withColumn("__d", around)
-    f = f.select(feature_id, "__fx", "__fy", (F.col("__cx") + F.col("__d.i")).alias("__cx"), (F.col("__cy") + F.col("__d.j")).alias("__cy"))
     dist = F.sqrt(F.pow(F.col("__px") - F.col("__fx"), 2) + F.pow(F.col("__py") - F.col("__fy"), 2))
-    near = p.join(f, ["__cx", "__cy"]).select(point_id, feature_id, dist.alias("distance")).where(F.col("distance") <= limit)
-    best = near.groupBy(point_id).agg(F.min(F.struct("distance", feature_id)).alias("b")).select(point_id, "b.distance", f"b.{feature_id}")
-    got = points.select(point_id).join(best, point_id, "left")
+    done = None
+    for k in range(rounds, -1, -1):
+        wide = size / 2**k
+        c = _cells(f, "__fx", "__fy", wide).withColumn("__d", around)
+        c = c.select("__fid", "__fx", "__fy", (F.col("__cx") + F.col("__d.i")).alias("__cx"), (F.col("__cy") + F.col("__d.j")).alias("__cy"))
+        near = _cells(todo, "__px", "__py", wide).join(c, ["__cx", "__cy"]).select("__px", "__py", "__fid", dist.alias("distance"))
+        best = near.groupBy("__px", "__py").agg(F.min(F.struct("distance", "__fid")).alias("b")).select("__px", "__py", "b.*")
+        sure = cut(best.where(F.col("distance") <= (wide * (1 - 1e-6) if k else limit)))
+        done = sure if done is None else done.unionByName(sure)
+        if k:
+            todo = cut(todo.join(sure, ["__px", "__py"], "left_anti"))
+            if todo.isEmpty():
+                break
+    got = p.select(point_id, "__px", "__py").join(done, ["__px", "__py"], "left").select(point_id, "distance", F.col("__fid").alias(feature_id))
     return got.withColumns({"within": F.col("distance").isNotNull(), "proximity": F.coalesce(F.lit(limit) - F.col("distance"), F.lit(0.0))})
 
 
