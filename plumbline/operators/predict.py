@@ -7,7 +7,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.skew import null_safe_join
+from plumbline.operators import quantiles
+from plumbline.operators.skew import checked_join, null_safe_join
+from plumbline.session import cut, kept
 
 
 def constant(train: DataFrame, rows: DataFrame, y: str, how: str = "median", out: str = "prediction") -> DataFrame:
@@ -16,19 +18,14 @@ def constant(train: DataFrame, rows: DataFrame, y: str, how: str = "median", out
     return rows.crossJoin(F.broadcast(one))  # one row
 
 
-def area_rates(train: DataFrame, y: str, area: str, by: list[str]) -> DataFrame:
-    """The median rate per unit of area in each group."""
-    ok = F.col(area) > 0
-    return train.where(ok).groupBy(*by).agg(F.median(F.col(y) / F.col(area)).alias("rate"))
-
-
 def local_area(train: DataFrame, rows: DataFrame, y: str, area: str, locations: list[str], out: str = "prediction") -> DataFrame:
     """Area times the median rate of the first listed location that has a non-zero one, else of all rows."""
     got = rows
-    for i, loc in enumerate(locations):
-        r = area_rates(train.where(F.col(loc).isNotNull()), y, area, [loc]).withColumnRenamed("rate", f"__r{i}")
-        got = got.join(r, loc, "left")
-    got = got.crossJoin(F.broadcast(area_rates(train, y, area, []).withColumnRenamed("rate", "__all")))
+    rates = train.where(F.col(area) > 0).select(*locations, (F.col(y) / F.col(area)).alias("__rate"))
+    with kept(rates) as rates:
+        for i, loc in enumerate(locations):
+            got = checked_join(got, cut(quantiles.median(rates.where(F.col(loc).isNotNull()), [loc], "__rate", f"__r{i}")), loc, "left")
+        got = got.crossJoin(F.broadcast(cut(quantiles.median(rates, [], "__rate", "__all"))))
     rate = F.coalesce(*[F.nullif(F.col(f"__r{i}"), F.lit(0.0)) for i in range(len(locations))], F.col("__all"))
     return got.withColumn(out, F.col(area) * rate).drop(*[f"__r{i}" for i in range(len(locations))], "__all")
 

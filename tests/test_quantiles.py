@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import ratios
+from plumbline.operators import predict, quantiles, ratios
 
 
 def test_poisson_weights_are_whole():
@@ -26,3 +26,28 @@ def test_bootstrap_holds_values_near_the_median_only(spark):
     assert all(x[1] < 1 < x[2] and x[2] - x[1] < 0.04 for x in a)
     none = ratios.bootstrap(df.where("t > 1"), "p", "t", 5).collect()
     assert [tuple(x)[1:] for x in none] == [(None, None)] * 2
+
+
+def test_exact_quantiles(spark):
+    """Brackets change the work only: the values are those of the interpolation over all rows, for groups of all kinds."""
+    rnd = np.random.default_rng(3)
+    groups = {"a": rnd.normal(size=5000), "b": np.repeat([1.0, 2.0], [700, 801]), "c": 1 + 1e-12 * rnd.random(3000), None: -np.exp(rnd.normal(size=999) * 20), "d": np.array([5.0]), "e": np.array([1.0, np.inf, np.inf])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), ("f", None)], "g string, v double")
+    probs = [0.5, 0.0, 0.25, 0.999, 1.0, 0.025]
+    for few, width in ((100_000, 0.001), (100, 0.01), (0, 1e-6)):
+        got = {r["g"]: (r["n"], r["q"]) for r in quantiles.exact(df, ["g"], "v", probs, width=width, few=few).collect()}
+        want = {r["g"]: (r["n"], r["q"]) for r in df.where("v is not null").groupBy("g").agg(F.count("v").alias("n"), F.percentile("v", probs).alias("q")).collect()}
+        assert got == want
+    assert quantiles.exact(df, [], "v", [0.5], few=10).first()["q"] == df.agg(F.percentile("v", [0.5])).first()[0]
+    assert tuple(quantiles.exact(df.where("v is null"), [], "v", [0.5, 1.0]).first()) == (0, [None, None])
+    nan = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),)], "v double")
+    assert quantiles.median(nan, [], "v", "m").first()["m"] == 2.0
+
+
+def test_no_map_of_all_values(spark):
+    """Medians of rates are not gathered in one task's map of distinct values."""
+    df = spark.range(2000).select(F.col("id").cast("double").alias("y"), F.lit(2.0).alias("a"), (F.col("id") % 3).alias("h"))
+    plan = predict.local_area(df, df, "y", "a", ["h"])._jdf.queryExecution().toString().lower()
+    assert "median" not in plan and "percentile(" not in plan
+    got = predict.local_area(df, df, "y", "a", [])
+    assert got.agg(F.max("prediction")).first()[0] == 2 * (1999 / 2 / 2)
