@@ -15,8 +15,8 @@ from plumbline.operators.skew import SMALL_ROWS, null_safe_join
 from plumbline.session import cut
 
 #: The sketch's error is a share of 1 / ACCURACY of a group; the brackets are WIDTH to either side. Groups of FEW rows or less have none.
-ACCURACY = 10_000
-WIDTH = 0.001
+ACCURACY = 2_000
+WIDTH = 0.004
 FEW = 100_000
 
 

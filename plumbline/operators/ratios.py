@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.operators import bins, groups
-from plumbline.operators.skew import null_safe_join
+from plumbline.operators import bins, groups, quantiles
+from plumbline.operators.skew import SMALL_ROWS, null_safe_join
 from plumbline.session import cut, kept
 
 
@@ -18,15 +18,20 @@ def with_ratio(df: DataFrame, prediction: str, truth: str, out: str = "ratio") -
     return df.where(F.col(prediction).isNotNull() & ~F.isnan(F.col(prediction).cast("double")) & (F.col(truth) > 0) & ~F.isnan(F.col(truth).cast("double"))).withColumn(out, F.col(prediction) / F.col(truth))
 
 
-def ratio_study(df: DataFrame, by: list[str], prediction: str, truth: str) -> DataFrame:
+def ratio_study(df: DataFrame, by: list[str], prediction: str, truth: str, exact: bool = False) -> DataFrame:
     """``by, n, median_ratio, mean_ratio, cod, prd, prb_intercept, prb_slope`` per group.
 
     PRD is the mean ratio over the ratio of sums; PRB regresses the relative deviation from the median ratio on log2
     of half the market proxy (prediction over median, plus truth). The median is an aggregate joined back, so the
-    second pass is partially aggregated as well.
+    second pass is partially aggregated as well. With ``exact`` the medians are worked out at once, without a group's values
+    in one task; ``df`` is read several times then and should be at hand (``session.kept``).
     """
     r = with_ratio(df, prediction, truth)
-    med = r.groupBy(*by).agg(F.median("ratio").alias("__m"))
+    if exact:
+        med = cut(quantiles.median(r, by, "ratio", "__m"))
+        med = F.broadcast(med) if med.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else med
+    else:
+        med = r.groupBy(*by).agg(F.median("ratio").alias("__m"))
     j = null_safe_join(r, med, by) if by else r.crossJoin(F.broadcast(med))
     y = F.try_divide(F.col("ratio") - F.col("__m"), F.col("__m"))
     proxy = (F.try_divide(F.col(prediction), F.col("__m")) + F.col(truth)) / 2
@@ -43,14 +48,15 @@ def ratio_study(df: DataFrame, by: list[str], prediction: str, truth: str) -> Da
 
 def trim(df: DataFrame, field: str, by: list[str] | None = None, factor: float = 1.5, most: float = 0.05) -> DataFrame:
     """Rows within ``factor`` interquartile ranges of the quartiles; where more than ``most`` of a group would go, the
-    symmetric quantiles that take off ``most`` in all are the bounds instead."""
+    symmetric quantiles that take off ``most`` in all are the bounds instead. ``df`` is read several times, so it should be
+    at hand (``session.kept``)."""
     by = by or []
-    q = df.where(F.col(field).isNotNull()).groupBy(*by).agg(F.percentile(field, [0.25, 0.75, most / 2, 1 - most / 2]).alias("q"))
+    q = cut(quantiles.exact(df, by, field, [0.25, 0.75, most / 2, 1 - most / 2]).drop("n"))
     spread = F.col("q")[1] - F.col("q")[0]
     b = q.select(*by, (F.col("q")[0] - factor * spread).alias("__lo"), (F.col("q")[1] + factor * spread).alias("__hi"), F.col("q")[2].alias("__qlo"), F.col("q")[3].alias("__qhi"))
     j = null_safe_join(df, b, by) if by else df.crossJoin(F.broadcast(b))
     out = F.avg(((F.col(field) < F.col("__lo")) | (F.col(field) > F.col("__hi"))).cast("double"))
-    share = j.groupBy(*by).agg(out.alias("__out"))
+    share = cut(j.groupBy(*by).agg(out.alias("__out")))
     j = null_safe_join(j, share, by) if by else j.crossJoin(F.broadcast(share))
     lo, hi = F.when(F.col("__out") > most, F.col("__qlo")).otherwise(F.col("__lo")), F.when(F.col("__out") > most, F.col("__qhi")).otherwise(F.col("__hi"))
     return j.where((F.col(field) >= lo) & (F.col(field) <= hi)).drop("__lo", "__hi", "__qlo", "__qhi", "__out")

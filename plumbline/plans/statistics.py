@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import bins, ratios
 from plumbline.plans.registry import Family
 from plumbline.plans.tables import table
+from plumbline.session import cut, kept
 
 family = Family()
 query = family.query
@@ -47,8 +48,9 @@ t AS (SELECT q0.* EXCLUDE (ratio) FROM q0, b, o WHERE ratio >= CASE WHEN o > 0.0
 
 @query(f"WITH {_J}, {_TRIM}, {_study('p_brand', 't')} SELECT g AS p_brand, n, {_ROUNDED} FROM s")
 def ratio_trimmed(spark, d):
-    r = ratios.trim(ratios.with_ratio(_joined(spark, d), "pred", "truth"), "ratio").drop("ratio")
-    return _rounded(ratios.ratio_study(r, ["p_brand"], "pred", "truth"))
+    with kept(_joined(spark, d).select("p_brand", "pred", "truth")) as j:
+        r = ratios.trim(ratios.with_ratio(j, "pred", "truth"), "ratio").drop("ratio")
+        return cut(_rounded(ratios.ratio_study(r, ["p_brand"], "pred", "truth", exact=True)))
 
 
 @query(f"""WITH {_J}, n AS (SELECT p_size, count(*) AS n FROM j GROUP BY 1), k AS (SELECT j.* EXCLUDE (p_size), CASE WHEN n >= 1200 THEN j.p_size::VARCHAR ELSE 'other' END AS p_size FROM j JOIN n ON n.p_size = j.p_size), {_study('p_size', 'k')}

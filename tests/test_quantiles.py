@@ -51,3 +51,13 @@ def test_no_map_of_all_values(spark):
     assert "median" not in plan and "percentile(" not in plan
     got = predict.local_area(df, df, "y", "a", [])
     assert got.agg(F.max("prediction")).first()[0] == 2 * (1999 / 2 / 2)
+
+
+def test_trimmed_study_without_maps(spark):
+    """Bounds and medians are found at once: the plans of what comes out hold no aggregate of all values."""
+    df = spark.range(3000).select((F.col("id") % 2).alias("g"), F.lit(1.0).alias("t"), F.when(F.col("id") < 30, 50.0).otherwise(1 + F.pmod(F.xxhash64("id"), F.lit(997)) / 997.0).alias("p"))
+    kept = ratios.trim(ratios.with_ratio(df, "p", "t"), "ratio")
+    plan = kept._jdf.queryExecution().toString().lower()
+    assert "percentile(" not in plan and kept.count() == 2970 and kept.agg(F.max("ratio")).first()[0] < 2
+    a, b = (sorted(map(tuple, ratios.ratio_study(kept.drop("ratio"), ["g"], "p", "t", exact=e).collect())) for e in (False, True))
+    assert np.allclose(a, b, rtol=1e-12)
