@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import quantiles
 from plumbline.operators.skew import checked_join, null_safe_join
-from plumbline.session import cut, kept
 
 
 def constant(train: DataFrame, rows: DataFrame, y: str, how: str = "median", out: str = "prediction") -> DataFrame:
@@ -21,11 +20,12 @@ def constant(train: DataFrame, rows: DataFrame, y: str, how: str = "median", out
 def local_area(train: DataFrame, rows: DataFrame, y: str, area: str, locations: list[str], out: str = "prediction") -> DataFrame:
     """Area times the median rate of the first listed location that has a non-zero one, else of all rows."""
     got = rows
-    rates = train.where(F.col(area) > 0).select(*locations, (F.col(y) / F.col(area)).alias("__rate"))
-    with kept(rates) as rates:
-        for i, loc in enumerate(locations):
-            got = checked_join(got, cut(quantiles.median(rates.where(F.col(loc).isNotNull()), [loc], "__rate", f"__r{i}")), loc, "left")
-        got = got.crossJoin(F.broadcast(cut(quantiles.median(rates, [], "__rate", "__all"))))
+    # the filters of later passes are pushed below joins of the training rows, as try_divide never raises
+    rates = train.where(F.col(area) > 0).select(*locations, F.try_divide(y, area).alias("__rate"))
+    *local, all_rows = quantiles.medians(rates, [*[[loc] for loc in locations], []], "__rate", [*[f"__r{i}" for i in range(len(locations))], "__all"])
+    for loc, r in zip(locations, local, strict=True):
+        got = checked_join(got, r, loc, "left")
+    got = got.crossJoin(F.broadcast(all_rows))
     rate = F.coalesce(*[F.nullif(F.col(f"__r{i}"), F.lit(0.0)) for i in range(len(locations))], F.col("__all"))
     return got.withColumn(out, F.col(area) * rate).drop(*[f"__r{i}" for i in range(len(locations))], "__all")
 

@@ -7,6 +7,9 @@ sketch decides about the work only, never about the result, and no task holds a
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +22,13 @@ ACCURACY = 2_000
 WIDTH = 0.004
 FEW = 100_000
 
+#: ``medians``: buckets per doubling of a value, and into which a bracket is cut again; values of a bracket that are sorted;
+#: brackets up to which a filter has one range each, before they are merged.
+OCTAVE = 32
+PARTS = 4_096
+HELD = 500_000
+RANGES = 64
+
 
 def exact(df: DataFrame, by: list[str], value: str, probs: list[float], out: str = "q", width: float = WIDTH, few: int = FEW) -> DataFrame:
     """``by, n, <out>``: each group's quantiles as an array in the order of ``probs``; nulls left out, NaN is the largest.
@@ -69,3 +79,84 @@ def _arranged(got: DataFrame, marks: DataFrame, by: list[str], k: int, out: str)
 def median(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """``by, <out>``: each group's median."""
     return exact(df, by, value, [0.5]).select(*by, F.col("q")[0].alias(out))
+
+
+def medians(df: DataFrame, groupings: list[list[str]], value: str, outs: list[str], octave: int = OCTAVE, parts: int = PARTS, held: int = HELD) -> list[DataFrame]:
+    """For each grouping its columns and each group's median under the name in ``outs``; exact, and found for all in common passes.
+
+    Null values and groups with a null key are left out; a grouping without columns has one row, of null if there are
+    no values. The first pass counts values by cell (all columns together) and logarithmic bucket, with each bucket's least and
+    greatest value, so the counts tell which bucket holds a group's middle ranks. Where the bucket has several values, the
+    next pass cuts it into ``parts``, or sorts it if it has at most ``held`` values, until none is left. Later passes start with
+    a filter of the ranges of values that are open (one range for all of many groups), which is pushed down, so ``df`` need not be
+    kept.
+    """
+    cols = list(dict.fromkeys(c for by in groupings for c in by))
+    v = df.select(*cols, F.col(value).cast("double").alias("__v")).where("__v is not null")
+    own = lambda c: F.col("__g").isin([i for i, by in enumerate(groupings) if c in by])
+    there = [F.when(F.lit(True) if not by else F.expr(" and ".join(f"`{c}` is not null" for c in by)), F.lit(i)) for i, by in enumerate(groupings)]
+    by_group = lambda rows, *more: rows.groupBy("__g", *[F.when(own(c), F.col(f"`{c}`")).alias(c) for c in cols], *more)
+    values = [F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__a"), F.max("__v").alias("__z")]
+    keys = ["__g", *cols]
+
+    cells = v.groupBy(*cols, _log_bucket(F.col("__v"), octave).alias("__k")).agg(*values)
+    cells = cells.withColumn("__g", F.explode(F.array_compact(F.array(*there))))
+    h = by_group(cells, "__k").agg(F.sum("__c").alias("__c"), F.min("__a").alias("__a"), F.max("__z").alias("__z"))
+    h = h.withColumns({"__n": F.sum("__c").over(Window.partitionBy(*keys)), "__below": F.lit(0)})
+    found = []
+    while True:
+        state = cut(_middle(h, keys))
+        found.append(state.where("not __open"))
+        todo = state.where("__open")
+        left = todo.agg(F.count(F.lit(1)).alias("k"), F.min("__a").alias("a"), F.max("__z").alias("z")).first()
+        if not left["k"]:
+            break
+        spans = [(left["a"], left["z"])] if left["k"] > RANGES else _merged(todo.select("__a", "__z").collect())
+        rows = v.where(reduce(or_, [F.col("__v").between(a, z) for a, z in spans]))
+        bucket = []
+        for i, by in enumerate(groupings):
+            of = todo.where(F.col("__g") == i).select(*[F.col(f"`{c}`").alias(f"__key_{c}") for c in by], *[F.col(c).alias(f"{c}{i}") for c in ("__a", "__z", "__in")])
+            same = [F.col(f"`{c}`") == F.col(f"`__key_{c}`") for c in by] or F.lit(True)
+            rows = rows.join(F.broadcast(of) if left["k"] <= SMALL_ROWS else of, same, "left").drop(*[f"__key_{c}" for c in by])
+            a, z = F.col(f"__a{i}"), F.col(f"__z{i}")
+            part = F.when(F.col(f"__in{i}") <= held, F.col("__v")).otherwise(F.floor((F.col("__v") - a) / (z - a) * parts).cast("double"))
+            bucket.append(F.when(F.col("__v").between(a, z), F.struct(F.lit(i).alias("__g"), part.alias("__k"))))
+        inside = rows.where(F.coalesce(*bucket).isNotNull()).select(*cols, "__v", F.explode(F.array_compact(F.array(*bucket))).alias("__b")).select(*cols, "__v", "__b.*")
+        h = null_safe_join(by_group(inside, "__k").agg(*values), todo.select(*keys, "__n", "__below"), keys)
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    every = cut(every.withColumn("__q", F.when(F.col("__x") == F.col("__y"), F.col("__x")).otherwise(0.5 * F.col("__x") + 0.5 * F.col("__y"))))
+    rows = [every.where(F.col("__g") == i) for i in range(len(groupings))]
+    return [r.select(*by, F.col("__q").alias(out)) if by else r.agg(F.max("__q").alias(out)) for r, by, out in zip(rows, groupings, outs, strict=True)]
+
+
+def _merged(spans: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """The same ranges, those that overlap as one."""
+    out = []
+    for a, z in sorted(map(tuple, spans)):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
+
+
+def _log_bucket(v: Column, octave: int) -> Column:
+    """A whole number that never falls as ``v`` rises: zero, the infinities and NaN have their own."""
+    size = F.floor((F.least(F.log2(F.abs(v)), F.lit(1025.0)) + 1100) * octave)
+    return F.when(v == 0, F.lit(0.0)).when(F.isnan(v), F.lit(1e9)).otherwise(F.signum(v) * size)
+
+
+def _middle(h: DataFrame, keys: list[str]) -> DataFrame:
+    """From counted buckets, their order being ``__k``: the two middle values ``__x`` and ``__y`` of each group, or, if ``__open``,
+    the range ``__a`` to ``__z`` of the one bucket that holds both, its size and the number of values before it."""
+    low, high = F.expr("(__n - 1) div 2"), F.expr("__n div 2")
+    upto = F.col("__below") + F.sum("__c").over(Window.partitionBy(*keys).orderBy("__k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    at, to = F.col("__upto") > low, F.col("__upto") > high
+    s = h.withColumn("__upto", upto).groupBy(*keys).agg(
+        F.max("__n").alias("__n"), F.greatest(F.max("__below"), F.max(F.when(~at, F.col("__upto")))).alias("__below"), F.min(F.when(at, F.col("__upto"))).alias("__end"),
+        F.min(F.when(at, F.col("__a"))).alias("__a"), F.min(F.when(at, F.col("__z"))).alias("__z"), F.min(F.when(to, F.col("__a"))).alias("__y"),
+    )
+    s = s.withColumn("__open", (F.col("__end") > high) & (F.col("__a") != F.col("__z")))
+    return s.select(*keys, "__n", "__below", (F.col("__end") - F.col("__below")).alias("__in"), "__a", "__z", F.col("__z").alias("__x"), "__y", "__open")

@@ -53,6 +53,27 @@ def test_no_map_of_all_values(spark):
     assert got.agg(F.max("prediction")).first()[0] == 2 * (1999 / 2 / 2)
 
 
+def test_medians_in_common_passes(spark):
+    """Medians of several groupings are those of all values, whatever the buckets, and are found together."""
+    rnd = np.random.default_rng(4)
+    groups = {"a": rnd.normal(size=2000), "b": np.repeat([1.0, 2.0], [700, 700]), "c": 1 + 1e-12 * rnd.random(999), None: -np.exp(rnd.normal(size=999) * 20), "d": [5.0], "e": [1.0, np.inf, np.inf], "h": [2.0, np.nan, 3.0], "i": [np.nan], "j": [5e-324, 2e-323, 1e308, 1.7e308]}
+    df = spark.createDataFrame([(g, i % 3 if i % 7 else None, float(v)) for g, vs in groups.items() for i, v in enumerate(vs)] + [("a", 1, None), ("f", 9, None)], "g string, t int, v double").repartition(2)
+    groupings = [["g"], ["t"], ["g", "t"], []]
+    for octave, parts, held in ((32, 4096, 500_000), (4, 64, 10)):
+        for by, got in zip(groupings, quantiles.medians(df, groupings, "v", list("wxyz"), octave, parts, held), strict=True):
+            want = df.where(" and ".join(f"{c} is not null" for c in [*by, "v"])).groupBy(*by).agg(F.percentile("v", 0.5))
+            assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+    assert [x.collect() for x in quantiles.medians(df.where("v is null"), [["g"], []], "v", ["x", "y"])] == [[], [(None,)]]
+
+
+def test_local_area_in_few_jobs(spark):
+    df = spark.range(2000).select(F.col("id").cast("double").alias("y"), F.lit(2.0).alias("a"), (F.col("id") % 3).alias("h"), (F.col("id") % 5).alias("k"))
+    spark.sparkContext.setJobGroup("local_area", "")
+    predict.local_area(df, df, "y", "a", ["h", "k"])
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("local_area")) < 30
+
+
 def test_trimmed_study_without_maps(spark):
     """Bounds and medians are found at once: the plans of what comes out hold no aggregate of all values."""
     df = spark.range(3000).select((F.col("id") % 2).alias("g"), F.lit(1.0).alias("t"), F.when(F.col("id") < 30, 50.0).otherwise(1 + F.pmod(F.xxhash64("id"), F.lit(997)) / 997.0).alias("p"))
