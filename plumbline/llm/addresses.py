@@ -33,8 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.operators.skew import checked_join, salted_join
-from plumbline.session import cut
+from plumbline.operators.skew import checked_join, salted_join, small
+from plumbline.session import cut, cut_counted
 
 #: Standard deviations above chance for a word's place and for an abbreviation.
 Z = 3.0
@@ -48,6 +48,8 @@ OUTWEIGH = 3
 AGREE = 0.1
 #: Greatest probability of as many shared house numbers by chance.
 CHANCE = 0.002
+#: Cities up to which their streets' types and directions are sent to all tasks.
+CITIES = 1000
 
 _TOKEN = r"(?U)#|,|\d{5}(?:-\d{4})?(?!\w)|\d+(?:st|nd|rd|th)(?!\w)|\d+-?[a-z](?!\w)|\d+|[^\W\d_]+"
 _NO_TEXT = "array<string>"
@@ -103,10 +105,10 @@ def _with_units(lines: DataFrame) -> DataFrame:
     lines = lines.withColumn("c", F.when(F.col("first") > 0, F.array_distinct(before)).otherwise(F.array().cast("array<struct<w:string,late:boolean>>"))).drop("first")
     lines = cut(lines.withColumn("id", F.monotonically_increasing_id()))
     cand = lines.select("id", F.explode("c").alias("x")).select("id", "x.w", "x.late")
-    often = cut(cand.where("late").groupBy("w").agg(F.count(F.lit(1)).alias("k")))
-    every = checked_join(lines.select(F.explode(F.array_distinct("t")).alias("w")), often.select("w"), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    units = cut(often.join(every, "w").where(_above_chance("k", F.col("n") / 2, F.col("n") / 4)).select("w"))
-    got = checked_join(cand, units, "w", "left_semi").groupBy("id").agg(F.collect_set("w").alias("u"))
+    often, n_often = cut_counted(cand.where("late").groupBy("w").agg(F.count(F.lit(1)).alias("k")))
+    every = checked_join(lines.select(F.explode(F.array_distinct("t")).alias("w")), often.select("w"), "w", "left_semi", counted=n_often).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    units, n_units = cut_counted(every.join(small(often, n_often), "w").where(_above_chance("k", F.col("n") / 2, F.col("n") / 4)).select("w"))
+    got = checked_join(cand, units, "w", "left_semi", counted=n_units).groupBy("id").agg(F.collect_set("w").alias("u"))
     none = F.array().cast(_NO_TEXT)
     some = lines.where(F.size("c") > 0).join(got, "id", "left").withColumn("u", F.coalesce("u", none))
     return lines.where(F.size("c") == 0).withColumn("u", none).unionByName(some).drop("c")
@@ -157,21 +159,23 @@ def _with_city(read: DataFrame) -> DataFrame:
     """``key, number, unit, city, street`` (words): the city is taken from the words that spell it, at either end of the line, else from the ZIP code, else from the record."""
     # the city of a ZIP code: the one that most of its lines' records name
     of_zip = read.where("zip is not null and own is not null").groupBy("zip", "own").agg(F.count(F.lit(1)).alias("n")).groupBy("zip").agg(F.min(F.struct((-F.col("n")).alias("n"), "own")).alias("b")).select("zip", F.col("b.own").alias("known"))
-    read = cut(checked_join(read, cut(of_zip), "zip", "left").withColumn("id", F.monotonically_increasing_id()))
+    of_zip, n_zip = cut_counted(of_zip)
+    read = cut(checked_join(read, of_zip, "zip", "left", counted=n_zip).withColumn("id", F.monotonically_increasing_id()))
     cities = read.where("own is not null").select("own").distinct().select(F.replace("own", F.lit(" ")).alias("c"), F.col("own").alias("city")).groupBy("c").agg(F.min("city").alias("city"))
-    cities = cut(cities)
+    cities, n_cities = cut_counted(cities)
     k = F.size("words")
     ends = F.array(*[F.struct(F.lit(n).alias("k"), F.lit(front).alias("front"), F.when(k > n, F.array_join(F.slice("words", F.lit(1) if front else F.greatest(F.lit(1), k - n + 1), n), "")).alias("w")) for n in (3, 2, 1) for front in (True, False)])
     cand = read.select("id", "known", F.explode(ends).alias("e")).select("id", "known", "e.*").where("w is not null")
     # each distinct writing is looked up once: a city, or one edit from just one city
     writings = cut(cand.select("w").distinct())
-    exact = writings.join(cities, writings["w"] == cities["c"]).select("w", F.lit(0).alias("d"), "city")
-    rest = writings.join(cities, writings["w"] == cities["c"], "left_anti").where(f"length(w) between 6 and {LONGEST}")
-    near_city = cut(cities.where("length(c) > 5").select("c", "city", F.explode(shorter(F.col("c"))).alias("part")))
-    near = checked_join(rest.select("w", F.explode(shorter(F.col("w"))).alias("part")), near_city, "part").where(one_edit(F.col("w"), F.col("c")))
+    of_city = small(cities.select(F.col("c").alias("w"), "city"), n_cities)
+    exact = writings.join(of_city, "w").select("w", F.lit(0).alias("d"), "city")
+    rest = writings.join(of_city, "w", "left_anti").where(f"length(w) between 6 and {LONGEST}")
+    near_city, n_near = cut_counted(cities.where("length(c) > 5").select("c", "city", F.explode(shorter(F.col("c"))).alias("part")))
+    near = checked_join(rest.select("w", F.explode(shorter(F.col("w"))).alias("part")), near_city, "part", counted=n_near).where(one_edit(F.col("w"), F.col("c")))
     near = near.groupBy("w").agg(F.min(F.struct("c", "city")).alias("a"), F.max("c").alias("z")).where("a.c = z").select("w", F.lit(1).alias("d"), "a.city")
-    found = cut(exact.unionByName(near))
-    best = checked_join(cand, found, "w").where("known is null or city = known")
+    found, n_found = cut_counted(exact.unionByName(near))
+    best = checked_join(cand, found, "w", counted=n_found).where("known is null or city = known")
     best = best.groupBy("id").agg(F.min(F.struct("d", "front", (-F.col("k")).alias("k"), "city")).alias("b"))
     d = read.join(best, "id", "left")
     without = lambda front, n: F.when(front, F.slice("words", n + 1, F.greatest(F.lit(0), k - n))).otherwise(F.slice("words", F.lit(1), F.greatest(F.lit(0), k - n)))
@@ -199,13 +203,13 @@ def _word_classes(parsed: DataFrame) -> DataFrame:
     return w.select("w", F.when(d, "d").when(t, "t").alias("class")).where("class is not null")
 
 
-def _slots(parsed: DataFrame, classes: DataFrame) -> DataFrame:
+def _slots(parsed: DataFrame, classes: DataFrame, n_classes: int) -> DataFrame:
     """``dir, type, name`` of each line's street; the name is written together, so lost blanks don't matter."""
     one = parsed
     # the class of the first word and of the last two: what else a street has in it belongs to the name
     for name, i in (("c1", 1), ("c8", -2), ("c9", -1)):
         word = F.when(F.size("street") >= abs(i), F.element_at("street", i))
-        one = checked_join(one.withColumn("w", word), classes.withColumnRenamed("class", name), "w", "left").drop("w")
+        one = checked_join(one.withColumn("w", word), classes.withColumnRenamed("class", name), "w", "left", counted=n_classes).drop("w")
     many = F.size("street") > 1
     lead = many & F.coalesce(F.col("c1") == "d", F.lit(False))
     tail = many & ~lead & F.coalesce(F.col("c9") == "d", F.lit(False))
@@ -217,9 +221,10 @@ def _slots(parsed: DataFrame, classes: DataFrame) -> DataFrame:
     return one.select("key", "number", "unit", "city", "name", "type", "dir").where("name <> ''")
 
 
-def _abbreviations(streets: DataFrame) -> DataFrame:
-    """``slot, short, long``: rewrites of types and of directions, tokens that abbreviate another and stand with it in streets
-    of one city and name twice or more and Z deviations more often than chance would have it.
+def _abbreviations(streets: DataFrame) -> tuple[DataFrame, int]:
+    """``slot, short, long``, and how many: rewrites of types and of directions, tokens that abbreviate another and stand with it in streets
+    of one city and name twice or more and Z deviations more often than chance would have it. A long form that is a short
+    form itself gives way to its own long form.
 
     Per city and name the slot's tokens (few) are paired with themselves, with what they abbreviate, and with nothing,
     which counts tokens, pairs and streets at once; everything after that is as large as the tokens are many.
@@ -227,63 +232,71 @@ def _abbreviations(streets: DataFrame) -> DataFrame:
     slots = F.explode(F.array(*[F.struct(F.lit(s).alias("slot"), F.col(s).alias("t")) for s in ("type", "dir")])).alias("x")
     seen = streets.select("city", "name", slots).where("x.t is not null").groupBy("city", "name", "x.slot").agg(F.array_union(F.collect_set("x.t"), F.array(F.lit(""))).alias("ts"))
     pairs = "flatten(transform(ts, s -> transform(filter(ts, l -> l = s or (s <> '' and length(s) < length(l) and l rlike concat('^', array_join(split(s, ''), '.*')))), l -> struct(s as s, l as l))))"
-    n = cut(seen.select("slot", F.explode(F.expr(pairs)).alias("p")).groupBy("slot", F.col("p.s").alias("short"), F.col("p.l").alias("long")).agg(F.count(F.lit(1)).alias("k")))
+    n, n_pairs = cut_counted(seen.select("slot", F.explode(F.expr(pairs)).alias("p")).groupBy("slot", F.col("p.s").alias("short"), F.col("p.l").alias("long")).agg(F.count(F.lit(1)).alias("k")))
     own = n.where("short = long")
     total = own.where("short = ''").select("slot", F.col("k").alias("total"))
-    both = n.where("short <> long").join(own.select("slot", "short", F.col("k").alias("one")), ["slot", "short"]).join(own.select("slot", "long", F.col("k").alias("other")), ["slot", "long"]).join(total, "slot")
+    one, other = small(own.select("slot", "short", F.col("k").alias("one")), n_pairs), small(own.select("slot", "long", F.col("k").alias("other")), n_pairs)
+    # two slots have two totals
+    both = n.where("short <> long").join(one, ["slot", "short"]).join(other, ["slot", "long"]).join(F.broadcast(total), "slot")
     chance = F.col("one") * F.col("other") / F.col("total")
     # the spread of a hypergeometric distribution: streets with both tokens, given how many have each
     spread = chance * (F.col("total") - F.col("one")) * (F.col("total") - F.col("other")) / (F.col("total") * F.greatest(F.lit(1), F.col("total") - 1))
     kept = both.where("k >= 2").where(_above_chance("k", chance, spread))
-    return kept.groupBy("slot", "short").agg(F.max(F.struct(F.length("long").alias("n"), "k", "long")).alias("b")).select("slot", "short", F.col("b.long").alias("long"))
-
-
-def _rewritten(df: DataFrame, rewrites: DataFrame) -> DataFrame:
-    """``df`` with types and directions rewritten, and the long forms once more where they are short forms themselves."""
-    for slot in ("type", "dir"):
-        r = rewrites.where(F.col("slot") == slot)
-        r = r.select(F.col("short").alias(slot), F.col("long").alias("__l")).join(r.select(F.col("short").alias("__l"), F.col("long").alias("__m")), "__l", "left").select(slot, F.coalesce("__m", "__l").alias("__better"))
-        df = checked_join(df, r, slot, "left").withColumn(slot, F.coalesce("__better", slot)).drop("__better")
+    best, n_best = cut_counted(kept.groupBy("slot", "short").agg(F.max(F.struct(F.length("long").alias("n"), "k", "long")).alias("b")).select("slot", "short", F.col("b.long").alias("long")))
+    if n_best:
+        again = small(best.select("slot", F.col("short").alias("long"), F.col("long").alias("longer")), n_best)
+        best = cut(best.join(again, ["slot", "long"], "left").select("slot", "short", F.coalesce("longer", "long").alias("long")))
+    return best, n_best
+
+
+def _rewritten(df: DataFrame, rewrites: DataFrame, n: int) -> DataFrame:
+    """``df`` with types and directions rewritten; ``n``: the number of rewrites."""
+    for slot in ("type", "dir") if n else ():
+        r = rewrites.where(F.col("slot") == slot).select(F.col("short").alias(slot), F.col("long").alias("__better"))
+        df = checked_join(df, r, slot, "left", counted=n).withColumn(slot, F.coalesce("__better", slot)).drop("__better")
     return df
 
 
-def _spellings(streets: DataFrame, lines: DataFrame) -> DataFrame:
-    """``city, name, better``: spellings to replace, found among names of one city that are one edit apart."""
+def _spellings(streets: DataFrame, houses: DataFrame, room: DataFrame, n_cities: int) -> tuple[DataFrame, int]:
+    """``city, name, better``, and how many at most (0: none): spellings to replace, found among names of one city that are
+    one edit apart. ``houses``: distinct ``city, name0, number``; ``room``: each city's different numbers."""
     agree = F.collect_set(F.when(F.col("type").isNotNull(), F.struct("type", F.coalesce("dir", F.lit("")).alias("dir"))))
     names = streets.where(f"length(name) between 4 and {LONGEST}").groupBy("city", "name").agg(F.sum("n").alias("n"), agree.alias("ways"))
     names = cut(names)
-    parts = names.select("city", "name", "n", F.explode(shorter(F.col("name"))).alias("part"))
-    other = parts.select("city", "part", F.col("name").alias("better"), F.col("n").alias("m"))
+    parts = names.select("city", "name", "n", "ways", F.explode(shorter(F.col("name"))).alias("part"))
+    mine = parts.withColumnRenamed("ways", "mine")
+    other = parts.select("city", "part", F.col("name").alias("better"), F.col("n").alias("m"), "ways")
     # names that share a part differ in one letter of an alphabet at one place: they are few, however many lines they have
-    pairs = parts.join(other, ["city", "part"]).where("m > n or (m = n and better < name)").select("city", "name", "n", "better", "m").distinct()
-    pairs = pairs.where(F.levenshtein("name", "better") <= 2)
-    pairs = pairs.join(names.select("city", "name", F.col("ways").alias("mine")), ["city", "name"]).join(names.select("city", F.col("name").alias("better"), "ways"), ["city", "better"])
+    pairs = mine.join(other, ["city", "part"]).where("m > n or (m = n and better < name)").where(F.levenshtein("name", "better") <= 2)
     # a line that leaves its direction out goes with any
     same = F.forall("mine", lambda a: F.exists("ways", lambda b: (a["type"] == b["type"]) & ((a["dir"] == "") | (b["dir"] == "") | (a["dir"] == b["dir"]))))
-    pairs = cut(pairs.where(same | (F.size("ways") == 0)).drop("mine", "ways"))
-    # how likely it is that another street of the city would agree in type and direction
-    each = names.select("city", "name", F.explode("ways").alias("way"))
-    share = each.groupBy("city", "way").agg(F.count(F.lit(1)).alias("k")).join(names.groupBy("city").agg(F.count(F.lit(1)).alias("all")), "city").select("city", "way", (F.col("k") / F.col("all")).alias("q"))
-    q = each.join(pairs.select("city", "name").distinct(), ["city", "name"], "left_semi").join(share, ["city", "way"]).groupBy("city", "name").agg(F.min("q").alias("q"))
-    pairs = cut(pairs.join(q, ["city", "name"], "left").withColumn("q", F.coalesce("q", F.lit(1.0))))
+    pairs = pairs.where(same | (F.size("ways") == 0)).select("city", "name", "n", "better", "m", "mine").distinct()
+    # how likely it is that another street of the city would agree in type and direction: a city's names are counted by
+    # type and direction (few), and all of them under null
+    each = names.select("city", F.explode(F.concat("ways", F.array(F.lit(None).cast("struct<type:string,dir:string>")))).alias("way"))
+    counts = each.groupBy("city", "way").agg(F.count(F.lit(1)).alias("k"))
+    share = counts.groupBy("city").agg(F.max(F.when(F.col("way").isNull(), F.col("k"))).alias("all"), F.map_from_entries(F.collect_list(F.when(F.col("way").isNotNull(), F.struct("way", "k")))).alias("with"))
+    q = F.array_min(F.transform("mine", lambda w: F.element_at("with", w) / F.col("all")))
+    pairs = pairs.join(small(share, n_cities, CITIES), "city").select("city", "name", "n", "better", "m", F.coalesce(q, F.lit(1.0)).alias("q"))
     slip = (F.col("m") >= OUTWEIGH * F.col("n")) & ((F.col("q") <= AGREE) | (F.col("n") <= SLIPS + SLIP_RATE * F.col("m")))
-    every = pairs.where(slip)
-    doubtful = pairs.where(~slip)
-    if not doubtful.isEmpty():
-        asked = doubtful.select("city", "name").union(doubtful.select("city", "better")).distinct()
-        now = streets.select("city", "name0", "name").distinct().join(asked, ["city", "name"], "left_semi")
-        at = cut(lines.select("city", F.col("name").alias("name0"), "number").distinct().join(now, ["city", "name0"]).select("city", "name", "number").distinct())
-        size = at.groupBy("city", "name").agg(F.count(F.lit(1)).alias("size"))
-        room = lines.where("city is not null").groupBy("city").agg(F.count_distinct("number").alias("room"))
-        shared = doubtful.join(at, ["city", "name"]).join(at.withColumnRenamed("name", "better"), ["city", "better", "number"]).groupBy("city", "name", "n", "better", "m").agg(F.count(F.lit(1)).alias("k"))
-        shared = shared.join(size, ["city", "name"]).join(size.select("city", F.col("name").alias("better"), F.col("size").alias("size2")), ["city", "better"]).join(room, "city")
+    pairs, _, n_doubtful = cut_counted(pairs.withColumn("slip", slip), ~F.col("slip"))
+    every = pairs.where("slip").select("city", "name", "better", "m")
+    if n_doubtful:
+        doubtful = pairs.where("not slip")
+        # either name's houses; a number that both have is shared
+        sides = doubtful.select("city", F.col("name").alias("of"), "better", "m", F.explode(F.array(F.struct(F.col("name").alias("name"), F.lit(1).alias("a"), F.lit(0).alias("b")), F.struct(F.col("better").alias("name"), F.lit(0).alias("a"), F.lit(1).alias("b")))).alias("x")).select("city", "of", "better", "m", "x.*")
+        now = streets.select("city", "name0", "name").join(small(sides, 2 * n_doubtful), ["city", "name"]).select("city", "name0", "of", "better", "m", "a", "b").distinct()
+        at = houses.join(now, ["city", "name0"]).groupBy("city", "of", "better", "m", "number").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+        shared = at.groupBy("city", "of", "better", "m").agg(F.sum("a").alias("size"), F.sum("b").alias("size2"), F.sum(F.col("a") * F.col("b")).alias("k")).where("k > 0")
+        shared = shared.join(small(room, n_cities), "city").withColumnRenamed("of", "name")
         e = F.col("size") * F.col("size2") / F.col("room")
         # the tail of a Poisson distribution is at most (e / k)^k exp(k - e) above its mean
         tail = F.when(F.col("k") > e, F.exp(F.col("k") * F.log(e / F.col("k")) + F.col("k") - e)).otherwise(1.0)
-        every = every.select("city", "name", "better", "m").unionByName(shared.where(tail <= CHANCE).select("city", "name", "better", "m"))
-    one = every.select("city", "name", "better", "m").groupBy("city", "name").agg(F.max(F.struct("m", "better")).alias("x")).select("city", "name", F.col("x.better").alias("better"))
-    # a spelling that is itself replaced is no target in this round
-    return one.join(one.select("city", F.col("name").alias("better")), ["city", "better"], "left_anti")
+        every = every.unionByName(shared.where(tail <= CHANCE).select("city", "name", "better", "m"))
+    one = every.groupBy("city", "name").agg(F.max(F.struct("m", "better")).alias("x")).select("city", "name", F.col("x.better").alias("better"))
+    one, n_one = cut_counted(one)
+    # a spelling that is itself replaced is no target in this round; one that isn't is always left, as replacements have more houses or come first
+    return one.join(small(one.select("city", F.col("name").alias("better")), n_one), ["city", "better"], "left_anti"), n_one
 
 
 def _street(*slots: str) -> Column:
@@ -302,25 +315,29 @@ def normalised(records: DataFrame, key: str, address: str, city: str | None = No
     # the place of the first number is stored, as within a lambda it would be worked out for every word
     read = _read(cut(lines.select("key", t.alias("t"), F.array_position(F.transform(t, is_number), F.lit(True)).cast("int").alias("first"), squeezed(F.col("city")).alias("own"))))
     parsed = cut(_with_city(cut(read)))
-    lines = cut(_slots(parsed, cut(_word_classes(parsed))).distinct().withColumn("at", _street("city", "name", "type", "dir")))
+    lines = cut(_slots(parsed, *cut_counted(_word_classes(parsed))).distinct().withColumn("at", _street("city", "name", "type", "dir")))
     # the mining runs over distinct streets, not over lines; a slip that was delivered again is one slip, so houses are counted
     slots = ["city", "name", "type", "dir"]
     streets = cut(lines.where("city is not null").groupBy(*slots).agg(F.count_distinct("number").alias("n")).withColumns({f"{s}0": F.col(s) for s in ("name", "type", "dir")}))
+    houses = cut(lines.where("city is not null").select("city", F.col("name").alias("name0"), "number").distinct())
+    room, n_cities = cut_counted(houses.groupBy("city").agg(F.count_distinct("number").alias("room")))
     rounds = []
     while True:
-        rewrites = cut(_abbreviations(streets))
-        spelt = cut(_spellings(streets, lines))
-        if rewrites.isEmpty() and spelt.isEmpty():
+        rewrites = _abbreviations(streets)
+        spelt, n_spelt = _spellings(streets, houses, room, n_cities)
+        if not rewrites[1] and not n_spelt:
             break
         rounds.append(rewrites)
-        streets = _rewritten(streets, rewrites)
-        streets = cut(streets.join(spelt, ["city", "name"], "left").withColumn("name", F.coalesce("better", "name")).drop("better"))
+        streets = _rewritten(streets, *rewrites)
+        if n_spelt:
+            streets = streets.join(small(spelt, n_spelt), ["city", "name"], "left").withColumn("name", F.coalesce("better", "name")).drop("better")
+        streets = cut(streets)
     final = streets.select(_street("city", "name0", "type0", "dir0").alias("at"), F.col("name").alias("__name"), F.col("type").alias("__type"), F.col("dir").alias("__dir"))
     known = salted_join(lines.where("city is not null").drop("name", "type", "dir"), final, "at").select("key", "number", "unit", "city", F.col("__name").alias("name"), F.col("__type").alias("type"), F.col("__dir").alias("dir"))
     # lines whose city isn't known yet have their tokens rewritten all the same
     rest = lines.where("city is null").drop("at")
     for r in rounds:
-        rest = _rewritten(rest, r)
+        rest = _rewritten(rest, *r)
     return cut(known.unionByName(rest.select(*known.columns)).distinct())
 
 

@@ -29,14 +29,19 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
 SMALL_ROWS = 100_000
 
 
-def checked_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int = SMALL_ROWS) -> DataFrame:
+def checked_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int = SMALL_ROWS, counted: int | None = None) -> DataFrame:
     """``left.join(right, key, how)``: ``right``, a table of words or the like, is broadcast if it is counted to have at most
-    ``rows`` rows; else both are shuffled, hot keys of ``left`` salted."""
-    if right.limit(rows + 1).count() <= rows:
+    ``rows`` rows; else both are shuffled, hot keys of ``left`` salted. ``counted``: its rows, or more, where they were counted already."""
+    if (right.limit(rows + 1).count() if counted is None else counted) <= rows:
         return left.join(F.broadcast(right), key, how)
     return salted_join(left, right, key, how)
 
 
+def small(df: DataFrame, counted: int, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` to be broadcast if it was counted to have at most ``rows`` rows, else as it is."""
+    return F.broadcast(df) if counted <= rows else df
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """A join in which a null key equals a null key. The right keys are renamed first, so both sides may stem from one table."""
     r = right.select(*[F.col(f"`{k}`").alias(f"__key_{i}") for i, k in enumerate(keys)], *[F.col(f"`{c}`") for c in right.columns if c not in keys])

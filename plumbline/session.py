@@ -11,7 +11,8 @@ from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -53,6 +54,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counted(df: DataFrame, *conditions: Column) -> tuple[DataFrame, int, *tuple[int, ...]]:
+    """``cut``, the number of rows, and of those where each condition holds; they are counted while the rows are written, without a job of their own."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(f"c{i}") for i, c in enumerate(conditions)]))
+    n = seen.get
+    return out, n["rows"], *[n[f"c{i}"] for i in range(len(conditions))]
+
+
 @contextmanager
 def kept(df: DataFrame) -> Iterator[DataFrame]:
     """``df`` with its rows on the executors' disks while the block runs, for several passes over them.

@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from plumbline.llm import addresses as ad
+from plumbline.session import cut_counted
 from tests.conftest import SMALL
 
 TYPES = {"road": ["rd", "road"], "street": ["st", "str", "street"], "court": ["ct", "crt", "court"]}
@@ -84,3 +85,39 @@ def test_copies_of_the_table_change_nothing(spark):
     one = {tuple(r) for r in ad.same_place_pairs(df, "key", "address", "city").collect()}
     more = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(20))))
     assert one and {tuple(r) for r in ad.same_place_pairs(more, "key", "address", "city").collect()} == one
+
+
+def test_rounds_take_few_jobs(spark):
+    """What the driver holds grows with the jobs and plans of a query; tables that were counted once are not counted or sorted again."""
+    rnd = random.Random(15)
+    places = [(n, s, None, c) for c in CITIES for s in STREETS for n in range(101, 120)]
+    rows = [(f"k{i}", write(rnd, p), p[3][0]) for i, p in enumerate(rnd.choice(places) for _ in range(700))]
+    df = spark.createDataFrame(rows, "key string, address string, city string")
+    sc = spark.sparkContext
+    sc.setJobGroup("few jobs", "few jobs")
+    try:
+        got = {tuple(r) for r in ad.same_place_pairs(df, "key", "address", "city").collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    jobs = len(sc.statusTracker().getJobIdsForGroup("few jobs"))
+    assert got and 0 < jobs <= 200, jobs
+
+
+def test_large_lexicons_change_nothing(spark, monkeypatch):
+    rnd = random.Random(16)
+    places = [(n, s, None, c) for c in CITIES for s in STREETS for n in range(101, 112)]
+    rows = [(f"k{i}", write(rnd, p), p[3][0] if i % 9 else None) for i, p in enumerate(rnd.choice(places) for _ in range(500))]
+    df = spark.createDataFrame(rows, "key string, address string, city string")
+    one = {tuple(r) for r in ad.same_place_pairs(df, "key", "address", "city").collect()}
+    # as if every table were too large to be broadcast
+    monkeypatch.setattr(ad, "small", lambda df, *_: df)
+    monkeypatch.setattr(ad, "checked_join", lambda left, right, key, how="inner", **_: ad.salted_join(left, right, key, how))
+    assert one and {tuple(r) for r in ad.same_place_pairs(df, "key", "address", "city").collect()} == one
+
+
+def test_cut_counts_rows(spark):
+    df, n, odd = cut_counted(spark.range(10), F.col("id") % 2 == 1)
+    assert (n, odd, df.count()) == (10, 5, 10)
+    none, n = cut_counted(df.where("id > 20").join(df, "id"))
+    assert (n, none.count()) == (0, 0)
