@@ -97,25 +97,32 @@ def _states(lines: DataFrame) -> list[str]:
     return sorted(r["a"] for r in n.where(_above_chance("k", F.col("n") / 2, F.col("n") / 4)).collect())
 
 
-def _with_units(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``u``: the words of the line that introduce units; such a word stands before a number that isn't the first in most cases."""
+def _worded(lines: DataFrame) -> DataFrame:
+    """``lines``, materialised once, with ``c``: the line's words before numbers, with + in front where the number isn't the first
+    and something stands between, else -. Arrays are written as texts, which take a fraction of the space."""
     # words before a number; it counts for a word if the number is not the first and something stands between
     pairs = F.zip_with("t", F.concat(F.slice("t", 2, F.size("t")), F.array(F.lit(""))), lambda w, x: F.struct(w.alias("w"), x.alias("x")))
     before = F.filter(F.transform(pairs, lambda p, i: F.when(is_number(p["x"]), F.struct(p["w"].alias("w"), (i > F.col("first")).alias("late")))), lambda x: x.isNotNull() & x["w"].rlike(r"^[^\d,#]"))
-    lines = lines.withColumn("c", F.when(F.col("first") > 0, F.array_distinct(before)).otherwise(F.array().cast("array<struct<w:string,late:boolean>>"))).drop("first")
-    lines = cut(lines.withColumn("id", F.monotonically_increasing_id()))
-    cand = lines.select("id", F.explode("c").alias("x")).select("id", "x.w", "x.late")
+    c = F.array_join(F.transform(F.array_distinct(before), lambda x: F.concat(F.when(x["late"], F.lit("+")).otherwise(F.lit("-")), x["w"])), " ")
+    lines = cut(lines.select("key", "own", "id", F.array_join("t", " ").alias("t"), F.when(F.col("first") > 0, c).otherwise("").alias("c")))
+    return lines.withColumn("t", F.array_remove(F.split("t", " "), ""))
+
+
+def _with_units(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``u`` in place of ``c``: the words of the line that introduce units; such a word stands before a number that isn't the first in most cases."""
+    cand = lines.where("c <> ''").select("id", F.explode(F.split("c", " ")).alias("x")).select("id", F.expr("substring(x, 2)").alias("w"), F.col("x").startswith("+").alias("late"))
     often, n_often = cut_counted(cand.where("late").groupBy("w").agg(F.count(F.lit(1)).alias("k")))
     every = checked_join(lines.select(F.explode(F.array_distinct("t")).alias("w")), often.select("w"), "w", "left_semi", counted=n_often).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     units, n_units = cut_counted(every.join(small(often, n_often), "w").where(_above_chance("k", F.col("n") / 2, F.col("n") / 4)).select("w"))
     got = checked_join(cand, units, "w", "left_semi", counted=n_units).groupBy("id").agg(F.collect_set("w").alias("u"))
     none = F.array().cast(_NO_TEXT)
-    some = lines.where(F.size("c") > 0).join(got, "id", "left").withColumn("u", F.coalesce("u", none))
-    return lines.where(F.size("c") == 0).withColumn("u", none).unionByName(some).drop("c")
+    some = lines.where("c <> ''").join(got, "id", "left").withColumn("u", F.coalesce("u", none))
+    return lines.where("c = ''").withColumn("u", none).unionByName(some).drop("c")
 
 
 def _read(lines: DataFrame) -> DataFrame:
     """``key, number, unit, zip, own (the record's city), words`` of each line that has a house number other than 0."""
+    lines = _worded(lines)
     states = _states(lines)
     lines = _with_units(lines)
     known = frozenset(states)
@@ -312,8 +319,8 @@ def normalised(records: DataFrame, key: str, address: str, city: str | None = No
     """
     lines = records.where(F.col(key).isNotNull() & F.col(address).isNotNull()).select(F.col(key).alias("key"), F.col(address).alias("line"), (F.col(city) if city else F.lit(None).cast("string")).alias("city")).distinct()
     t = tokens(F.col("line"))
-    # the place of the first number is stored, as within a lambda it would be worked out for every word
-    read = _read(cut(lines.select("key", t.alias("t"), F.array_position(F.transform(t, is_number), F.lit(True)).cast("int").alias("first"), squeezed(F.col("city")).alias("own"))))
+    # the id, which isn't deterministic, keeps the place of the first number out of lambdas, where it would be worked out for every word
+    read = _read(lines.select("key", t.alias("t"), F.array_position(F.transform(t, is_number), F.lit(True)).cast("int").alias("first"), squeezed(F.col("city")).alias("own"), F.monotonically_increasing_id().alias("id")))
     parsed = cut(_with_city(cut(read)))
     lines = cut(_slots(parsed, *cut_counted(_word_classes(parsed))).distinct().withColumn("at", _street("city", "name", "type", "dir")))
     # the mining runs over distinct streets, not over lines; a slip that was delivered again is one slip, so houses are counted
